@@ -13,17 +13,25 @@ EDGE = 4
 RUNNING_SHARE = 0.3
 #: Glyph sequences and glyphs that scanning takes for one another; each stands for its class.
 MERGED = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"))
+#: Further pairs, of which one at a time is replaced.
+SINGLE_MERGED = (("in", "m"), ("li", "h"), ("nn", "rm"))
 CONFUSED = ("ce€¢", "il1|", "ao0", "s5", "tf", "uv", "hb6", "gq")
 #: How the number of a page is written.
 PAGE_NUMBER = r"^\s*(?:[-–~\[(]\s*)?(?:[Pp][a@o][gq][ec€]\s+)?(?:[0-9lIoO|]{1,4}|[ivxl1|]{1,7})(?:\s*(?:/|[o0a][ft])\s*[0-9lIoO|]{1,4})?(?:\s*[-–~\])])?\s*$"
 
 
-def skeleton(text: Column, merge: bool = True) -> Column:
+def skeletons(text: Column) -> Column:
+    """All skeletons of a text, each marked with the glyph pairs that it merges: texts that one misreading tells apart
+    share one."""
+    merges = [MERGED, (), *[(pair,) for pair in SINGLE_MERGED]]
+    return F.array(*[F.concat(F.lit(f"{i}:"), skeleton(text, m)) for i, m in enumerate(merges)])
+
+
+def skeleton(text: Column, merged: tuple = MERGED) -> Column:
     """Lower case with confusable glyphs replaced by one of their class, white space collapsed."""
     x = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    if merge:
-        for a, b in MERGED:
-            x = F.replace(x, F.lit(a), F.lit(b))
+    for a, b in merged:
+        x = F.replace(x, F.lit(a), F.lit(b))
     return F.translate(x, "".join(c[1:] for c in CONFUSED), "".join(c[0] * (len(c) - 1) for c in CONFUSED))
 
 
@@ -54,9 +62,11 @@ def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id"
     masked = F.regexp_replace(F.trim("line"), r"^\d+(?=\s)|(?<=\s)\d+$", "#")
     at_end = F.regexp_extract(F.regexp_extract(F.trim("line"), r"^\d{1,6}(?=\s)|(?<=\s)\d{1,6}$", 0), r"\d+", 0)
     offset = F.when(at_end != "", at_end).try_cast("long") - F.col(page_no)
-    plain = F.struct(skeleton(F.col("line")).alias("k"), F.lit(None).cast("long").alias("o"))
-    keys = F.array(plain, F.when(offset.isNotNull(), F.struct(skeleton(masked).alias("k"), offset.alias("o"))))
-    keyed = rest.select(key, file, "line_no", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("x")).select(key, file, "line_no", F.col("x.k").alias("k"), F.coalesce("x.o", F.lit(-(1 << 40))).alias("o"))
+    none = F.lit(-(1 << 40)).cast("long")
+    whole = F.transform(skeletons(F.col("line")), lambda k: F.struct(k.alias("k"), none.alias("o")))
+    by_number = F.when(offset.isNotNull(), F.transform(skeletons(masked), lambda k: F.struct(k.alias("k"), offset.alias("o"))))
+    keys = F.concat(whole, F.coalesce(by_number, F.array().cast("array<struct<k:string,o:bigint>>")))
+    keyed = rest.select(key, file, "line_no", F.explode(keys).alias("x")).select(key, file, "line_no", "x.k", "x.o")
     size = lines.groupBy(file, key).agg(F.lit(1).alias("one")).groupBy(F.col(file).alias("_file")).agg(F.count("*").alias("_pages"))
     spread = keyed.groupBy(file, "k", "o", key).agg(F.lit(1).alias("one")).groupBy(file, "k", "o").agg(F.count("*").alias("n")).where("n >= 2")
     often = spread.join(size, spread[file] == size["_file"]).where(F.col("n") >= RUNNING_SHARE * F.col("_pages")).select(F.col(file).alias("_f"), F.col("k").alias("_k"), F.col("o").alias("_o"))
