@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_tokens", "queries_languages", "queries_pages", "queries_quality", "queries_repair"]
+MODULES = ["queries_tokens", "queries_languages", "queries_pages", "queries_quality", "queries_repair", "queries_neardup"]
 
 
 def collected() -> tuple[dict, dict]:
