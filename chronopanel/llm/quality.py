@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.llm import boosting
 from chronopanel.llm.pages import page_furniture, page_lines
+from chronopanel.sources.tables import cut
 
 KINDS = ("prose", "list", "table", "junk")
 #: Pages of the bounded sample that the trees are trained on.
@@ -168,7 +169,7 @@ def page_kinds(pages: DataFrame, lines: DataFrame | None = None, furniture: Data
     lines = lines if lines is not None else page_lines(pages, "page_id", "text", "file_id", "page_no")
     furniture = furniture if furniture is not None else page_furniture(lines)
     logp = letter_pairs(lines)
-    stats = figures(lines, logp, furniture)
+    stats = cut(figures(lines, logp, furniture))
     held = holdout_texts or HOLDOUT
     hand = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(held)], "page_id long, kind string, text string")
     checked = figures(page_lines(hand, "page_id", "text"), logp).join(hand.select("page_id", "kind"), "page_id")
