@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["hierarchies"]
+MODULES = ["hierarchies", "panels"]
 
 
 def collected() -> tuple[dict, dict]:
