@@ -8,6 +8,7 @@ tables of one A sub-key are formed where its records meet. Candidates pass a ske
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ from chronopanel.sources.tables import cut, drop_cut
 
 @dataclass(frozen=True)
 class Banding:
-    """a, b: sub-keys of either collection, of rows minhashes each. sketch: matches of all minhash codes that a pair needs
-    to be verified (a pair at the threshold falls below less than once in a thousand). hot: records of one A sub-key
+    """a, b: sub-keys of either collection, of rows minhashes each. lost: the share of pairs at the threshold that the
+    sketch may lose; it gives the matches of minhash codes that a pair needs to be verified, see needed(). hot: records of one A sub-key
     beyond which its tables are spread over tasks. The chance to find a pair of overlap s is
     (1 - (1 - s^rows)^a) * (1 - (1 - s^rows)^b): 0.96 at 0.75, 0.99 at 0.8, 0.998 at 0.85 with these values. For much
     larger collections raise rows and the sub-keys together, so that unlike records rarely meet."""
@@ -32,13 +33,22 @@ class Banding:
     a: int = 7
     b: int = 8
     rows: int = 3
-    sketch: int = 20
+    lost: float = 0.01
     hot: int = 100_000
 
     @property
     def hashes(self) -> int:
         return (self.a + self.b) * self.rows
 
+    def needed(self, threshold: float) -> int:
+        """Codes of four bits agree with probability p; how many of all do, but for a share of lost, at the threshold."""
+        p, n, below = threshold + (1 - threshold) / 16, self.hashes, 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if below > self.lost:
+                return k
+        return n
+
 
 def words_of(text: Column) -> Column:
     """The longest runs of letters and digits, in lower case."""
@@ -85,7 +95,7 @@ def _signer(key: str, cfg: Banding):
             for i in range(cfg.a):
                 for k in range(i * cfg.rows, (i + 1) * cfg.rows):
                     keys[:, i] = _mix(keys[:, i] * np.uint64(31) + least[:, k].astype(np.uint64))
-            keys = (keys.astype(np.int64) & ((1 << 40) - 1)) | (np.arange(cfg.a, dtype=np.int64) << 40)
+            keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             code = (_mix(least.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
             code = np.pad(code, ((0, 0), (0, cfg.hashes % 2)))
             packed = np.ascontiguousarray(code[:, ::2] << 4 | code[:, 1::2])
@@ -118,6 +128,8 @@ def _pairs_of(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _matcher(cfg: Banding, least: float):
+    needed = cfg.needed(least)
+
     def block(key: np.ndarray, ids: np.ndarray, n: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         _, group = np.unique(key, return_inverse=True)
         for j in range(cfg.b):
@@ -129,7 +141,7 @@ def _matcher(cfg: Banding, least: float):
                 x, y = x[fit], y[fit]
                 for at in range(0, len(x), 200_000):
                     p, q = x[at : at + 200_000], y[at : at + 200_000]
-                    good = (code[p] == code[q]).sum(1) >= cfg.sketch
+                    good = (code[p] == code[q]).sum(1) >= needed
                     if good.any():
                         yield ids[p[good]], ids[q[good]]
 
@@ -170,12 +182,13 @@ def _matcher(cfg: Banding, least: float):
 def signatures(df: DataFrame, key: str, text: str, least_words: int, cfg: Banding = Banding()) -> DataFrame:
     """id, n, h1, h2, sketch, keys of the records with enough words."""
     w = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), words_of(F.col(text)).alias("_words")).where(F.size("_words") >= least_words)
-    return w.mapInArrow(_signer("id", cfg), "id long, n int, h1 long, h2 long, sketch binary, keys array<long>")
+    return w.mapInArrow(_signer("id", cfg), "id long, n int, h1 long, h2 long, sketch binary, keys array<int>")
 
 
 def candidates(reps: DataFrame, threshold: float, cfg: Banding = Banding()) -> DataFrame:
     """id_1, id_2: pairs that share a table key and pass the sketch."""
-    entries = reps.select("id", "n", "sketch", F.explode("keys").alias("key"))
+    each = reps.select("id", "n", "sketch", F.posexplode("keys").alias("i", "k"))
+    entries = each.select("id", "n", "sketch", (F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"))
     hot = entries.groupBy("key").count().where(F.col("count") > cfg.hot).select("key")
     if hot.take(1):  # rare: one A sub-key of very many records is split by the B sub-keys, that is by its tables
         mark = F.udf(lambda s, c=cfg: [j << 50 | _sub(s, c, j) for j in range(c.b)], "array<long>")
@@ -220,7 +233,7 @@ def _bag(df: DataFrame, key: str, text: str, wanted: DataFrame, least_words: int
 
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("_t")).where(may(h(F.col("id"))))
     lists = rows.select("id", words_of(F.col("_t")).alias("_words")).where(F.size("_words") >= least_words)
-    return lists.mapInArrow(run, "id long, bag array<int>").dropDuplicates(["id"])
+    return lists.mapInArrow(run, "id long, bag array<int>")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, least_words: int = 1, cfg: Banding = Banding()) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +256,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     both = F.size(F.array_intersect("bag_1", "bag_2"))
     either = F.size("bag_1") + F.size("bag_2") - both
     measured = found.join(one, "id_1").join(two, "id_2").select("id_1", "id_2", both.alias("both"), either.alias("either"))
-    links = measured.where(F.col("both") >= F.ceil(F.lit(threshold) * F.col("either") - F.lit(1e-9))).select(F.col("id_1").alias("rep_1"), F.col("id_2").alias("rep_2"), (F.col("both") / F.col("either")).alias("overlap"))
+    links = measured.where(F.col("both") >= F.ceil(F.lit(threshold) * F.col("either") - F.lit(1e-9))).select(F.col("id_1").alias("rep_1"), F.col("id_2").alias("rep_2"), (F.col("both") / F.col("either")).alias("overlap")).distinct()  # records may be repeated
     return links, members
 
 
