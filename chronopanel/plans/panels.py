@@ -22,9 +22,9 @@ def cells(spark, d, future=False):
 
 
 def rounded(df, *columns):
-    """Doubles to six places, for comparison."""
+    """Doubles to six places, for comparison; a nudge keeps exact halves from falling either way."""
     cols = columns or [c for c, t in df.dtypes if t == "double"]
-    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.round(F.col(c) + F.lit(1e-10), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def _with(f, future=False, **kw):
@@ -124,7 +124,7 @@ ends AS (SELECT course_id, max(t) AS last_t FROM ex GROUP BY 1),
 cells AS (SELECT c.* FROM cellsf c JOIN ends e USING (course_id) WHERE c.t <= e.last_t),
 hist AS (SELECT a.course_id, a.k, a.t AS cutoff, b.t, b.y, b.marks, b.soft, b.semantic, b.n_questions FROM cellsf a JOIN cells b ON a.course_id = b.course_id AND a.k = b.k AND b.t < a.t)
 """
-_CELL = "course_id, t, k, y, round(marks, 6) AS marks, round(soft, 6) AS soft, n_questions, exact_repeat, para_repeat, round(semantic, 6) AS semantic, round(map_conf_sum, 6) AS map_conf_sum, round(parse_conf_sum, 6) AS parse_conf_sum, marks_known_sum, optional_sum"
+_CELL = "course_id, t, k, y, round(marks + 1e-10, 6) AS marks, round(soft + 1e-10, 6) AS soft, n_questions, exact_repeat, para_repeat, round(semantic + 1e-10, 6) AS semantic, round(map_conf_sum + 1e-10, 6) AS map_conf_sum, round(parse_conf_sum + 1e-10, 6) AS parse_conf_sum, marks_known_sum, optional_sum"
 _GAPS = ", seen AS (SELECT course_id, k, t, t - lag(t) OVER (PARTITION BY course_id, k ORDER BY t) AS gap FROM cells WHERE y > 0) "
 _HAZ = """, gapped AS (SELECT a.course_id, a.k, a.t, a.y, (SELECT max(b.t) FROM cells b WHERE b.course_id = a.course_id AND b.k = a.k AND b.t < a.t AND b.y > 0) AS seen FROM cells a),
 base AS (SELECT course_id, avg(y) AS base FROM cells GROUP BY 1),
@@ -132,7 +132,7 @@ haz AS (SELECT course_id, coalesce(least(t - seen, 6), 0)::BIGINT AS gap, sum(y)
 rates AS (SELECT h.*, (hits + 3 * base) / (opportunities + 3) AS rate FROM haz h JOIN base USING (course_id)) """
 ORACLES = {
     "panel_exams": "SELECT course_id, (dense_rank() OVER (PARTITION BY course_id ORDER BY ord, exam_id) - 1)::INT AS step, exam_id, t FROM (SELECT DISTINCT course_id, t, exam_id, ord FROM exams)",
-    "panel_observations": PANEL + "SELECT course_id, t, k, question_id, round(mass, 6) AS mass, round(share, 6) AS share, format, optional FROM obs",
+    "panel_observations": PANEL + "SELECT course_id, t, k, question_id, round(mass + 1e-10, 6) AS mass, round(share + 1e-10, 6) AS share, format, optional FROM obs",
     "panel_build": PANEL + f"SELECT {_CELL} FROM cells",
     "cell_formats": PANEL
     + "SELECT course_id, t, k, "
@@ -147,32 +147,32 @@ ORACLES = {
     + ", per AS (SELECT course_id, t, sum(y) AS n FROM cells GROUP BY ALL), sz AS (SELECT course_id, count(*) AS size FROM items GROUP BY 1), cs AS (SELECT DISTINCT course_id, t AS cutoff FROM cellsf WHERE t > 0) SELECT c.course_id, c.cutoff, least(greatest(least(coalesce(round_even(median(p.n) FILTER (WHERE p.n > 0), 0), 3), 15), 3), any_value(sz.size))::BIGINT AS top_k FROM cs c JOIN sz USING (course_id) JOIN per p ON p.course_id = c.course_id AND p.t < c.cutoff GROUP BY 1, 2",
     "evaluable_targets": "SELECT course_id, unnest(generate_series(1, max(t)))::INT AS target FROM exams GROUP BY course_id HAVING max(t) >= 1",
     "ewma_decay": PANEL
-    + "SELECT course_id, k, cutoff, round(sum(y * pow(0.5, (cutoff - 1 - t) / 1.5)) / sum(pow(0.5, (cutoff - 1 - t) / 1.5)), 6) AS ewma_short, round(sum(y * pow(0.5, (cutoff - 1 - t) / 6.0)) / sum(pow(0.5, (cutoff - 1 - t) / 6.0)), 6) AS ewma_long FROM hist GROUP BY ALL",
-    "linear_decay": PANEL + ", r AS (SELECT *, row_number() OVER (PARTITION BY course_id, k, cutoff ORDER BY t) AS n FROM hist) SELECT course_id, k, cutoff, round(sum(y * n) / sum(n), 6) AS linear_decay FROM r GROUP BY ALL",
-    "gap_stats": PANEL + _GAPS + "SELECT course_id, k, round(avg(gap), 6) AS mean_gap, round(stddev_samp(gap), 6) AS sd_gap, count(*) AS n_gaps FROM seen WHERE gap IS NOT NULL GROUP BY ALL",
+    + "SELECT course_id, k, cutoff, round(sum(y * pow(0.5, (cutoff - 1 - t) / 1.5)) / sum(pow(0.5, (cutoff - 1 - t) / 1.5)) + 1e-10, 6) AS ewma_short, round(sum(y * pow(0.5, (cutoff - 1 - t) / 6.0)) / sum(pow(0.5, (cutoff - 1 - t) / 6.0)) + 1e-10, 6) AS ewma_long FROM hist GROUP BY ALL",
+    "linear_decay": PANEL + ", r AS (SELECT *, row_number() OVER (PARTITION BY course_id, k, cutoff ORDER BY t) AS n FROM hist) SELECT course_id, k, cutoff, round(sum(y * n) / sum(n) + 1e-10, 6) AS linear_decay FROM r GROUP BY ALL",
+    "gap_stats": PANEL + _GAPS + "SELECT course_id, k, round(avg(gap) + 1e-10, 6) AS mean_gap, round(stddev_samp(gap) + 1e-10, 6) AS sd_gap, count(*) AS n_gaps FROM seen WHERE gap IS NOT NULL GROUP BY ALL",
     "gap_list": PANEL + _GAPS + "SELECT course_id, k, t, gap::BIGINT AS gap FROM seen WHERE gap IS NOT NULL",
-    "pooled_hazard": PANEL + _HAZ + "SELECT course_id, gap, hits, opportunities, round(rate, 6) AS rate FROM rates",
+    "pooled_hazard": PANEL + _HAZ + "SELECT course_id, gap, hits, opportunities, round(rate + 1e-10, 6) AS rate FROM rates",
     "hazard_at": PANEL
     + _HAZ
-    + ", l AS (SELECT course_id, k, coalesce(least(max(t) + 1 - max(CASE WHEN y > 0 THEN t END), 6), 0)::BIGINT AS gap FROM cells GROUP BY 1, 2) SELECT l.course_id, l.k, round(coalesce(r.rate, b.base), 6) AS hazard FROM l JOIN base b USING (course_id) LEFT JOIN rates r ON r.course_id = l.course_id AND r.gap = l.gap",
+    + ", l AS (SELECT course_id, k, coalesce(least(max(t) + 1 - max(CASE WHEN y > 0 THEN t END), 6), 0)::BIGINT AS gap FROM cells GROUP BY 1, 2) SELECT l.course_id, l.k, round(coalesce(r.rate, b.base) + 1e-10, 6) AS hazard FROM l JOIN base b USING (course_id) LEFT JOIN rates r ON r.course_id = l.course_id AND r.gap = l.gap",
     "transition_counts": PANEL
     + ", p AS (SELECT *, lag(y) OVER (PARTITION BY course_id, k ORDER BY t) AS p FROM cells) SELECT course_id, k, "
     + ", ".join(f"count(*) FILTER (WHERE p = {a} AND y = {b}) AS n{a}{b}" for a in (0, 1) for b in (0, 1))
     + " FROM p WHERE p IS NOT NULL GROUP BY ALL",
     "trend_slope": PANEL
-    + "SELECT c.course_id, c.k, round(CASE WHEN count(*) >= 3 THEN regr_slope(c.y, c.t) ELSE 0 END, 6) AS slope FROM cells c JOIN ends e USING (course_id) WHERE c.t > e.last_t - 6 GROUP BY 1, 2",
+    + "SELECT c.course_id, c.k, round(CASE WHEN count(*) >= 3 THEN regr_slope(c.y, c.t) ELSE 0 END + 1e-10, 6) AS slope FROM cells c JOIN ends e USING (course_id) WHERE c.t > e.last_t - 6 GROUP BY 1, 2",
     "sequential_lift": PANEL
-    + ", b AS (SELECT course_id, k, avg(y) AS base FROM cells GROUP BY ALL), n AS (SELECT c.course_id, c.k AS j, count(*) AS n_j FROM cells c JOIN ends e USING (course_id) WHERE c.y > 0 AND c.t < e.last_t GROUP BY ALL), p AS (SELECT a.course_id, a.k AS j, c.k, count(*) AS together FROM cells a JOIN cells c ON a.course_id = c.course_id AND c.t = a.t + 1 WHERE a.y > 0 AND c.y > 0 GROUP BY ALL) SELECT p.course_id, p.j, p.k, together, round(((together + 2 * base) / (n_j + 2)) / (base + 1e-6), 6) AS lift FROM p JOIN n ON n.course_id = p.course_id AND n.j = p.j JOIN b ON b.course_id = p.course_id AND b.k = p.k",
+    + ", b AS (SELECT course_id, k, avg(y) AS base FROM cells GROUP BY ALL), n AS (SELECT c.course_id, c.k AS j, count(*) AS n_j FROM cells c JOIN ends e USING (course_id) WHERE c.y > 0 AND c.t < e.last_t GROUP BY ALL), p AS (SELECT a.course_id, a.k AS j, c.k, count(*) AS together FROM cells a JOIN cells c ON a.course_id = c.course_id AND c.t = a.t + 1 WHERE a.y > 0 AND c.y > 0 GROUP BY ALL) SELECT p.course_id, p.j, p.k, together, round(((together + 2 * base) / (n_j + 2)) / (base + 1e-6) + 1e-10, 6) AS lift FROM p JOIN n ON n.course_id = p.course_id AND n.j = p.j JOIN b ON b.course_id = p.course_id AND b.k = p.k",
     "streaks": PANEL
     + ", h AS (SELECT course_id, k, cutoff, max(CASE WHEN y > 0 THEN t END) AS one, max(CASE WHEN y = 0 THEN t END) AS nil FROM hist GROUP BY ALL) SELECT f.course_id, f.k, f.t AS cutoff, (CASE WHEN coalesce(one, -1) > coalesce(nil, -1) THEN f.t - 1 - coalesce(nil, -1) ELSE 0 END)::BIGINT AS present, (CASE WHEN coalesce(nil, -1) > coalesce(one, -1) THEN f.t - 1 - coalesce(one, -1) ELSE 0 END)::BIGINT AS absent FROM cellsf f LEFT JOIN h ON h.course_id = f.course_id AND h.k = f.k AND h.cutoff = f.t",
     "since_last": PANEL
     + ", h AS (SELECT course_id, k, cutoff, max(CASE WHEN y > 0 THEN t END) AS one FROM hist GROUP BY ALL) SELECT f.course_id, f.k, f.t AS cutoff, coalesce(f.t - one, f.t + 1)::BIGINT AS since FROM cellsf f LEFT JOIN h ON h.course_id = f.course_id AND h.k = f.k AND h.cutoff = f.t",
     "last_n_windows": PANEL
     + "SELECT course_id, k, cutoff, "
-    + ", ".join(f"round(avg(y) FILTER (WHERE t >= cutoff - {n}), 6) AS last{n}" for n in (1, 2, 3, 5))
+    + ", ".join(f"round(avg(y) FILTER (WHERE t >= cutoff - {n}) + 1e-10, 6) AS last{n}" for n in (1, 2, 3, 5))
     + ", sum(y) FILTER (WHERE t >= cutoff - 3)::BIGINT AS recent_hits FROM hist GROUP BY ALL",
-    "rollup_totals": PANEL + "SELECT course_id, unit, k, count(*) AS n_obs, round(sum(share), 6) AS marks FROM (SELECT *, k % 5 AS unit FROM obs) GROUP BY ROLLUP (course_id, unit, k)",
+    "rollup_totals": PANEL + "SELECT course_id, unit, k, count(*) AS n_obs, round(sum(share) + 1e-10, 6) AS marks FROM (SELECT *, k % 5 AS unit FROM obs) GROUP BY ROLLUP (course_id, unit, k)",
 }
-_PAIRS = ", b AS (SELECT course_id, k, avg(y) AS base FROM cells GROUP BY ALL), n AS (SELECT course_id, k AS j, count(*) AS n_j FROM cells WHERE y > 0 GROUP BY ALL), p AS (SELECT a.course_id, a.k AS j, c.k, count(*) AS together FROM cells a JOIN cells c ON a.course_id = c.course_id AND c.t = a.t AND a.k < c.k WHERE a.y > 0 AND c.y > 0 GROUP BY ALL), lifts AS (SELECT p.course_id, p.j, p.k, together, round(((together + 2 * base) / (n_j + 2)) / (base + 1e-6), 6) AS lift FROM p JOIN n ON n.course_id = p.course_id AND n.j = p.j JOIN b ON b.course_id = p.course_id AND b.k = p.k) "
+_PAIRS = ", b AS (SELECT course_id, k, avg(y) AS base FROM cells GROUP BY ALL), n AS (SELECT course_id, k AS j, count(*) AS n_j FROM cells WHERE y > 0 GROUP BY ALL), p AS (SELECT a.course_id, a.k AS j, c.k, count(*) AS together FROM cells a JOIN cells c ON a.course_id = c.course_id AND c.t = a.t AND a.k < c.k WHERE a.y > 0 AND c.y > 0 GROUP BY ALL), lifts AS (SELECT p.course_id, p.j, p.k, together, round(((together + 2 * base) / (n_j + 2)) / (base + 1e-6) + 1e-10, 6) AS lift FROM p JOIN n ON n.course_id = p.course_id AND n.j = p.j JOIN b ON b.course_id = p.course_id AND b.k = p.k) "
 ORACLES["same_exam_lift"] = PANEL + _PAIRS + "SELECT * FROM lifts"
 ORACLES["lift_edges"] = PANEL + _PAIRS + "SELECT * FROM lifts WHERE together >= 3 AND lift >= 1.3 ORDER BY together DESC, lift DESC, course_id, j, k LIMIT 60"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["hierarchies", "panels"]
+MODULES = ["hierarchies", "panels", "forecasts", "texts"]
 
 
 def collected() -> tuple[dict, dict]:
