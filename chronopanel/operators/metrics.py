@@ -101,9 +101,9 @@ def t_bound(n: Column, p: float = 0.95, most: int = 200) -> Column:
 def select_by_one_se(folds: DataFrame, metric: str, order: list[str]) -> DataFrame:
     """model, mean, chosen: the simplest (first in order) model within one standard error of the best mean."""
     s = mean_and_se(folds, metric, "model")
-    best = s.agg(F.max_by(F.struct("mean", "se"), F.struct("mean", "model")).alias("b")).select(F.col("b.mean").alias("bm"), F.coalesce("b.se", F.lit(0.0)).alias("bs"))
+    best = F.max(F.struct("mean", "model", "se")).over(W.partitionBy(F.lit(0)))  # a row a model
     simple = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
-    x = s.join(F.broadcast(best)).where(F.col("mean") >= F.col("bm") - F.col("bs")).withColumn("simple", simple)
+    x = s.withColumn("_b", best).where(F.col("mean") >= F.col("_b.mean") - F.coalesce("_b.se", F.lit(0.0))).withColumn("simple", simple)
     return x.orderBy("simple").limit(1).select("model", "mean")
 
 
@@ -136,7 +136,8 @@ def ensemble_weights(folds: DataFrame, metric: str, components: dict[str, float]
     base = folds.where(F.col("model") == baseline).select("course_id", "cutoff", F.col(metric).alias("_b"))
     mine = folds.where(F.col("model").isin(*components)).join(base, ["course_id", "cutoff"]).withColumn("g", F.col(metric) - F.col("_b"))
     past = mine.join(cut, "course_id").where("cutoff < target").groupBy("course_id", "target", "model").agg(F.avg("g").alias("m"), F.stddev_samp("g").alias("s"), F.count("*").alias("n"))
-    every = cut.crossJoin(F.broadcast(folds.sparkSession.createDataFrame(sorted(components.items()), "model string, df double")))  # a row a component: their number is fixed
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(df)).alias("df")) for m, df in sorted(components.items())]))
+    every = cut.select("course_id", "target", one.alias("_c")).select("course_id", "target", "_c.model", "_c.df")
     x = every.join(past, ["course_id", "target", "model"], "left")
     skill = F.when((F.col("n") >= 2) & (F.col("s") > 0), F.col("m") / F.col("s") * F.col("n") / (F.col("n") + shrink)).otherwise(0.0)
     rho = F.when(F.col("df") == 0, 1.0).otherwise(F.col("target") / (F.col("target") + F.col("df")))
