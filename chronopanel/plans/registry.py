@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["hierarchies", "panels", "forecasts", "texts", "reporting", "linkage", "modelling"]
+MODULES = ["hierarchies", "panels", "forecasts", "texts", "reporting", "linkage", "modelling", "ingest"]
 
 
 def collected() -> tuple[dict, dict]:
