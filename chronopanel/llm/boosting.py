@@ -64,7 +64,7 @@ class Boosted:
         return np.where(b[:, j] <= i, self._apply(low, b), self._apply(high, b))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        b = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1) if len(self.edges) and len(x) else np.zeros((len(x), 0), int)
+        b = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1) if len(self.edges) else np.zeros((len(x), 0), int)
         out = np.zeros((len(x), len(self.classes)))
         for k, trees in enumerate(self.trees):
             out[:, k] = self.start[k] + self.rate * sum((self._apply(t, b) for t in trees), np.zeros(len(x)))
