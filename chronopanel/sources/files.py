@@ -109,7 +109,7 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def lines_of_boxes(boxes: DataFrame, keys: list[str], gap: float = 4.0) -> DataFrame:
-    """keys, line: words of boxes (x, width, word) put to lines; a gap of more than so many median character widths
+    """keys, text: words of boxes (x, width, word) put to lines; a gap of more than so many median character widths
     becomes four spaces."""
     from pyspark.sql import Window as W
 
@@ -118,7 +118,7 @@ def lines_of_boxes(boxes: DataFrame, keys: list[str], gap: float = 4.0) -> DataF
     far = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w) > gap * F.col("_char")
     x = boxes.withColumn("_char", char).withColumn("_sep", F.when(F.lag("x").over(w).isNull(), "").when(far, "    ").otherwise(" "))
     parts = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", F.concat("_sep", "word").alias("t")))).alias("p"))
-    return parts.select(*keys, F.array_join(F.transform("p", lambda v: v["t"]), "").alias("line"))
+    return parts.select(*keys, F.array_join(F.transform("p", lambda v: v["t"]), "").alias("text"))
 
 
 def slug(name: Column) -> Column:
