@@ -111,22 +111,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
 
 
-def align(questions: DataFrame, nodes: DataFrame, top: int = 2, cos_share: float = 0.6) -> DataFrame:
-    """question_id, node_id, rank, score, sim, coverage: the best nodes of each question, by the cosine of their term
-    vectors and the idf-weighted share of the question's known terms that the node has.
+def align(questions: DataFrame, nodes: DataFrame, scope: str = "course_id", top: int = 2, cos_share: float = 0.6) -> DataFrame:
+    """question_id, node_id, rank, score, sim, coverage: the best nodes of each question in its own scope (a course), by the
+    cosine of their term vectors and the idf-weighted share of the question's known terms that the node has.
 
-    questions: question_id, term, tf; nodes: node_id, term, tf. Weights are fitted on the nodes alone. Only pairs that
-    share a term are scored; a question without a known term has no match.
+    questions: scope, question_id, term, tf; nodes: scope, node_id, term, tf; terms should be content terms, for every
+    pair that shares one is scored. Weights are fitted on the scope's nodes alone. A question without a known term has no
+    match.
     """
-    n = nodes.agg(F.count_distinct("node_id").alias("n")).first()["n"]  # one number
-    idf = nodes.groupBy("term").agg((F.ln((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    nv = tfidf(nodes, "node_id")
-    qv = tfidf(questions, "question_id", nodes)
-    total = questions.join(idf, "term").groupBy("question_id").agg(F.sum("idf").alias("total"))
-    pairs = qv.withColumnRenamed("w", "wq").join(nv, "term").join(idf, "term").groupBy("question_id", "node_id").agg(F.sum(F.col("wq") * F.col("w")).alias("sim"), F.sum("idf").alias("had"))
-    x = pairs.join(total, "question_id").withColumn("coverage", F.col("had") / F.col("total"))
-    x = x.withColumn("score", cos_share * F.greatest("sim", F.lit(0.0)) + (1 - cos_share) * F.col("coverage"))
-    x = x.withColumn("score", F.round("score", 9))
+    n = nodes.groupBy(scope).agg(F.count_distinct("node_id").alias("n"))
+    df = nodes.groupBy(scope, "term").agg(F.count("*").alias("df"))
+    idf = df.join(n, scope).select(scope, "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def unit(counts: DataFrame, key: str) -> DataFrame:
+        x = counts.join(idf, [scope, "term"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+        return x.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(scope, key)))).select(scope, key, "term", "idf", "w")
+
+    qv = unit(questions, "question_id")
+    total = qv.groupBy(scope, "question_id").agg(F.sum("idf").alias("total"))
+    nv = unit(nodes, "node_id").select(scope, "node_id", "term", F.col("w").alias("wn"))
+    pairs = qv.join(nv, [scope, "term"]).groupBy(scope, "question_id", "node_id").agg(F.sum(F.col("w") * F.col("wn")).alias("sim"), F.sum("idf").alias("had"))
+    x = pairs.join(total, [scope, "question_id"]).withColumn("coverage", F.col("had") / F.col("total"))
+    x = x.withColumn("score", F.round(cos_share * F.greatest("sim", F.lit(0.0)) + (1 - cos_share) * F.col("coverage"), 9))
     return top_matches(x, "question_id", "node_id", top, "score").select("question_id", "node_id", "rank", "score", "sim", "coverage")
 
 

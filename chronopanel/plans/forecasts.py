@@ -31,13 +31,14 @@ def features(spark, d):
 
 
 def scored(spark, d, models=X.MODELS):
-    return X.long_scores(X.scores(features(spark, d)), models)
+    """Scores of all models, written once."""
+    return cut(X.long_scores(X.scores(features(spark, d)), models))
 
 
 def _folds(spark, d, models=X.MODELS):
-    c = cut(cells(spark, d))
-    f = M.with_truth(scored(spark, d, models), c)
-    return M.fold_metrics(f, P.resolve_top_k(c)), c
+    """Scores, folds and cells; each is written once, however often it is read."""
+    c, long = cut(cells(spark, d)), scored(spark, d, models)
+    return long, cut(M.fold_metrics(M.with_truth(long, c), P.resolve_top_k(c))), c
 
 
 _SIMPLE = ["frequency", "last_exam", "window3", "ewma_15", "linear_decay", "freq_recency", "bayes"]
@@ -63,9 +64,7 @@ def simple_folds(spark, d):
 
 def _flagship(spark, d):
     """All models and the ensemble on every past exam: mean and standard error of the ranking quality."""
-    folds, c = _folds(spark, d)
-    folds = cut(folds)
-    long = cut(scored(spark, d, list(COMPONENTS)))
+    long, folds, c = _folds(spark, d)
     ens = M.ensemble_scores(long, M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency"))
     both = folds.unionByName(M.fold_metrics(M.with_truth(ens, c), P.resolve_top_k(c)))
     return rounded(M.mean_and_se(both, "ndcg", "model"))
@@ -73,10 +72,9 @@ def _flagship(spark, d):
 
 def _ranking(spark, d):
     """The forecast: items of the next exam by the ensemble, with rank and category."""
-    folds, c = _folds(spark, d, list(COMPONENTS))
-    folds = cut(folds)
+    long, folds, c = _folds(spark, d, list(COMPONENTS))
     nxt = c.groupBy("course_id").agg((F.max("t") + 1).alias("cutoff"))
-    long = scored(spark, d, list(COMPONENTS)).join(nxt, ["course_id", "cutoff"])
+    long = long.join(nxt, ["course_id", "cutoff"])
     # Weights at the next exam: all folds count.
     w = M.ensemble_weights(folds.unionByName(nxt.select("course_id", F.lit("frequency").alias("model"), F.col("cutoff").cast("int").alias("cutoff")), allowMissingColumns=True), "ndcg", COMPONENTS, "frequency")
     e = M.ensemble_scores(long, w)
@@ -92,9 +90,8 @@ def _tuned(spark, d):
 
 def _select_final(spark, d):
     """Whether the ensemble is final, or a single model that beats it beyond the t bound."""
-    folds, c = _folds(spark, d, list(COMPONENTS))
-    folds = cut(folds)
-    ens = M.fold_metrics(M.with_truth(M.ensemble_scores(scored(spark, d, list(COMPONENTS)), M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency")), c), P.resolve_top_k(c))
+    long, folds, c = _folds(spark, d, list(COMPONENTS))
+    ens = M.fold_metrics(M.with_truth(M.ensemble_scores(long, M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency")), c), P.resolve_top_k(c))
     x = M.paired(folds.unionByName(ens), "ndcg", "ensemble").withColumn("beats", F.col("mean_diff") > M.t_bound(F.col("n")) * F.col("se"))
     return rounded(x.select("model", "n", "mean_diff", "se", F.coalesce("beats", F.lit(False)).cast("int").alias("beats")))
 
@@ -107,8 +104,8 @@ def _probabilities(spark, d):
 
 def _ablation(spark, d):
     """Mean quality of ensembles that leave one component out, against the whole one."""
-    folds, c = _folds(spark, d, list(COMPONENTS))
-    folds, long, k = cut(folds), cut(scored(spark, d, list(COMPONENTS))), P.resolve_top_k(c)
+    long, folds, c = _folds(spark, d, list(COMPONENTS))
+    k = P.resolve_top_k(c)
     w = cut(M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency"))
     sets = {"all": list(COMPONENTS)} | {f"without_{m}": [x for x in COMPONENTS if x != m] for m in COMPONENTS}
     stage = F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.array(*[F.lit(x) for x in m]).alias("members")) for n, m in sets.items()]))

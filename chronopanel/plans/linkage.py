@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronopanel.functions import text as T
+from chronopanel.operators import panel as P
 from chronopanel.operators import recurrence as R
 from chronopanel.operators import trees
 from chronopanel.operators import vectors as V
@@ -30,6 +31,17 @@ def _scoped(spark, d):
     return q.select("course_id", "question_id", F.explode(T.content_terms(F.col("text"), False)).alias("term"))
 
 
+def _aligned(spark, d):
+    """Questions against the nodes of their course, by content terms."""
+    course = P.exams_once(table(spark, d, "exams")).select("exam_id", "course_id")
+    q = questions(spark, d, "exam_id", "text").where("text is not null").join(course, "exam_id")
+    q = q.select("course_id", "question_id", F.explode(T.content_terms(F.col("text"), False)).alias("term"), F.lit(1).alias("tf"))
+    f = facts(spark, d)
+    n = f.select("node_id", "course_id").join(trees.node_documents(f), "node_id").where("course_id is not null")
+    n = n.select("course_id", "node_id", F.explode(T.content_terms(F.col("document"), False)).alias("term"), F.lit(1).alias("tf"))
+    return V.align(q, n)
+
+
 def _links(spark, d):
     return R.recurrence_links(_scoped(spark, d), ["course_id"])
 
@@ -66,7 +78,7 @@ QUERIES = {
     "term_counts": lambda s, d: question_terms(s, d),
     "tfidf_nodes": lambda s, d: rounded(V.tfidf(node_terms(s, d), "node_id")),
     "char_vectors": lambda s, d: rounded(V.tfidf(V.term_counts(facts(s, d).where("title is not null"), "node_id", V.char_ngrams(F.col("title"))), "node_id").groupBy("node_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))),
-    "align_questions": lambda s, d: rounded(V.align(question_terms(s, d), node_terms(s, d))),
+    "align_questions": lambda s, d: rounded(_aligned(s, d)),
     "unknown_terms": lambda s, d: rounded(V.unknown_terms(question_terms(s, d), node_terms(s, d))),
     "bm25_search": _search,
     "vector_search": lambda s, d: rounded(_vectors(s, d)),
@@ -86,8 +98,11 @@ lk AS (SELECT cb.course_id, id_1, id_2, b / (x.n + y.n - b) AS sim FROM cb JOIN
 ORACLES = {
     "term_counts": f"WITH {_QT} SELECT * FROM qt",
     "tfidf_nodes": f"WITH {_NT} SELECT node_id, term, round(w + 1e-10, 6) AS w FROM nv",
-    "align_questions": f"""WITH {_QT}, {_NT}, q0 AS (SELECT question_id, term, (1 + ln(tf)) * idf AS w, idf FROM qt JOIN idf USING (term)), qv AS (SELECT question_id, term, idf, w / sqrt(sum(w * w) OVER (PARTITION BY question_id)) AS w, sum(idf) OVER (PARTITION BY question_id) AS total FROM q0),
-    p AS (SELECT question_id, node_id, sum(qv.w * nv.w) AS sim, sum(qv.idf) / any_value(total) AS coverage FROM qv JOIN nv USING (term) GROUP BY ALL), s AS (SELECT *, round(0.6::DOUBLE * greatest(sim, 0) + 0.4::DOUBLE * coverage, 9) AS score FROM p),
+    "align_questions": f"""WITH {_LAT}, q AS (SELECT course_id, question_id, unnest({_ORDERED}) AS term FROM (SELECT e.course_id, q.question_id, {_KEPT} AS l FROM (SELECT DISTINCT question_id, exam_id, text FROM questions WHERE text IS NOT NULL) q JOIN (SELECT DISTINCT exam_id, course_id FROM exams) e USING (exam_id))),
+    n AS (SELECT course_id, node_id, unnest({_ORDERED}) AS term FROM (SELECT course_id, node_id, {_KEPT} AS l FROM (SELECT a.course_id, a.node_id, concat_ws(' ', a.title, a.title, coalesce(array_to_string(a.concepts, ' '), ''), p.title) AS text FROM lat a LEFT JOIN lat p ON a.parent_id = p.node_id WHERE a.course_id IS NOT NULL))),
+    sz AS (SELECT course_id, count(DISTINCT node_id) AS n FROM n GROUP BY 1), idf AS (SELECT course_id, term, ln((1 + any_value(sz.n)) / (1 + count(*))) + 1 AS idf FROM n JOIN sz USING (course_id) GROUP BY ALL),
+    qv AS (SELECT q.*, idf, idf / sqrt(sum(idf * idf) OVER (PARTITION BY question_id)) AS w, sum(idf) OVER (PARTITION BY question_id) AS total FROM q JOIN idf USING (course_id, term)), nv AS (SELECT n.*, idf / sqrt(sum(idf * idf) OVER (PARTITION BY node_id)) AS w FROM n JOIN idf USING (course_id, term)),
+    p AS (SELECT question_id, node_id, sum(qv.w * nv.w) AS sim, sum(qv.idf) / any_value(total) AS coverage FROM qv JOIN nv USING (course_id, term) GROUP BY ALL), s AS (SELECT *, round(0.6::DOUBLE * greatest(sim, 0) + 0.4::DOUBLE * coverage, 9) AS score FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id)::INT AS rank FROM s) SELECT question_id, node_id, rank, round(score + 1e-10, 6) AS score, round(sim + 1e-10, 6) AS sim, round(coverage + 1e-10, 6) AS coverage FROM r WHERE rank <= 2""",
     "unknown_terms": f"WITH {_QT}, {_NT} SELECT question_id, count(*) FILTER (WHERE idf.term IS NULL) AS unknown, round(count(*) FILTER (WHERE idf.term IS NULL) / count(*) + 1e-10, 6) AS share FROM qt LEFT JOIN idf USING (term) GROUP BY 1",
     "bm25_search": f"""WITH {_QT}, ln AS (SELECT question_id, sum(tf) AS len FROM qt GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS av FROM ln), df AS (SELECT term, count(*) AS df FROM qt GROUP BY 1), qs(query_id, prefix) AS (VALUES (1, 'volt'), (1, 'pump'), (2, 'visco'), (2, 'rotor'), (3, 'of')),
