@@ -185,7 +185,7 @@ def split_sequential(questions: DataFrame, key: str = "question_id", text: str =
     return questions.select(key, text).mapInPandas(run, f"`{key}` long, part int, label string, text string")
 
 
-_EQ = re.compile(r"(?:[A-Za-zΑ-ωΔ]{1,3}|\d+(?:\.\d+)?|[()²³^_])(?:\s*(?:[=+×*/^−≈<>≤≥-])\s*(?:[A-Za-zΑ-ωΔ]{1,3}(?![A-Za-z])|\d+(?:\.\d+)?|[()²³])\s*[²³]?)+")
+_EQ = re.compile(r"(?<![A-Za-z])(?:[A-Za-zΑ-ωΔ]{1,3}|\d+(?:\.\d+)?|[()²³^_])(?: *(?:[=+×*/^−≈<>≤≥]) *(?:[A-Za-zΑ-ωΔ]{1,3}(?![A-Za-z])|\d+(?:\.\d+)?|[()²³])(?: ?[²³])?)+")
 
 
 def equations(texts: DataFrame, key: str, text: str) -> DataFrame:

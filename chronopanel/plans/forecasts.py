@@ -190,8 +190,41 @@ fm AS (SELECT course_id, model, cutoff, sum(rel)::BIGINT AS relevant, sum(rel) F
   sum(cum / rank) FILTER (WHERE rel > 0) / sum(rel) AS average_precision, max(rel) FILTER (WHERE rank <= 1) AS hit_1, max(rel) FILTER (WHERE rank <= 3) AS hit_3, max(rel) FILTER (WHERE rank <= 5) AS hit_5, max(rel) FILTER (WHERE rank <= 10) AS hit_10
   FROM rc GROUP BY ALL HAVING sum(rel) > 0)
 """
+_TQ = "[" + ", ".join(f"{M.t_quantile(0.95, i)!r}" for i in range(1, 200)) + "]"
+_TIME = PANEL + """, nx AS (SELECT a.course_id, a.k, a.t AS c, b.t, b.y, lag(b.t) OVER w AS pt, lag(b.y) OVER w AS py, max(CASE WHEN b.y > 0 THEN b.t END) OVER (PARTITION BY a.course_id, a.k, a.t ORDER BY b.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po
+    FROM cellsf a JOIN cells b ON a.course_id = b.course_id AND a.k = b.k AND b.t < a.t WHERE a.t > 0 WINDOW w AS (PARTITION BY a.course_id, a.k, a.t ORDER BY b.t)),
+s AS (SELECT course_id, k, c, max(CASE WHEN y > 0 THEN t END) AS one, max(CASE WHEN y = 0 THEN t END) AS nil, sum(y) AS n, count(*) AS steps, avg(CASE WHEN y > 0 THEN t - po END) AS mg0, stddev_samp(CASE WHEN y > 0 THEN t - po END) AS sd0,
+    count(*) FILTER (WHERE py = 0 AND y = 0) AS n00, count(*) FILTER (WHERE py = 0 AND y = 1) AS n01, count(*) FILTER (WHERE py = 1 AND y = 0) AS n10, count(*) FILTER (WHERE py = 1 AND y = 1) AS n11, arg_max(y, t) AS ly,
+    regr_slope(y, t) FILTER (WHERE t >= c - 6) AS slope, count(*) FILTER (WHERE t >= c - 6) AS m6 FROM nx GROUP BY ALL),
+p AS (SELECT *, coalesce(avg(mg0) OVER g, greatest(steps / 2, 1)) AS pool, (sum(n01) OVER g + 0.5) / (sum(n00) OVER g + sum(n01) OVER g + 1) AS p0, (sum(n11) OVER g + 0.5) / (sum(n10) OVER g + sum(n11) OVER g + 1) AS p1 FROM s WINDOW g AS (PARTITION BY course_id, c)),
+f AS (SELECT *, coalesce(mg0, CASE WHEN n > 0 THEN steps / n END, pool) AS mg, coalesce(c - one, c + 1) AS since, CASE WHEN n > 0 THEN least(c - one, 6) ELSE 0 END AS gap FROM p), f2 AS (SELECT *, coalesce(sd0, mg) AS sd FROM f),
+bs AS (SELECT a.course_id, a.c, avg(b.y) AS base FROM (SELECT DISTINCT course_id, t AS c FROM cellsf WHERE t > 0) a JOIN cells b ON a.course_id = b.course_id AND b.t < a.c GROUP BY ALL),
+hz AS (SELECT course_id, c, coalesce(least(t - po, 6), 0) AS gap, sum(y) AS hits, count(*) AS opps FROM nx WHERE t > 0 GROUP BY ALL)
+"""
 _R = lambda *cols: ", ".join(f"round({c} + 1e-10, 6) AS {c}" for c in cols)
 ORACLES = {
+    "features_timing": _TIME
+    + """SELECT f2.course_id, f2.k, f2.c AS cutoff, round(least(since, 10) / 10 + 1e-10, 6) AS since_last, (n = 0)::INT::DOUBLE AS never_seen, round(CASE WHEN coalesce(one, -1) > coalesce(nil, -1) THEN least(f2.c - 1 - coalesce(nil, -1), 6) / 6 ELSE 0 END + 1e-10, 6) AS streak_present,
+    round(CASE WHEN coalesce(nil, -1) > coalesce(one, -1) THEN least(f2.c - 1 - coalesce(one, -1), 10) / 10 ELSE 0 END + 1e-10, 6) AS streak_absent, round(least(mg, 10) / 10 + 1e-10, 6) AS mean_gap, round(least(greatest(sd / mg, 0), 3) + 1e-10, 6) AS gap_cv,
+    round(least(greatest((CASE WHEN n > 0 THEN since ELSE steps + 1 END - mg) / (sd + 1), -3), 3) + 1e-10, 6) AS due_z, round(CASE WHEN ly > 0 THEN (n11 + 2 * p1) / (n10 + n11 + 2) ELSE (n01 + 2 * p0) / (n00 + n01 + 2) END + 1e-10, 6) AS markov_next,
+    round(CASE WHEN m6 >= 3 THEN least(greatest(coalesce(slope, 0), -0.5), 0.5) ELSE 0 END + 1e-10, 6) AS trend, round(coalesce((hz.hits + 3 * base) / (hz.opps + 3), base) + 1e-10, 6) AS hazard
+    FROM f2 JOIN bs ON bs.course_id = f2.course_id AND bs.c = f2.c LEFT JOIN hz ON hz.course_id = f2.course_id AND hz.c = f2.c AND hz.gap = f2.gap""",
+    "features_cooccurrence": PANEL
+    + """, sn AS (SELECT course_id, t, k FROM cells WHERE y > 0), l AS (SELECT course_id, t + 1 AS c, k AS j FROM sn), nj AS (SELECT l.course_id, l.c, l.j, count(s.t) AS n FROM l LEFT JOIN sn s ON s.course_id = l.course_id AND s.k = l.j AND s.t + 1 < l.c GROUP BY ALL),
+    b AS (SELECT course_id, k, cutoff AS c, avg(y) AS base FROM hist GROUP BY ALL), fo AS (SELECT x.course_id, x.k AS j, z.k, z.t FROM sn x JOIN sn z ON x.course_id = z.course_id AND z.t = x.t + 1),
+    pr AS (SELECT b.course_id, b.k, b.c, b.base, nj.j, nj.n, count(fo.t) AS hits FROM b JOIN nj ON nj.course_id = b.course_id AND nj.c = b.c LEFT JOIN fo ON fo.course_id = b.course_id AND fo.j = nj.j AND fo.k = b.k AND fo.t < b.c GROUP BY ALL),
+    li AS (SELECT course_id, k, c, avg((hits + 2 * base) / (n + 2)) / (any_value(base) + 1e-6) AS lift FROM pr GROUP BY ALL)
+    SELECT b.course_id, b.k, b.c AS cutoff, round(CASE WHEN lift IS NULL THEN 0 ELSE ln(greatest(lift, 1e-3)) END + 1e-10, 6) AS cooc_lift_last FROM b LEFT JOIN li USING (course_id, k, c)""",
+    "tuned_choice": _FM
+    + f""", df AS (SELECT a.course_id, a.cutoff, a.model, a.ndcg - b.ndcg AS d FROM fm a JOIN fm b ON a.course_id = b.course_id AND a.cutoff = b.cutoff AND b.model = 'frequency' WHERE a.model IN ('window3', 'ewma_15', 'linear_decay', 'bayes')), c AS (SELECT DISTINCT course_id, cutoff FROM fm),
+    p AS (SELECT c.course_id, c.cutoff, model, avg(d) AS m, stddev_samp(d) AS s, count(*) AS n FROM c JOIN df ON df.course_id = c.course_id AND df.cutoff < c.cutoff GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY course_id, cutoff ORDER BY m DESC, model DESC) AS r FROM p WHERE n >= 2 AND m > {_TQ}[least(n - 1, 199)] * s / sqrt(n))
+    SELECT course_id, cutoff, coalesce(model, 'frequency') AS model FROM c LEFT JOIN (SELECT * FROM g WHERE r = 1) USING (course_id, cutoff)""",
+    "one_se_rule": _FM
+    + f", s AS (SELECT model, avg(ndcg) AS mean, stddev_samp(ndcg) / sqrt(count(*)) AS se FROM fm GROUP BY 1), b AS (SELECT mean, se FROM s ORDER BY mean DESC, model DESC LIMIT 1) SELECT s.model, round(s.mean + 1e-10, 6) AS mean FROM s, b WHERE s.mean >= b.mean - b.se ORDER BY list_position({_SIMPLE}, s.model) LIMIT 1",
+    "supporting_signals": _H
+    + """, ms AS (SELECT a.course_id, a.k, a.t AS cutoff, coalesce(avg(CASE WHEN b.y > 0 THEN b.share END), 0) AS marks_share FROM cellsf a JOIN (SELECT *, marks / greatest(sum(marks) OVER (PARTITION BY course_id, t), 1e-9) AS share FROM cells) b ON a.course_id = b.course_id AND a.k = b.k AND b.t < a.t GROUP BY ALL),
+    z AS (SELECT hf.*, marks_share, median(sem_ewma) OVER (PARTITION BY course_id, cutoff) AS med FROM hf JOIN ms USING (course_id, k, cutoff)), w AS (SELECT course_id, k, cutoff, list_filter([CASE WHEN freq_all >= 0.5 THEN 'frequency' END, CASE WHEN ewma_short >= 0.5 THEN 'recency' END, CASE WHEN sem_ewma >= med AND sem_ewma > 0 THEN 'semantic' END, CASE WHEN marks_share >= 0.1 THEN 'marks' END], lambda v: v IS NOT NULL) AS l FROM z)
+    SELECT course_id, k, cutoff, coalesce(array_to_string(l, ', '), '') AS signals, len(l) AS n FROM w""",
     "features_history": _H
     + "SELECT course_id, k, cutoff, "
     + _R("freq_all", "last1", "freq_last3", "freq_last5", "ewma_short", "ewma_long", "linear_decay", "soft_ewma", "soft_mean", "sem_ewma", "sem_density", "base_rate", "bayes_mean")

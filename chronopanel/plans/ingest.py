@@ -67,7 +67,7 @@ def _sessions(spark, d):
 QUERIES = {
     "paper_lines": lambda s, d: P.paper_lines(_exam_pages(s, d)).groupBy("file_id", "kind").agg(F.count("*").alias("n")),
     "parse_papers": lambda s, d: P.parse_papers(_exam_pages(s, d)),
-    "parse_syllabus": lambda s, d: P.parse_syllabus(_pages(s, d)),
+    "parse_syllabus": lambda s, d: P.parse_syllabus(_pages(s, d).join(table(s, d, "source_file").where("kind = 'syllabus'").select("file_id").distinct(), "file_id", "left_semi")),
     "split_sequential": lambda s, d: P.split_sequential(questions(s, d, "text")),
     "equations": lambda s, d: P.equations(_pages(s, d), "page_id", "text"),
     "sniffed_names": lambda s, d: table(s, d, "source_file").select("file_id", "filename").distinct().select("file_id", sniff(F.when(F.col("filename").endswith(".pdf"), F.lit("%PDF-1.7")).when(F.col("filename").endswith(".png"), F.unhex(F.lit("89504E470D0A1A0A")).cast("string")).otherwise(F.lit("text")), F.col("filename")).alias("kind")),

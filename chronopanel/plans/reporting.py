@@ -32,17 +32,18 @@ def maps(spark, d):
 
 
 def _edits(spark, d):
-    """Corrections as they might come in: every 20th question gets new marks, twice; every 90th is taken out."""
-    q = questions(spark, d, "marks").where("question_id % 20 = 0")
-    two = q.select("question_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
-    return two.select("question_id", "seq", F.col("seq").cast("double").alias("marks"), (F.col("question_id") % 90 == 0).alias("deleted"))
+    """Corrections as they might come in: every question that needs review gets new marks, twice; those without marks are
+    taken out."""
+    q = questions(spark, d, "marks", "needs_review").where("needs_review")
+    two = q.select("question_id", "marks", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return two.select("question_id", "seq", F.col("seq").cast("double").alias("marks"), F.col("marks").isNull().alias("deleted"))
 
 
 def _changed(spark, d):
-    q = questions(spark, d, "exam_id", "marks", "format")
-    new = q.where("exam_id % 7 <> 3").withColumn("marks", F.when(F.col("exam_id") % 5 == 0, F.coalesce("marks", F.lit(0.0)) + 1).otherwise(F.col("marks")))
+    """What a second, stricter reading changes: questions read with little confidence are dropped."""
+    q = questions(spark, d, "exam_id", "marks", "format", "parse_confidence")
     f = lambda x: V.fingerprint(x, F.col("exam_id"), "question_id", "marks", "format")
-    return V.changed_parts(f(q), f(new))
+    return V.changed_parts(f(q), f(q.where("parse_confidence >= 0.6")))
 
 
 def _search_filters(spark, d):
@@ -173,10 +174,10 @@ ORACLES = {
     "capped_choice": _SC
     + ", r AS (SELECT sl.course_id, sl.k, sl.score FROM sl JOIN ends ON ends.course_id = sl.course_id AND sl.cutoff = last_t + 1 WHERE model = 'bayes'), u AS (SELECT *, row_number() OVER (PARTITION BY course_id, k % 5 ORDER BY score DESC, k) AS iu FROM r), c AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY score DESC, k)::INT AS pos FROM u WHERE iu <= 3) SELECT course_id, k, round(score + 1e-10, 6) AS score, pos FROM c WHERE pos <= 10",
     "mapping_status": _Q + f"SELECT question_id, k, CASE WHEN score >= 0.34 THEN 'A' WHEN score < 0.12 THEN 'D' WHEN score >= 0.22 THEN 'B' WHEN score IS NULL THEN 'C' ELSE 'C' END AS by_score, round({_CONF} + 1e-10, 6) AS confidence, coalesce(status = 'A' OR (method = 'manual' AND status IN ('A', 'B')) OR (status = 'B' AND score >= 0.22), false)::INT AS counted FROM m",
-    "review_overlay": _Q + "SELECT question_id, exam_id, round(CASE WHEN question_id % 20 = 0 THEN 2 ELSE marks END + 1e-10, 6) AS marks, (question_id % 20 = 0)::INT AS edited FROM q WHERE NOT (question_id % 20 = 0 AND question_id % 90 = 0)",
+    "review_overlay": "WITH q AS (SELECT DISTINCT question_id, exam_id, marks, coalesce(needs_review, false) AS nr FROM questions WHERE question_id IS NOT NULL) SELECT question_id, exam_id, round(CASE WHEN nr THEN 2 ELSE marks END + 1e-10, 6) AS marks, nr::INT AS edited FROM q WHERE NOT (nr AND marks IS NULL)",
     "merge_with_next": _Q + "SELECT exam_id, question_id, concat_ws(' ', text, lead(text) OVER w) AS text, round(marks + lead(marks) OVER w + 1e-10, 6) AS marks FROM q WINDOW w AS (PARTITION BY exam_id ORDER BY question_id) QUALIFY marks + lead(marks) OVER w IS NOT NULL",
     "split_questions": _Q + "SELECT question_id, (generate_subscripts(p, 1))::INT AS part, trim(unnest(p)) AS text FROM (SELECT question_id, list_filter(string_split(text, '. '), lambda x: trim(x) <> '') AS p FROM q WHERE text IS NOT NULL)",
-    "changed_parts": _Q + "SELECT exam_id AS part, CASE WHEN exam_id % 7 = 3 THEN 'removed' ELSE 'changed' END AS change FROM (SELECT DISTINCT exam_id FROM q) WHERE exam_id % 7 = 3 OR exam_id % 5 = 0",
+    "changed_parts": "WITH q AS (SELECT DISTINCT question_id, exam_id, parse_confidence FROM questions WHERE question_id IS NOT NULL), c AS (SELECT exam_id, count(*) AS n, count(*) FILTER (WHERE parse_confidence >= 0.6) AS k FROM q GROUP BY 1) SELECT exam_id AS part, CASE WHEN k = 0 THEN 'removed' ELSE 'changed' END AS change FROM c WHERE k < n",
     "search_filters": "SELECT DISTINCT question_id, exam_id FROM questions WHERE is_leaf AND list_contains(types, 'numerical') AND exam_id IN (SELECT exam_id FROM exams WHERE year IS NOT NULL) AND question_id IN (SELECT question_id FROM mappings WHERE rank = 1)",
     "hybrid_full_outer": _Q + ", a AS (SELECT question_id, 1.0::DOUBLE / length(text) AS kw FROM q WHERE contains(lower(text), 'voltage')), b AS (SELECT question_id, max(score) AS sem FROM m GROUP BY 1 HAVING max(score) > 0.5) SELECT question_id, round(greatest(kw, sem) + 1e-10, 6) AS score FROM a FULL JOIN b USING (question_id)",
     "file_dedupe": "SELECT course_id, sha256, min(file_id) AS file_id, count(DISTINCT file_id) AS uploads FROM source_file WHERE course_id IS NOT NULL AND sha256 IS NOT NULL GROUP BY ALL",

@@ -106,6 +106,9 @@ _FRAC = "coalesce(" + ", ".join([f"CASE WHEN {_SESSION} = '{m}' THEN {(i + 0.5)
 _EXS = "SELECT DISTINCT course_id, t, exam_id, ord, label, total_marks, year, calendar, source_kind FROM exams"
 _LINE = [("or", "(?i)^\\(?or\\)?$"), ("section", "(?i)^(section|group|part)\\s+[\"'']?[a-z0-9]\\b"), ("instruction", "(?i)^(attempt|answer|instructions?|candidates)\\b"), ("marks", "^\\[?\\s*\\d+(?:\\s*[x×+]\\s*\\d+)*\\s*\\]?$"), ("main_sub", "^\\d{1,2}[.)]?\\s*\\([a-z]\\)"), ("dotted", "^\\d+(?:\\.\\d+)+\\.?\\s"), ("main", "^(?:Q\\s*)?\\(?\\d{1,3}[.):]\\)?\\s"), ("roman", "^\\(?[ivx]+[.)]\\s"), ("letter", "^\\(?[a-zA-Z][.)]\\s")]
 
+FLAG_LIST = f"list_filter([CASE WHEN e THEN 'empty' END, CASE WHEN NOT e AND g > 0.25 THEN 'garbled' END, CASE WHEN NOT e AND b > 0.3 THEN 'implausible' END, CASE WHEN NOT e AND {_UNB} THEN 'unbalanced' END, CASE WHEN NOT e AND {_BRK} THEN 'broken_equation' END, CASE WHEN NOT e AND n < 3 THEN 'short' END, CASE WHEN NOT e AND n > 400 THEN 'long' END, CASE WHEN ocr_confidence < 60 THEN 'low_confidence' END], lambda v: v IS NOT NULL)"
+FLAG_COLUMNS = f"coalesce(trim(text, ' ') = '', true) AS e, {_GARB} AS g, len(regexp_extract_all(text, '\\S+')) AS n, coalesce(len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]{{2,}}'), lambda w: {_BAD})) / nullif(len(regexp_extract_all(text, '[A-Za-z0-9]{{2,}}')), 0), 0) AS b"
+CLEAN_QUESTION = f"trim(regexp_replace(regexp_replace({_sql_collapse('text')}, '^\\s*(?:Q\\s*\\d+\\s*[:.)]|\\(?\\d{{1,3}}[.)]|\\(?[a-hivx]{{1,4}}\\))\\s*', ''), '\\s*(?:\\[\\s*[\\d+x×* ]+\\s*\\]|\\(\\s*\\d+(?:\\s*marks?)?\\s*\\))\\s*$', ''))"
 ORACLES = {
     "text_clean": _QS + f"SELECT page_id, md5({_sql_clean('text')}) AS h, length({_sql_clean('text')}) AS n FROM pg",
     "text_math": _QS + f"SELECT question_id, {_sql_math('text')} AS text FROM q",
@@ -115,17 +118,14 @@ ORACLES = {
     "content_stems": _QS + f"SELECT question_id, coalesce(array_to_string({_ORDERED}, '|'), '') AS terms FROM (SELECT question_id, [CASE WHEN length(w) > 5 THEN regexp_replace(w, '(?:ations?|ings?|edly|ed|ies|es|s)$', '') ELSE w END FOR w IN {_KEPT}] AS l FROM q WHERE text IS NOT NULL)",
     "word_counts": f"SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS words, length({_sql_collapse('text')}) AS chars FROM documents",
     "implausible_tokens": _QS + f"SELECT question_id, count(*) AS n, count(*) FILTER (WHERE {_BAD}) AS bad FROM (SELECT question_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{2,}}')) AS w FROM q) GROUP BY 1",
-    "quality_flags": _QS
-    + f"""SELECT page_id, coalesce(array_to_string(list_filter([CASE WHEN e THEN 'empty' END, CASE WHEN NOT e AND g > 0.25 THEN 'garbled' END, CASE WHEN NOT e AND b > 0.3 THEN 'implausible' END, CASE WHEN NOT e AND {_UNB} THEN 'unbalanced' END,
-    CASE WHEN NOT e AND {_BRK} THEN 'broken_equation' END, CASE WHEN NOT e AND n < 3 THEN 'short' END, CASE WHEN NOT e AND n > 400 THEN 'long' END, CASE WHEN ocr_confidence < 60 THEN 'low_confidence' END], lambda v: v IS NOT NULL), '|'), '') AS flags
-    FROM (SELECT *, coalesce(trim(text, ' ') = '', true) AS e, {_GARB} AS g, len(regexp_extract_all(text, '\\S+')) AS n, coalesce(len(list_filter(regexp_extract_all(text, '[A-Za-z0-9]{{2,}}'), lambda w: {_BAD})) / nullif(len(regexp_extract_all(text, '[A-Za-z0-9]{{2,}}')), 0), 0) AS b FROM pg)""",
+    "quality_flags": _QS + f"SELECT page_id, coalesce(array_to_string({FLAG_LIST}, '|'), '') AS flags FROM (SELECT *, {FLAG_COLUMNS} FROM pg)",
     "garbage_ratio": _QS + f"SELECT page_id, round({_GARB} + 1e-10, 6) AS garbage, {_UNB}::INT AS unbalanced, {_BRK}::INT AS broken FROM pg WHERE text IS NOT NULL",
     "marks_expressions": "SELECT expr, CASE WHEN regexp_full_match(expr, '\\s*\\d+(?:\\.\\d+)?(?:\\s*[x×*+]\\s*\\d+(?:\\.\\d+)?)*\\s*') THEN " + _MARKEXPR.format("expr") + " END AS marks FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in _MARKS) + "]) AS expr)",
     "trailing_marks": _QS
     + f"""SELECT question_id, {_MARKEXPR.format('coalesce(a, b, c, d, e)')} AS marks, CASE WHEN a IS NOT NULL THEN 'bracket' WHEN b IS NOT NULL THEN 'word in parentheses' WHEN c IS NOT NULL THEN 'word' WHEN d IS NOT NULL THEN 'parentheses' ELSE 'margin' END AS how
     FROM (SELECT question_id, nullif(regexp_extract(text, '\\[\\s*({_EX})\\s*\\]\\s*$', 1), '') AS a, nullif(regexp_extract(text, '(?i)\\(\\s*({_EX})\\s*marks?\\s*\\)\\s*$', 1), '') AS b, nullif(regexp_extract(text, '(?i)({_EX})\\s*marks?\\s*$', 1), '') AS c,
     nullif(regexp_extract(text, '\\(\\s*({_EX})\\s*\\)\\s*$', 1), '') AS d, nullif(regexp_extract(text, '\\S {{4,}}(\\d{{1,2}})\\s*$', 1), '') AS e FROM q) WHERE coalesce(a, b, c, d, e) IS NOT NULL""",
-    "clean_questions": _QS + f"SELECT question_id, trim(regexp_replace(regexp_replace({_sql_collapse('text')}, '^\\s*(?:Q\\s*\\d+\\s*[:.)]|\\(?\\d{{1,3}}[.)]|\\(?[a-hivx]{{1,4}}\\))\\s*', ''), '\\s*(?:\\[\\s*[\\d+x×* ]+\\s*\\]|\\(\\s*\\d+(?:\\s*marks?)?\\s*\\))\\s*$', '')) AS text FROM q WHERE text IS NOT NULL",
+    "clean_questions": _QS + f"SELECT question_id, {CLEAN_QUESTION} AS text FROM q WHERE text IS NOT NULL",
     "question_types": _QS
     + f"SELECT question_id, CASE WHEN top.score > 0 THEN top.type ELSE 'theory' END AS type, CASE WHEN top.score > 0 THEN array_to_string([r.type FOR r IN s IF r.score > 0 AND r.score >= 0.5 * top.score], '|') ELSE 'theory' END AS types, round(least(1.0, top.score / 1.5) + 1e-10, 6) AS confidence FROM (SELECT *, list_max(s) AS top FROM (SELECT question_id, {_sql_scores()} AS s FROM q WHERE text IS NOT NULL))",
     "format_labels": _QS + f"SELECT question_id, coalesce(array_to_string(l, '|'), '') AS labels, coalesce(array_to_string({_FAM_SQL}, '|'), '') AS families FROM (SELECT question_id, {_LABEL_SQL} AS l FROM q WHERE text IS NOT NULL)",
