@@ -17,7 +17,7 @@ KINDS = ("prose", "list", "table", "junk")
 #: Pages of the bounded sample that the trees are trained on.
 SAMPLE = 3000
 #: Mean log probability of letter pairs below which strings are no words of the corpus's languages.
-STRANGE = -3.1
+STRANGE = -3.0
 # The most common words of the languages at hand.
 COMMON = (
     "the a an of and to in is that for it as with by on are was be this which not has have from or at its between each there when such into"
@@ -37,7 +37,9 @@ def _letters(lines: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def letter_pairs(lines: DataFrame) -> np.ndarray:
-    """Log probabilities of the next class of character, over all lines: 28 x 28, whatever the corpus."""
+    """Log probabilities of the next class of character, over all lines: 28 x 28, whatever the corpus.
+
+    They are of the square roots of the counts, so that a corpus's main language doesn't make its others look strange."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(28 * 28, np.int64)
@@ -49,6 +51,7 @@ def letter_pairs(lines: DataFrame) -> np.ndarray:
     counts = np.ones((28, 28))
     for r in lines.select("line").mapInPandas(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[divmod(r["pair"], 28)] += r["n"]
+    counts = np.sqrt(counts)
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
