@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.functions.text import roman_or_int
 from chronopanel.llm.lookalikes import forms
 
 #: Lines from either end of a page, blank ones not counted, where headers, footers and page numbers stand.
@@ -48,24 +49,34 @@ def page_lines(pages: DataFrame, key: str = "page_id", text: str = "text", *keep
 def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id", page_no: str = "page_no") -> DataFrame:
     """key, line_no, kind (`running`, `page_number`) of the lines of page_lines() that aren't the page's own text.
 
-    Only lines near either end count. A page number is a line that holds nothing else; a bare number or numeral counts if it
-    is as far from page_no as on another page of the file, or stands at the very end. Running lines are grouped by their
-    glyph skeleton, once as they are and once with a number at either end masked, if that is as far from page_no on each
-    page. Pages without a file have no running lines.
+    Only lines near either end count. A page number is the first or last line and holds nothing else; a bare or bracketed
+    number or numeral counts only if it is page_no, or as far from it as on another page of the file. Running lines are grouped by their
+    glyph skeleton, once as they are and once without a number at either end, if that is as far from page_no on each page. Pages without a file have no running lines.
     """
     edge = lines.where((F.col("top") < EDGE) | (F.col("bottom") < EDGE)).select(key, file, page_no, "line_no", "line", "top", "bottom")
     number = edge["line"].rlike(PAGE_NUMBER)
-    numbered = edge.where(number).select(key, "line_no", F.lit("page_number").alias("kind"), "top", "bottom", "line")
-    # A row of a table may hold a bare number, too; page numbers stand outside the text.
-    numbered = numbered.where((F.col("bottom") < 2) | (F.col("top") < 2)).select(key, "line_no", "kind")
+    # What the line may say, as digits or as a numeral, if some glyphs are misread; and how far that is from page_no.
+    digits = F.nullif(F.regexp_extract(F.translate("line", "lIoO|", "11001"), r"\d{1,4}", 0), F.lit("")).try_cast("long")
+    numeral = roman_or_int(F.regexp_replace(F.translate(F.lower("line"), "l1|", "iii"), r"[^ivx]", "")).cast("long")
+    said = F.array_distinct(F.filter(F.array(digits - F.col(page_no), numeral - F.col(page_no)), lambda x: x.isNotNull()))
+    plain = edge["line"].rlike(r"^\s*[\[(]?\s*[0-9lIoO|ivx]+\s*[\])]?\s*$")
+    maybe = edge.where(number & ((F.col("top") < 2) | (F.col("bottom") < 2))).select(key, file, "line_no", ((F.col("top") == 0) | (F.col("bottom") == 0)).alias("outer"), plain.alias("plain"), F.explode_outer(said).alias("off"))
+    usual = maybe.where(F.col("outer") & F.col(file).isNotNull()).groupBy(F.col(file).alias("_uf"), F.col("off").alias("_uo")).agg(F.count_distinct(key).alias("_un")).where("_un >= 2")
+    at = maybe.join(usual, (F.col(file) == F.col("_uf")) & (F.col("off") == F.col("_uo")), "left")
+    fits = (F.col("off") == 0) | F.col("_un").isNotNull()
+    numbered = at.where(fits | (F.col("outer") & ~F.col("plain"))).select(key, "line_no", F.lit("page_number").alias("kind")).distinct()
     rest = edge.where(~number & F.col(file).isNotNull())
-    masked = F.regexp_replace(F.trim("line"), r"^\d+(?=\s)|(?<=\s)\d+$", "#")
-    at_end = F.regexp_extract(F.regexp_extract(F.trim("line"), r"^\d{1,6}(?=\s)|(?<=\s)\d{1,6}$", 0), r"\d+", 0)
-    offset = F.when(at_end != "", at_end).try_cast("long") - F.col(page_no)
     none = F.lit(-(1 << 40)).cast("long")
     whole = F.transform(skeletons(F.col("line")), lambda k: F.struct(k.alias("k"), none.alias("o")))
-    by_number = F.when(offset.isNotNull(), F.transform(skeletons(masked), lambda k: F.struct(k.alias("k"), offset.alias("o"))))
-    keys = F.concat(whole, F.coalesce(by_number, F.array().cast("array<struct<k:string,o:bigint>>")))
+    nothing = F.array().cast("array<struct<k:string,o:bigint>>")
+
+    def without(number: str) -> Column:
+        """Keys of the line without the number at one end, with what it is more than page_no."""
+        found = F.nullif(F.regexp_extract(F.trim("line"), number, 1), F.lit("")).try_cast("long")
+        left = skeletons(F.regexp_replace(F.trim("line"), number, ""))
+        return F.coalesce(F.when((found - F.col(page_no)).isNotNull(), F.transform(left, lambda k: F.struct(k.alias("k"), (found - F.col(page_no)).alias("o")))), nothing)
+
+    keys = F.concat(whole, without(r"^(\d{1,6})\s"), without(r"\s(\d{1,6})$"))
     keyed = rest.select(key, file, "line_no", F.explode(keys).alias("x")).select(key, file, "line_no", "x.k", "x.o")
     size = lines.groupBy(file, key).agg(F.lit(1).alias("one")).groupBy(F.col(file).alias("_file")).agg(F.count("*").alias("_pages"))
     spread = keyed.groupBy(file, "k", "o", key).agg(F.lit(1).alias("one")).groupBy(file, "k", "o").agg(F.count("*").alias("n")).where("n >= 2")
