@@ -16,6 +16,9 @@ BROKEN = r"[\p{L}\p{M}0-9€¢|][-‐¬]$"
 #: A form is misread if it is this much rarer than the most frequent form of its skeleton, and this much rarer on pages
 #: that weren't scanned than its count would make one expect.
 RARE, UNSEEN = 0.1, 0.15
+#: A form that is a word itself is misread if another word of its skeleton is so many times more usual between its
+#: neighbours; both must occur so often.
+CONTEXT, FREQUENT = 50.0, 30
 
 
 def scanned(method: Column, confidence: Column) -> Column:
@@ -99,6 +102,46 @@ def corrections(vocab: DataFrame) -> DataFrame:
     return known.unionByName(alone)
 
 
+def _with_numbers(line: Column) -> Column:
+    """Words of a line in lower case, and # for each number."""
+    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike(r"\p{L}"), t).otherwise("#"))
+
+
+def _neighbours(tokens: str) -> Column:
+    """The words of a line with the ones before and after them."""
+    t = F.col(tokens)
+    return F.transform(t, lambda x, i: F.struct(x.alias("token"), F.get(t, i - 1).alias("before"), F.get(t, i + 1).alias("after")))
+
+
+def misplaced(lines: DataFrame, kinds: DataFrame, text: DataFrame, vocab: DataFrame) -> DataFrame:
+    """page_id, line_no, token, best: words of text read as another word, by what stands before and after them in the line.
+
+    Only frequent words of one glyph skeleton are weighed against each other; their neighbours are counted over all pages
+    but junk. A word broken across lines is left out.
+    """
+    often = vocab.where((F.col("n") >= FREQUENT) & (F.col("clean") > 0) & ~F.col("token").rlike("[0-9€¢|]")).select("token", F.explode(skeletons(F.col("token"))).alias("key"))
+    pairs = often.join(often.select(F.col("token").alias("best"), "key"), "key").where("token <> best").select("token", "best").distinct()
+    pairs = cut(pairs)
+    some = pairs.select("token").distinct()
+    plain = kinds.where("kind <> 'junk'").select(F.col("page_id").alias("_k"))
+    other = lines.join(plain, F.col("page_id") == F.col("_k"), "left_semi").select(_with_numbers(F.col("line")).alias("tokens"))
+    near = other.select(F.explode(_neighbours("tokens")).alias("w")).select("w.*").join(some, "token", "left_semi")
+    sides = near.select("token", F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("word")), F.struct(F.lit("a").alias("side"), F.col("after").alias("word")))).alias("s"))
+    counts = cut(sides.where("s.word is not null").groupBy("token", "s.side", "s.word").agg(F.count("*").alias("c")))
+    n = F.size("tokens")
+    start = F.when(F.col("goes_on"), 2).otherwise(1)
+    whole = text.withColumn("tokens", _with_numbers(F.col("line"))).select("page_id", "line_no", F.slice("tokens", start, F.greatest(n - start + 1 - F.col("broken").cast("int"), F.lit(0))).alias("tokens"))
+    mine = whole.select("page_id", "line_no", F.explode(_neighbours("tokens")).alias("w")).select("page_id", "line_no", "w.*").join(pairs, "token")
+    for side, word in (("b", "before"), ("a", "after")):
+        c = counts.where(F.col("side") == side).select(F.col("token").alias("_t"), F.col("word").alias("_w"), F.col("c").alias("_c"))
+        for form in ("token", "best"):
+            mine = mine.join(c, (F.col(form) == F.col("_t")) & (F.col(word) == F.col("_w")), "left").withColumn(f"{form}_{side}", F.coalesce("_c", F.lit(0))).drop("_t", "_w", "_c")
+    # The occurrence itself counts once on either side.
+    gain = lambda x: (F.col(f"best_{x}") + 1) / F.greatest(F.col(f"token_{x}"), F.lit(1))
+    odds = F.when(F.col("before").isNull(), F.lit(1.0)).otherwise(gain("b")) * F.when(F.col("after").isNull(), F.lit(1.0)).otherwise(gain("a"))
+    return mine.where(odds >= CONTEXT).groupBy("page_id", "line_no", "token").agg(F.max_by("best", odds).alias("best"))
+
+
 def damaged_lines(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> DataFrame:
     """page_id, line_no, kind of each scanned line that needs repair: running, page_number, hyphen or misread.
 
@@ -108,9 +151,9 @@ def damaged_lines(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> D
     first = furniture.join(pages, F.col("page_id") == F.col("_s"), "left_semi").select("page_id", "line_no", "kind")
     text = cut(content(lines, furniture, kinds))
     each = cut(words(text))
-    wrong = corrections(vocabulary(lines, kinds, each))
-    hit = each.join(wrong, "token")
-    whole = hit.where("part is null").select("page_id", "line_no")
+    vocab = cut(vocabulary(lines, kinds, each))
+    hit = each.join(corrections(vocab), "token")
+    whole = hit.where("part is null").select("page_id", "line_no").unionByName(misplaced(lines, kinds, text, vocab).select("page_id", "line_no"))
     split = hit.where("part is not null")
     left = split.where("best is null or not startswith(best, part)").select("page_id", "line_no")
     right = split.where("(best is null or not endswith(best, rest)) and rest <> '' and next_page is not null").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"))
@@ -121,15 +164,15 @@ def damaged_lines(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> D
 def paragraphs(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> DataFrame:
     """page_id, paragraph, text: the continuous text of each scanned page of prose, repaired.
 
-    Misread words are replaced where their right form is known, words broken across lines are put together (a word that
-    is known only with its hyphen keeps it), a new paragraph starts after a blank line, at an indented line or at a
+    Misread words are replaced where their right form is known, words broken across lines are put together, a new paragraph starts after a blank line, at an indented line or at a
     numbered entry. Headers, footers and page numbers are left out. A word broken at the end of the page keeps its mark.
     """
     text = cut(content(lines, furniture, kinds))
     each = cut(words(text))
     vocab = cut(vocabulary(lines, kinds, each))
     wrong = cut(corrections(vocab).where("best is not null"))
-    fixes = each.where("part is null").join(wrong, "token").groupBy(F.col("page_id").alias("_p"), F.col("line_no").alias("_l")).agg(F.collect_set(F.struct("token", "best")).alias("fixes"))
+    found = each.where("part is null").join(wrong, "token").select("page_id", "line_no", "token", "best").unionByName(misplaced(lines, kinds, text, vocab))
+    fixes = found.groupBy(F.col("page_id").alias("_p"), F.col("line_no").alias("_l")).agg(F.collect_set(F.struct("token", "best")).alias("fixes"))
     joined = each.where("part is not null and next_page = page_id").join(vocab.select("token", "clean"), "token", "left").join(wrong, "token", "left")
     joined = joined.groupBy(F.col("page_id").alias("_jp"), F.col("line_no").alias("_jl")).agg(F.first(F.struct(F.coalesce("best", "token").alias("word"), "part", "rest", F.coalesce(F.col("clean") > 0, F.lit(False)).alias("known"))).alias("j"))
     rows = text.join(fixes, (F.col("page_id") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left").join(joined, (F.col("page_id") == F.col("_jp")) & (F.col("line_no") == F.col("_jl")), "left")
@@ -149,7 +192,7 @@ def paragraphs(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> Data
     body = F.when(F.coalesce(taken, F.lit(False)), F.regexp_replace(F.trim(fixed), "^" + TOKEN, "")).otherwise(F.trim(fixed))
     head = F.regexp_replace(body, TOKEN + "[-‐¬]$", "")
     capital = F.regexp_extract("line", r"(\p{Lu})[^\s]*$", 1) != ""
-    word = F.when(F.col("j.known") | ~F.col("line").rlike("-$") | F.lit(True), F.col("j.word"))
+    word = F.col("j.word")
     word = F.when(capital, F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))).otherwise(word)
     piece = F.when(F.col("j").isNotNull(), F.concat(head, word)).otherwise(body)
     parts = rows.select("page_id", "line_no", (opens & ~F.coalesce(taken, F.lit(False))).alias("opens"), piece.alias("piece"), F.coalesce(taken, F.lit(False)).alias("glued"))

@@ -53,12 +53,12 @@ def test_holdout_is_told_apart(spark):
 
 
 def test_furniture(spark):
-    rows = [(i, 1, i, "ocr", 80.0, f"Rapid Column 20{i}6\nC0mplex Beam\n\n{prose(i)}\n- {i + 4} -") for i in range(1, 4)] + [(9, 2, 1, "ocr", 80.0, "Complex Beam\n" + PROSE), (10, None, 1, "ocr", 80.0, "xi")]
+    rows = [(i, 1, i, "ocr", 80.0, f"Rapid Column 20{i}6\nC0mplex Beam\n\n{prose(i)}\n- {i + 4} -") for i in range(1, 4)] + [(9, 2, 1, "ocr", 80.0, "Complex Beam\n" + PROSE), (10, None, 11, "ocr", 80.0, "xi"), (11, None, 4, "ocr", 80.0, "[9]\nStrength of the wall\n" + prose(4))]
     rows[1] = (2, 1, 2, "ocr", 80.0, f"Rapid Column 2026\nComplex Beam\n\n{prose(2)}\n- 6 -")
     _, _, f = inputs(spark, rows)
     got = {(r.page_id, r.line_no): r.kind for r in f.collect()}
     assert {(i, 7): "page_number" for i in (1, 2, 3)}.items() <= got.items() and {(i, 2): "running" for i in (1, 2, 3)}.items() <= got.items()
-    assert (9, 1) not in got and got[(10, 1)] == "page_number" and not any(k[1] in (4, 5, 6) for k in got)
+    assert (9, 1) not in got and got[(10, 1)] == "page_number" and (11, 1) not in got and not any(k[1] in (4, 5, 6) for k in got)
 
 
 def test_damage_and_repair(spark):
