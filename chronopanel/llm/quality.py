@@ -56,17 +56,30 @@ def letter_pairs(lines: DataFrame) -> np.ndarray:
 
 
 def _pair_fit(logp: np.ndarray):
-    @F.pandas_udf("fit double, pairs long")
+    """Sum of the log probabilities of a line's letter pairs, their number, and how many of its words are common ones."""
+    known, marks = frozenset(COMMON), " \t([{\"'«¿¡“”»}]).,;:!?।-"
+
+    @F.pandas_udf("fit double, pairs long, common long")
     def fit(lines: pd.Series) -> pd.DataFrame:
         kind, line = _letters(lines)
         a, b, at = kind[:-1], kind[1:], line[:-1]
         inside = (a > 0) & (b > 0)
         n = np.bincount(at[inside], minlength=len(lines))[: len(lines)]
-        return pd.DataFrame({"fit": np.bincount(at[inside], logp[a[inside], b[inside]], minlength=len(lines))[: len(lines)], "pairs": n})
+        return pd.DataFrame({"fit": np.bincount(at[inside], logp[a[inside], b[inside]], minlength=len(lines))[: len(lines)], "pairs": n, "common": [sum(w.strip(marks) in known for w in x.lower().replace("-", " ").split()) for x in lines]})
 
     return fit
 
 
+def _is_cells() -> Column:
+    """Whether a line is a row of cells or the rule of a table; patterns run only where their mark is."""
+    line = F.col("line")
+    has = lambda mark, p: line.contains(mark) & line.rlike(p)
+    return (
+        has("|", r"\|[^|]*\||\S\s+\|\s+\S") | has("\t", r"\S\t|\t\S") | has("   ", r"\S {3,}\S") | has(";", r";[^;\s]*;|;[^;]*;[^\s;]|;[^\s;][^;]*;|^\s*[\w.]+;\S")
+        | line.rlike(r"^[\s|+=_:-]+$")
+    )
+
+
 def _line_counts() -> dict[str, Column]:
     """What is counted in every line."""
     line = F.col("line")
@@ -76,10 +89,9 @@ def _line_counts() -> dict[str, Column]:
     spread = F.translate(line, ";|", "  ")
     w = lambda p: F.regexp_count(spread, F.lit(p)).cast("long")
     words = w(r"(?<!\S)(?![-+=_:•▪·–—]+(?!\S))\S+")
-    cell = is_(r"\|.*\|") | is_(r"\S\s+\|\s+\S") | is_(r"\S\t|\t\S") | is_(r"\S {3,}\S") | is_(r";[^;\s]*;|[^;]*;[^\s;][^;]*;|^\s*[\w.]+;\S") | is_(r"^[\s|+=_:-]+$")
+    cell = F.col("_cell")
     entry = is_(r"^\s*(?:[-•▪◦‣*·–—o]|\(?\p{L}\)|\(?\d{1,3}[.)]|\d+(?:\.\d+)+\.?|\(?[ivxIVX]+[.)])\s+\S")
     ends = is_(r"[.!?।][\"'”»)\]]*\s*(?:\[[^\]]{0,6}\]?|\(\d+\)|\d{1,3})?$")
-    common = F.regexp_count(F.lower(line), F.lit(r"(?<![^\s(\[\"'«¿¡“-])(?:" + "|".join(sorted(set(COMMON))) + r")(?![^\s.,;:!?)\]\"'»।”-])")).cast("long")
     one = lambda x: x.cast("long")
     return {
         "words": words, "chars": F.length(line).cast("long"), "letters": c(r"\p{L}"), "digits": c(r"\p{N}"), "symbols": c(r"[^\p{L}\p{M}\p{N}\s]"),
@@ -87,7 +99,7 @@ def _line_counts() -> dict[str, Column]:
         "numbers": w(r"(?<!\S)[-−+(\[|]?\d[\d.,]*[.,;:)\]|]?(?!\S)"),
         "good": w(r"(?<![^\s(\[\"'«¿¡“-])(?:\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|[\p{Lo}\p{M}]+)(?![^\s.,;:!?)\]\"'»।”-])"),
         "hard": w(r"(?<![\p{L}\p{N}])(?i:[b-df-hj-np-tv-xz]{3,})(?![\p{L}\p{N}])|\p{Ll}\p{Lu}|\p{L}\d\p{L}|(?i:[b-df-hj-np-tv-xz]{6,})"),
-        "common": common, "lines": F.lit(1).cast("long"), "ended": one(ends), "low": one(is_(r"^\s*\p{Ll}")), "long": one(words >= 7),
+        "lines": F.lit(1).cast("long"), "ended": one(ends), "low": one(is_(r"^\s*\p{Ll}")), "long": one(words >= 7),
         "cells": one(cell), "cell_words": F.when(cell, words).otherwise(0), "entries": one(entry & ~cell), "short_entries": one(entry & ~cell & (words <= 7)),
         "sentence_words": F.when(~cell & (words >= 6), words).otherwise(0), "short": one((words <= 4) & ~cell),
     }
@@ -112,8 +124,8 @@ def figures(lines: DataFrame, logp: np.ndarray, furniture: DataFrame | None = No
     if furniture is not None:
         f = furniture.select(F.col(key).alias("_k"), F.col("line_no").alias("_l"), F.lit(1).alias("_out")).distinct()
         lines = lines.join(f, (lines[key] == f["_k"]) & (lines["line_no"] == f["_l"]), "left").where("_out is null")
-    each = lines.select(key, "line", _pair_fit(logp)("line").alias("_p")).select(key, *[x.alias(c) for c, x in counts.items()], "_p.*")
-    return each.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*counts, "fit", "pairs")]).select(key, *[x.alias(c) for c, x in _figures().items()])
+    each = lines.select(key, "line", _is_cells().alias("_cell"), _pair_fit(logp)("line").alias("_p")).select(key, *[x.alias(c) for c, x in counts.items()], "_p.*")
+    return each.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*counts, "fit", "pairs", "common")]).select(key, *[x.alias(c) for c, x in _figures().items()])
 
 
 #: What the trees see of a page's figures.
