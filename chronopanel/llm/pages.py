@@ -67,14 +67,14 @@ def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id"
     numbered = at.where(fits | (F.col("outer") & ~F.col("plain"))).select(key, "line_no", F.lit("page_number").alias("kind")).distinct()
     rest = edge.where(~number & F.col(file).isNotNull())
     none = F.lit(-(1 << 40)).cast("long")
-    whole = F.transform(skeletons(F.col("line")), lambda k: F.struct(k.alias("k"), none.alias("o")))
-    nothing = F.array().cast("array<struct<k:string,o:bigint>>")
+    whole = F.transform(skeletons(F.col("line")), lambda k: F.struct(F.xxhash64(k).alias("k"), none.alias("o")))
+    nothing = F.array().cast("array<struct<k:bigint,o:bigint>>")
 
     def without(number: str) -> Column:
         """Keys of the line without the number at one end, with what it is more than page_no."""
         found = F.nullif(F.regexp_extract(F.trim("line"), number, 1), F.lit("")).try_cast("long")
         left = skeletons(F.regexp_replace(F.trim("line"), number, ""))
-        return F.coalesce(F.when((found - F.col(page_no)).isNotNull(), F.transform(left, lambda k: F.struct(k.alias("k"), (found - F.col(page_no)).alias("o")))), nothing)
+        return F.coalesce(F.when((found - F.col(page_no)).isNotNull(), F.transform(left, lambda k: F.struct(F.xxhash64(k).alias("k"), (found - F.col(page_no)).alias("o")))), nothing)
 
     keys = F.concat(whole, without(r"^(\d{1,6})\s"), without(r"\s(\d{1,6})$"))
     keyed = rest.select(key, file, "line_no", F.explode(keys).alias("x")).select(key, file, "line_no", "x.k", "x.o")
