@@ -60,8 +60,7 @@ def _vectors(spark, d):
 
 def _fuzzy(spark, d):
     """Titles of the same syllabus that share a word, with their edit ratios."""
-    n = facts(spark, d).where("title is not null").select("course_id", "node_id", "title", F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("w")).where("length(w) > 6")
-    p = n.select("course_id", "w", F.col("node_id").alias("n1"), F.col("title").alias("t1")).join(n.select("course_id", "w", F.col("node_id").alias("n2"), F.col("title").alias("t2")), ["course_id", "w"]).where("n1 < n2").drop("w").distinct()
+    p = R.title_pairs(facts(spark, d).select("course_id", "node_id", "title"), "course_id")
     return rounded(p.select("n1", "n2", R.fuzzy_ratios(F.lower("t1"), F.lower("t2")).alias("r")).select("n1", "n2", "r.*"))
 
 
