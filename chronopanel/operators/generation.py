@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -12,10 +13,26 @@ from pyspark.sql import functions as F
 from chronopanel.operators.recurrence import indel_ratio, token_set_ratio
 
 
+@functools.lru_cache(20_000)
+def _words(title: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"\w+", title.lower()))
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """False only where title_score(a, b) is below least: without a common word, both ratios are bounded by the lengths."""
+    x, y = _words(a), _words(b)
+    if not x or not y or not set(x).isdisjoint(y):
+        return bool(x and y)
+    m, n = sum(map(len, x)) + len(x) - 1, sum(map(len, y)) + len(y) - 1
+    return 200.0 * min(m, n) / (m + n) + 6 >= least
+
+
 def title_score(a: str, b: str) -> float:
     """0 to 100: the better of token-set and plain ratio; a single word can't gain more than 10 by its set; the same number
-    in both adds 6."""
-    x, y = (" ".join(re.findall(r"\w+", t.lower())) for t in (a, b))
+    in both adds 6; a title without words is like no other."""
+    x, y = (" ".join(_words(t)) for t in (a, b))
+    if not x or not y:
+        return 0.0
     plain = indel_ratio(x, y)
     best = max(token_set_ratio(x, y), plain)
     if min(len(x.split()), len(y.split())) <= 1:
@@ -26,16 +43,17 @@ def title_score(a: str, b: str) -> float:
 
 def merge_titles(new: DataFrame, base: DataFrame, scope: str = "course_id", near: float = 86.0, anywhere: float = 90.0) -> DataFrame:
     """node_id, match, score: for each new node the base node that it is, in its parent's scope first, then anywhere in the
-    course; null match is to be appended. new, base: scope, node_id, parent_title, title. Candidates share a word."""
+    course; null match is to be appended. new, base: scope, node_id, parent_title, title. All pairs of a scope count; only
+    those whose lengths keep the score below both thresholds aren't scored."""
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([title_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        return pd.Series([title_score(x, y) if may_reach(x, y, least) else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    n = new.select(scope, "node_id", "parent_title", "title", F.explode(words("title")).alias("w"))
-    b = base.select(scope, F.col("node_id").alias("match"), F.col("parent_title").alias("b_parent"), F.col("title").alias("b_title"), F.explode(words("title")).alias("w"))
-    pairs = n.join(b, [scope, "w"]).drop("w").distinct().withColumn("score", score("title", "b_title"))
+    least = min(near, anywhere)
+    n = new.where("title is not null").select(scope, "node_id", "parent_title", "title")
+    b = base.where("title is not null").select(scope, F.col("node_id").alias("match"), F.col("parent_title").alias("b_parent"), F.col("title").alias("b_title"))
+    pairs = n.join(b, scope).withColumn("score", score("title", "b_title"))
     local = F.col("parent_title").eqNullSafe(F.col("b_parent"))
     ok = pairs.where((local & (F.col("score") >= near)) | (F.col("score") >= anywhere))
     best = ok.groupBy("node_id").agg(F.max_by(F.struct("match", "score"), F.struct(local & (F.col("score") >= near), "score", -F.col("match"))).alias("m"))

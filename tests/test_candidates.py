@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from chronopanel.operators import generation as G
 from chronopanel.operators import recurrence as R
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -36,3 +37,22 @@ def test_fuzzy_titles_all_pairs(spark):
     for (a, b), r in got.items():
         want = R.indel_ratio(title[a], title[b]), R.token_sort_ratio(title[a], title[b]), R.token_set_ratio(title[a], title[b])
         assert (r.ratio, r.token_sort, r.token_set) == pytest.approx(want, abs=1e-5)
+
+
+def best(new, base):
+    """Each new node's best base node over all pairs of its course."""
+    out = {}
+    for c, n, p, t in new:
+        x = [(p == q and s >= 86, s, -m) for d, m, q, u in base if c == d and t and u and ((s := G.title_score(t, u)) >= 90 or (s >= 86 and p == q))]
+        out[n] = (-max(x)[2], round(max(x)[1], 4)) if x else None
+    return out
+
+
+def test_merge_titles_without_an_equal_word(spark):
+    shape = "course_id long, node_id long, parent_title string, title string"
+    base = [(1, 1, "A", "Reviews"), (1, 2, None, "Applications"), (1, 3, "B", "AC"), (1, 4, None, "Lithostirring in soils"), (1, 5, "A", None), (1, 6, "A", "..."), (2, 7, "A", "Review")]
+    new = [(1, 10, "A", "Review"), (1, 11, "B", "A\u0440plications"), (1, 12, "A", "ac"), (1, 13, "A", "Litho\u200bstirring in soil"), (1, 14, "A", "---"), (1, 15, "A", None), (1, 16, "A", "Thermodynamics")]
+    got = {r.node_id: r.match and (r.match, round(r.score, 4)) for r in G.merge_titles(spark.createDataFrame(new, shape), spark.createDataFrame(base, shape)).collect()}
+    assert got == best(new, base) and {n: m and m[0] for n, m in got.items()} == {10: 1, 11: 2, 12: 3, 13: 4, 14: None, 15: None, 16: None}
+    titles = [t for *_, t in new + base if t]
+    assert all(G.may_reach(a, b, 86) or G.title_score(a, b) < 86 for a in titles for b in titles)
