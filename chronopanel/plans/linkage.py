@@ -46,6 +46,13 @@ def _links(spark, d):
     return R.recurrence_links(_scoped(spark, d), ["course_id"])
 
 
+def _papers(spark, d):
+    """Leaf questions of the exams of each course, as they are compared."""
+    course = P.exams_once(table(spark, d, "exams")).select("exam_id", "course_id")
+    q = questions(spark, d, "exam_id", "text", "is_leaf").where("is_leaf").join(course, "exam_id")
+    return q.select("course_id", "exam_id", "question_id", T.normalize_for_matching(F.col("text")).alias("text"))
+
+
 def _search(spark, d):
     q = spark.createDataFrame([(1, "volt"), (1, "pump"), (2, "visco"), (2, "rotor"), (3, "of")], "query_id long, prefix string")
     s = V.bm25(question_terms(spark, d), "question_id", q)
@@ -85,7 +92,7 @@ QUERIES = {
     "centroid_similarity": _centroid_similarity,
     "recurrence_links": lambda s, d: rounded(_links(s, d)),
     "recurrence_families": lambda s, d: R.components(_links(s, d).where("relation <> 'concept'")),
-    "duplicate_exams": lambda s, d: rounded(R.duplicate_exams(_links(s, d), questions(s, d, "exam_id"), 0.5)),
+    "duplicate_exams": lambda s, d: rounded(R.duplicate_exams(_papers(s, d))),
     "fuzzy_titles": _fuzzy,
 }
 

@@ -56,3 +56,37 @@ def test_merge_titles_without_an_equal_word(spark):
     assert got == best(new, base) and {n: m and m[0] for n, m in got.items()} == {10: 1, 11: 2, 12: 3, 13: 4, 14: None, 15: None, 16: None}
     titles = [t for *_, t in new + base if t]
     assert all(G.may_reach(a, b, 86) or G.title_score(a, b) < 86 for a in titles for b in titles)
+
+
+def test_set_ratio_bound():
+    texts = ["define the heat pump", "define a heat pump", "the heat pump define", "heat", "heats", "pumps heating", "explain reheating of pumps", "explain the reheating of pump", "a b c", "", "a b c d e f g h"]
+    for least in (60.0, 80.0, 92.0, 100.0):
+        for a in texts:
+            for b in texts:
+                assert R.set_ratio_reaches(frozenset(a.split()), frozenset(b.split()), least) == (R.token_set_ratio(a, b) >= least), (a, b, least)
+
+
+def test_duplicate_exams_by_string_ratio(spark):
+    paper = ["derive the continuity equation of a fluid", "explain pumps", "define viscosity of oils", "sketch a hydraulic ram", "state the law of pascal"]
+    near = [t.replace("hydraulic", "hydraullic").replace("continuity", "continuty") for t in paper]
+    rows = [(1, 10, t) for t in paper] + [(1, 11, t) for t in near[:4]] + [(1, 12, t) for t in near[:3]] + [(2, 13, t) for t in paper] + [(1, 14, "explain pumps"), (1, 15, "explain pumps"), (1, 15, "explain pumps"), (1, 15, None), (1, 15, "")]
+    df = spark.createDataFrame([(c, e, i, t) for i, (c, e, t) in enumerate(rows)], "course_id long, exam_id long, question_id long, text string")
+    got = {(r.exam_1, r.exam_2): (r.matched, round(r.share, 4)) for r in R.duplicate_exams(df).collect()}
+    assert got == {(10, 11): (4, 0.8), (14, 15): (2, 1.0)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_duplicate_exams_all_pairs(spark):
+    from chronopanel.plans.linkage import QUERIES, _papers
+
+    papers = {}
+    for r in _papers(spark, DATA).where("text <> ''").collect():
+        papers.setdefault((r.course_id, r.exam_id), []).append(r.text)
+    want = {}
+    for (c, a), one in papers.items():
+        for (d, b), two in papers.items():
+            if c == d and a < b and len(two) >= 2:
+                n = sum(any(R.token_set_ratio(x, y) >= 92 for y in one) for x in two)
+                if n / max(len(one), len(two)) >= 0.8:
+                    want[a, b] = n
+    assert {(r.exam_1, r.exam_2): r.matched for r in QUERIES["duplicate_exams"](spark, DATA).collect()} == want
