@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.dynamics import MAX_GAP, ewma, since_last, with_position
 from chronopanel.operators.panel import FORMATS, average_percentile, before, last
+from chronopanel.operators.trees import item_nodes
 
 H_SHORT, H_LONG = 1.5, 6.0
 #: Strength of the prior of the recurrence rate, and of the pooled transitions.
 KAPPA, MARKOV = 4.0, 2.0
 
 
+def unit_recency(cells: DataFrame, units: DataFrame) -> DataFrame:
+    """course_id, unit, cutoff, unit_ewma: short ewma of whether any item of the unit appeared. units: course_id, k, unit."""
+    per = cells.select("course_id", "k", "t", "y").join(units, ["course_id", "k"]).groupBy("course_id", "unit", "t").agg(F.max("y").alias("y"))
+    w = F.pow(F.lit(2.0), F.col("t") / F.lit(H_SHORT))
+    b = before("t", "course_id", "unit")
+    return per.select("course_id", "unit", F.col("t").alias("cutoff"), (F.sum(F.col("y") * w).over(b) / F.sum(w).over(b)).alias("unit_ewma"))
+
 
 def history_features(cells: DataFrame) -> DataFrame:
     """Frequency, recency, semantic, quality, marks and recurrence features; cells have the step to forecast, too."""
@@ -40,10 +48,9 @@ def history_features(cells: DataFrame) -> DataFrame:
         F.coalesce(F.avg((F.col("shown") >= 0.1).cast("int")).over(w), F.lit(0.0)).alias("high_mark_rate"), rate("exact_repeat").alias("exact_repeat_rate"), rate("para_repeat").alias("para_repeat_rate"),
     )
     base = F.sum("n").over(W.partitionBy("course_id", "cutoff")) / F.sum("steps").over(W.partitionBy("course_id", "cutoff"))
-    unit = F.avg("ewma_short").over(W.partitionBy("course_id", "cutoff", F.col("k") % 5))
     mu = F.coalesce(base, F.lit(0.0))
     a, b = F.col("n") + KAPPA * mu, F.col("steps") - F.col("n") + KAPPA * (1 - mu)
-    out = out.withColumn("base_rate", base).withColumn("unit_ewma", unit)
+    out = out.withColumn("base_rate", base)
     return out.withColumn("bayes_mean", a / (a + b)).withColumn("bayes_width", 2 * 1.2816 * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
 
 
@@ -128,8 +135,7 @@ def item_statics(mappings: DataFrame, obs: DataFrame, nodes: DataFrame) -> DataF
 
     Unknown hours and weights take the mean of the known ones if at least half are known, else all are 0; shares are
     scaled by a tenth of the number of items."""
-    node = obs.select("course_id", "k", "question_id").join(mappings.select("question_id", "k", "node_id").distinct(), ["question_id", "k"]).groupBy("course_id", "k").agg(F.min("node_id").alias("node_id"))
-    x = node.join(nodes.select("node_id", "title", "hours", "marks_weight", "concepts"), "node_id", "left")
+    x = item_nodes(mappings, obs).join(nodes.select("node_id", "title", "hours", "marks_weight", "concepts"), "node_id", "left")
     c = W.partitionBy("course_id")
     size = F.count("*").over(c)
 
@@ -162,12 +168,13 @@ def neighbour_features(history: DataFrame, sim: DataFrame) -> DataFrame:
     return x.join(size, "course_id").select("course_id", F.col("k1").alias("k"), "cutoff", "sem_neighbors", (F.col("total") / F.col("size")).alias("centrality"))
 
 
-def all_features(cells: DataFrame, formats: DataFrame, statics: DataFrame, sim: DataFrame) -> DataFrame:
+def all_features(cells: DataFrame, formats: DataFrame, statics: DataFrame, sim: DataFrame, units: DataFrame) -> DataFrame:
     """Every feature of every item at cutoffs from 1 on; cells must hold the step to forecast."""
     on = ["course_id", "k", "cutoff"]
     h = history_features(cells).where("cutoff > 0")
     x = h.join(timing_features(cells), on).join(type_features(cells, formats), on).join(cooccurrence_feature(cells), on).join(neighbour_features(h, sim), on, "left")
     x = x.join(statics.select("course_id", "k", "hours_share", "marks_weight_share", "breadth"), ["course_id", "k"], "left")
+    x = x.join(units, ["course_id", "k"]).join(unit_recency(cells, units), ["course_id", "unit", "cutoff"], "left")
     return x.na.fill(0.0, ["sem_neighbors", "centrality", "hours_share", "marks_weight_share", "breadth"])
 
 

@@ -89,10 +89,10 @@ def representatives(obs: DataFrame, texts: DataFrame) -> DataFrame:
     return x.withColumn("r", r).where("r = 1").select("course_id", "k", "question_id").join(texts, "question_id", "left").select("course_id", "k", "question_id", numeric_template(F.col("text")).alias("template"))
 
 
-def invented_papers(ranking: DataFrame, papers: int = 3, n: int = 10, cap: int = 3, units: int = 5, noise: float = 0.1, seed: int = 7) -> DataFrame:
+def invented_papers(ranking: DataFrame, units: DataFrame, papers: int = 3, n: int = 10, cap: int = 3, noise: float = 0.1, seed: int = 7) -> DataFrame:
     """course_id, paper, pos, k: papers of n items, at most cap of a unit; paper 1 takes the best, the others by scores
     with Gumbel noise, the same for the same seed."""
-    x = ranking.select("course_id", "k", "score", (F.col("k") % units).alias("unit"), F.explode(F.sequence(F.lit(1), F.lit(papers))).alias("paper"))
+    x = ranking.join(units, ["course_id", "k"]).select("course_id", "k", "score", "unit", F.explode(F.sequence(F.lit(1), F.lit(papers))).alias("paper"))
     u = (F.pmod(F.xxhash64("course_id", "k", "paper", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     x = x.withColumn("s", F.col("score") + F.when(F.col("paper") > 1, -noise * F.ln(-F.ln(u))).otherwise(0.0))
     key = ["course_id", "paper"]

@@ -49,12 +49,13 @@ def fit_recurrence(counts: DataFrame, half_life: float | None = None) -> DataFra
     return counts.groupBy("course_id", "cutoff").applyInPandas(fit, "course_id long, k long, cutoff int, mean double, low double, high double, kappa double, variance_ratio double")
 
 
-def weighted_counts(cells: DataFrame, half_life: float | None = None, units: int = 5) -> DataFrame:
-    """Counts for fit_recurrence() at every cutoff from 1: appearances and exams, halved every half_life steps of age."""
+def weighted_counts(cells: DataFrame, units: DataFrame, half_life: float | None = None) -> DataFrame:
+    """Counts for fit_recurrence() at every cutoff from 1: appearances and exams, halved every half_life steps of age.
+    units: course_id, k, unit."""
     w = W.partitionBy("course_id", "k").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
     weight = F.pow(F.lit(2.0), F.col("t") / F.lit(half_life)) if half_life else F.lit(1.0)
     scale = F.pow(F.lit(2.0), -(F.col("t") - 1) / F.lit(half_life)) if half_life else F.lit(1.0)
-    x = cells.select("course_id", "k", F.col("t").alias("cutoff"), (F.col("k") % units).alias("unit"), (F.sum(F.col("y") * weight).over(w) * scale).alias("h"), (F.sum(weight).over(w) * scale).alias("n"))
+    x = cells.join(units, ["course_id", "k"]).select("course_id", "k", F.col("t").alias("cutoff"), "unit", (F.sum(F.col("y") * weight).over(w) * scale).alias("h"), (F.sum(weight).over(w) * scale).alias("n"))
     return x.where("cutoff > 0")
 
 

@@ -25,14 +25,16 @@ def node_stats(obs: DataFrame) -> DataFrame:
     return x.join(minor, ["course_id", "k"])
 
 
-def unit_coverage(obs: DataFrame, units: int = 5) -> DataFrame:
-    """course_id, t, unit, marks, share, balance: marks a unit in each exam, and how even the exam's units are (entropy by
-    its maximum; 0 for a single unit)."""
-    per = obs.withColumn("unit", F.col("k") % units).groupBy("course_id", "t", "unit").agg(F.sum("share").alias("marks")).where("marks > 0")
+def unit_coverage(obs: DataFrame, units: DataFrame) -> DataFrame:
+    """course_id, t, unit, marks, share, balance: marks of a unit in each exam, and how even the marks lie over the units
+    of the course (entropy by that of all its units alike; 1 for a course of a single unit). Units without marks in an
+    exam have no row. units: course_id, k, unit."""
+    size = units.groupBy("course_id").agg(F.count_distinct("unit").alias("n_units"))
+    per = obs.join(units, ["course_id", "k"]).groupBy("course_id", "t", "unit").agg(F.sum("share").alias("marks")).where("marks > 0")
     w = W.partitionBy("course_id", "t")
-    x = per.withColumn("share", F.col("marks") / F.sum("marks").over(w))
-    n = F.count("*").over(w)
-    return x.withColumn("balance", F.when(n > 1, F.sum(-F.col("share") * F.ln("share")).over(w) / F.ln(n)).otherwise(0.0))
+    x = per.withColumn("share", F.col("marks") / F.sum("marks").over(w)).join(size, "course_id")
+    n = F.col("n_units")
+    return x.withColumn("balance", F.when(n > 1, F.sum(-F.col("share") * F.ln("share")).over(w) / F.ln(n)).otherwise(1.0)).drop("n_units")
 
 
 def topic_coverage(cells: DataFrame) -> DataFrame:
@@ -149,8 +151,8 @@ def histogram(values: DataFrame, column: str, *keys: str) -> DataFrame:
     return x.groupBy(*keys, b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def capped_choice(ranking: DataFrame, n: int = 10, cap: int = 3, units: int = 5) -> DataFrame:
-    """course_id, k, score, pos: the best n items of a course, at most cap of one unit."""
-    x = ranking.withColumn("unit", F.col("k") % units)
+def capped_choice(ranking: DataFrame, units: DataFrame, n: int = 10, cap: int = 3) -> DataFrame:
+    """course_id, k, score, pos: the best n items of a course, at most cap of one unit. units: course_id, k, unit."""
+    x = ranking.join(units, ["course_id", "k"])
     x = x.withColumn("in_unit", F.row_number().over(W.partitionBy("course_id", "unit").orderBy(F.desc("score"), "k"))).where(F.col("in_unit") <= cap)
     return x.withColumn("pos", F.row_number().over(W.partitionBy("course_id").orderBy(F.desc("score"), "k"))).where(F.col("pos") <= n).select("course_id", "k", "score", "pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators.hierarchy import descendant_pairs
+from chronopanel.operators.hierarchy import carried, descendant_pairs, roots
 
 
 def roles(nested: DataFrame, facts: DataFrame) -> DataFrame:
@@ -14,15 +14,28 @@ def roles(nested: DataFrame, facts: DataFrame) -> DataFrame:
     A unit has depth 1; a topic depth 2, or depth 1 without children; a concept is any leaf below a topic. unit_id is the
     root, topic_id the ancestor at topic level (the node itself there). Exclusion is inherited from any ancestor.
     """
-    pairs = descendant_pairs(nested)
-    n = nested.where("lft is not null").select("node_id", "depth", "root_id", (F.col("rgt") == F.col("lft")).alias("is_leaf"))
-    flag = facts.select(F.col("node_id").alias("a"), F.coalesce("excluded", F.lit(False)).alias("x"))
-    up = pairs.join(flag, F.col("ancestor_id") == F.col("a")).groupBy("node_id").agg(F.max(F.col("x").cast("int")).alias("above"))
-    level2 = pairs.join(n.select(F.col("node_id").alias("b"), F.col("depth").alias("bd")), F.col("ancestor_id") == F.col("b")).where("bd = 2").select(F.col("node_id").alias("c"), F.col("ancestor_id").alias("t2"))
-    x = n.join(up, "node_id", "left").join(flag, F.col("node_id") == F.col("a"), "left").join(level2, F.col("node_id") == F.col("c"), "left")
+    n = nested.where("lft is not null").select("node_id", "depth", "root_id", (F.col("rgt") == F.col("lft")).alias("is_leaf"), F.when(F.col("depth") > 1, F.col("parent_id")).alias("up"))
+    flag = facts.select(F.col("node_id").alias("a"), F.coalesce("excluded", F.lit(False)).cast("int").alias("x"))
+    start = n.join(flag, F.col("node_id") == F.col("a"), "left").select(F.col("node_id").alias("id"), "up", F.coalesce("x", F.lit(0)).alias("x"), F.when(F.col("depth") == 2, F.col("node_id")).alias("t2"))
+    # Exclusion and the topic come down the chain of parents.
+    down = carried(start, {"x": F.greatest("x", "u_x"), "t2": F.coalesce("t2", "u_t2")})
+    x = n.join(down, F.col("node_id") == F.col("id"))
     topic = F.when(F.col("depth") == 2, F.col("node_id")).when((F.col("depth") == 1) & F.col("is_leaf"), F.col("node_id")).otherwise(F.col("t2"))
     role = F.when((F.col("depth") == 2) | ((F.col("depth") == 1) & F.col("is_leaf")), "topic").when(F.col("depth") == 1, "unit").when(F.col("is_leaf"), "concept").otherwise("group")
-    return x.select("node_id", "depth", role.alias("role"), F.col("root_id").alias("unit_id"), topic.alias("topic_id"), F.col("is_leaf").cast("int").alias("is_leaf"), F.greatest(F.coalesce(F.col("x").cast("int"), F.lit(0)), F.coalesce("above", F.lit(0))).alias("excluded"))
+    return x.select("node_id", "depth", role.alias("role"), F.col("root_id").alias("unit_id"), topic.alias("topic_id"), F.col("is_leaf").cast("int").alias("is_leaf"), F.col("x").alias("excluded"))
+
+
+def item_nodes(mappings: DataFrame, obs: DataFrame) -> DataFrame:
+    """course_id, k, node_id: the node that stands for an item: the least of those it is mapped to."""
+    m = mappings.select("question_id", "k", "node_id").distinct()
+    return obs.select("course_id", "k", "question_id").join(m, ["question_id", "k"]).groupBy("course_id", "k").agg(F.min("node_id").alias("node_id"))
+
+
+def item_units(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """course_id, k, unit: the syllabus unit of an item, the root above its node; an item whose node isn't in rows is a
+    unit by itself, named by the node. nodes: course_id, k, node_id; rows: the rows of the tree."""
+    top = roots(rows).select(F.col("node_id").alias("_n"), "root_id")
+    return nodes.join(top, F.col("node_id") == F.col("_n"), "left").select("course_id", "k", F.coalesce("root_id", "node_id").alias("unit"))
 
 
 def node_documents(facts: DataFrame) -> DataFrame:
@@ -33,12 +46,18 @@ def node_documents(facts: DataFrame) -> DataFrame:
 
 
 def context_texts(questions: DataFrame, words: int = 60) -> DataFrame:
-    """question_id, context: the stem of the parent question, at most so many words of it, before the question's own text.
-
-    Questions name an earlier question of the same exam; one level is followed, as deep as the data goes."""
+    """question_id, context: the stems of all questions above, outermost first, at most so many words of each, before the
+    question's own text. A question on or below a cycle of parents, or whose parent isn't there, has its own text alone."""
     short = lambda c: F.array_join(F.slice(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), 1, words), " ")
-    p = questions.select(F.col("question_id").alias("p_id"), F.col("text").alias("p_text"))
-    return questions.join(p, F.col("parent_id") == F.col("p_id"), "left").select("question_id", F.concat_ws(" ", short(F.col("p_text")), F.trim("text")).alias("context"))
+    known = questions.select(F.col("question_id").alias("_p"))
+    q = questions.join(known, F.col("parent_id") == F.col("_p"), "left")
+    start = q.select(F.col("question_id").alias("id"), F.col("_p").alias("up"), F.lit(None).cast("string").alias("above"), short(F.col("text")).alias("stem"))
+    # above: the stems from the top down to the question that points to the node's target; stem: that of the node itself.
+    joined = lambda *c: F.nullif(F.concat_ws(" ", *c), F.lit(""))
+    stems = start.select("id", "stem")
+    start = start.where("up is not null").join(stems.select(F.col("id").alias("_s"), F.col("stem").alias("_stem")), F.col("up") == F.col("_s")).select("id", "up", F.col("_stem").alias("above")).unionByName(start.where("up is null").select("id", "up", "above"))
+    chains = carried(start, {"above": joined("u_above", "above")}).select(F.col("id").alias("_c"), "above")
+    return questions.join(chains, F.col("question_id") == F.col("_c"), "left").select("question_id", F.concat_ws(" ", "above", F.trim("text")).alias("context"))
 
 
 def kind_prior(nested: DataFrame, facts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from chronopanel.operators import features as X
 from chronopanel.operators import metrics as M
 from chronopanel.operators import panel as P
 from chronopanel.operators.hierarchy import latest
-from chronopanel.plans.panels import _HAZ, PANEL, cells, observations, rounded  # noqa: F401
+from chronopanel.plans.panels import _HAZ, PANEL, cells, observations, rounded, units  # noqa: F401
 from chronopanel.sources.tables import cut, table
 
 COMPONENTS = {"frequency": 1.0, "markov": 2.0, "hazard": 3.0, "semantic": 0.5, "bayes": 1.0, "cooccurrence": 3.0, "coverage": 0.5}
@@ -26,8 +26,8 @@ def statics(spark, d):
 def features(spark, d):
     """All features, written once: they feed every model."""
     c = cut(cells(spark, d, True))
-    st = cut(statics(spark, d))
-    return cut(X.all_features(c, P.cell_formats(observations(spark, d)), st, X.item_similarity(st)))
+    st, un = cut(statics(spark, d)), cut(units(spark, d))
+    return cut(X.all_features(c, P.cell_formats(observations(spark, d)), st, X.item_similarity(st), un))
 
 
 def scored(spark, d, models=X.MODELS):

@@ -9,7 +9,7 @@ from chronopanel.functions.text import tokens
 from chronopanel.operators import generation as G
 from chronopanel.operators import panel as P
 from chronopanel.plans.forecasts import simple_scores
-from chronopanel.plans.panels import PANEL, exams, observations, rounded
+from chronopanel.plans.panels import PANEL, exams, observations, rounded, units
 from chronopanel.plans.reporting import _Q, facts, questions
 
 
@@ -33,7 +33,7 @@ QUERIES = {
     "proper_nouns": lambda s, d: questions(s, d, "text").where("text is not null").select("question_id", F.array_join(G.proper_nouns(F.col("text")), "|").alias("names")),
     "item_formats": lambda s, d: G.item_formats(observations(s, d)),
     "representatives": lambda s, d: G.representatives(observations(s, d), questions(s, d, "text")),
-    "invented_papers": lambda s, d: G.invented_papers(_ranking(s, d)),
+    "invented_papers": lambda s, d: G.invented_papers(_ranking(s, d), units(s, d)),
 }
 _UNIT = "(kPa|kHz|kN|kJ|kW|kg|Hz|ohm|bar|rpm|litres|min|mol|mm|cm|kV|Pa|N|J|W|V|A|K|m|s)"
 _TPL = f"regexp_replace(regexp_replace(text, '\\b\\d+(?:\\.\\d+)?\\s*{_UNIT}\\b', '[value in \\1]', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '[value]', 'g')"

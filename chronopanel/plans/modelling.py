@@ -8,7 +8,7 @@ from chronopanel.operators import metrics as M
 from chronopanel.operators import models as L
 from chronopanel.operators import panel as P
 from chronopanel.plans.forecasts import _H, _history, features, simple_scores
-from chronopanel.plans.panels import cells, rounded
+from chronopanel.plans.panels import PANEL, UNITS, cells, rounded, units
 from chronopanel.sources.tables import cut
 
 
@@ -34,9 +34,9 @@ def _logistic(spark, d):
 
 
 QUERIES = {
-    "fit_recurrence": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True)))),
-    "fit_recurrence_decay": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True), 3.0))),
-    "weighted_counts": lambda s, d: rounded(L.weighted_counts(cells(s, d, True), 3.0)),
+    "fit_recurrence": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True), units(s, d)))),
+    "fit_recurrence_decay": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True), units(s, d), 3.0))),
+    "weighted_counts": lambda s, d: rounded(L.weighted_counts(cells(s, d, True), units(s, d), 3.0)),
     "bayes_fixed_kappa": lambda s, d: rounded(_history(s, d).select("course_id", "k", "cutoff", "bayes_mean")),
     "pooled_hmm": lambda s, d: rounded(L.pooled_hmm(cells(s, d))),
     "course_logistic": _logistic,
@@ -47,7 +47,7 @@ QUERIES = {
     "rank_uncertainty": _uncertainty,
     "simulated_panels": lambda s, d: L.simulate_courses(s, 40).groupBy("course_id", "k").agg(F.sum("y").alias("n"), F.count("*").alias("steps")),
 }
-_HW = _H.replace("hf AS", "w3 AS (SELECT course_id, k, cutoff, k % 5 AS unit, sum(y * pow(0.5, (cutoff - 1 - t) / 3.0)) AS h, sum(pow(0.5, (cutoff - 1 - t) / 3.0)) AS n FROM hist GROUP BY ALL), hf AS", 1)
+_HW = _H.replace(PANEL, UNITS).replace("hf AS", "w3 AS (SELECT course_id, k, cutoff, any_value(unit) AS unit, sum(y * pow(0.5, (cutoff - 1 - t) / 3.0)) AS h, sum(pow(0.5, (cutoff - 1 - t) / 3.0)) AS n FROM hist JOIN un USING (course_id, k) GROUP BY course_id, k, cutoff), hf AS", 1)
 ORACLES = {
     "weighted_counts": _HW + "SELECT course_id, k, cutoff, unit, round(h + 1e-10, 6) AS h, round(n + 1e-10, 6) AS n FROM w3",
     "bayes_fixed_kappa": _H + "SELECT course_id, k, cutoff, round(bayes_mean + 1e-10, 6) AS bayes_mean FROM hf",

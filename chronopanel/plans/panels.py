@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import dynamics as D
 from chronopanel.operators import panel as P
+from chronopanel.operators import trees as T
 from chronopanel.sources.tables import table
 
 
@@ -21,6 +22,12 @@ def cells(spark, d, future=False):
     return P.build_cells(exams(spark, d), observations(spark, d), future)
 
 
+def units(spark, d):
+    """The syllabus unit of every item."""
+    nodes = T.item_nodes(P.mappings_once(table(spark, d, "mappings")), observations(spark, d))
+    return T.item_units(nodes, table(spark, d, "tree"))
+
+
 def rounded(df, *columns):
     """Doubles to six places, for comparison; a nudge keeps exact halves from falling either way."""
     cols = columns or [c for c, t in df.dtypes if t == "double"]
@@ -68,7 +75,7 @@ def _edges(spark, d):
 
 
 def _rollup(spark, d):
-    obs = observations(spark, d).withColumn("unit", F.col("k") % 5)
+    obs = observations(spark, d).join(units(spark, d), ["course_id", "k"])
     r = obs.groupBy("course_id", "unit", "k", "question_id").agg(F.sum("share").alias("m"), F.count("*").alias("n"))
     r = r.rollup("course_id", "unit", "k").agg(F.sum("n").alias("n_obs"), F.sum("m").alias("marks"))
     return rounded(r)
@@ -124,6 +131,13 @@ ends AS (SELECT course_id, max(t) AS last_t FROM ex GROUP BY 1),
 cells AS (SELECT c.* FROM cellsf c JOIN ends e USING (course_id) WHERE c.t <= e.last_t),
 hist AS (SELECT a.course_id, a.k, a.t AS cutoff, b.t, b.y, b.marks, b.soft, b.semantic, b.n_questions FROM cellsf a JOIN cells b ON a.course_id = b.course_id AND a.k = b.k AND b.t < a.t)
 """
+#: PANEL with un (course_id, k, unit): the root above the least node of an item, walked up parent by parent.
+UNITS = PANEL.replace("WITH ex", "WITH RECURSIVE ex") + """, nd1 AS (SELECT o.course_id, o.k, min(m.node_id) AS node_id FROM obs o JOIN mp0 m ON m.question_id = o.question_id AND m.k = o.k GROUP BY ALL),
+tr0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC) AS rn FROM tree WHERE node_id IS NOT NULL) WHERE rn = 1),
+upw AS (SELECT node_id, node_id AS at, parent_id AS nxt, 1 AS n FROM tr0 UNION ALL SELECT u.node_id, l.node_id, l.parent_id, u.n + 1 FROM upw u JOIN tr0 l ON u.nxt = l.node_id WHERE u.n < 200),
+rt AS (SELECT u.node_id, u.at AS root FROM upw u LEFT JOIN tr0 p ON u.nxt = p.node_id WHERE p.node_id IS NULL),
+un AS (SELECT nd1.course_id, nd1.k, coalesce(rt.root, nd1.node_id) AS unit FROM nd1 LEFT JOIN rt USING (node_id))
+"""
 _CELL = "course_id, t, k, y, round(marks + 1e-10, 6) AS marks, round(soft + 1e-10, 6) AS soft, n_questions, exact_repeat, para_repeat, round(semantic + 1e-10, 6) AS semantic, round(map_conf_sum + 1e-10, 6) AS map_conf_sum, round(parse_conf_sum + 1e-10, 6) AS parse_conf_sum, marks_known_sum, optional_sum"
 _GAPS = ", seen AS (SELECT course_id, k, t, t - lag(t) OVER (PARTITION BY course_id, k ORDER BY t) AS gap FROM cells WHERE y > 0) "
 _HAZ = """, gapped AS (SELECT a.course_id, a.k, a.t, a.y, (SELECT max(b.t) FROM cells b WHERE b.course_id = a.course_id AND b.k = a.k AND b.t < a.t AND b.y > 0) AS seen FROM cells a),
@@ -171,7 +185,7 @@ ORACLES = {
     + "SELECT course_id, k, cutoff, "
     + ", ".join(f"round(avg(y) FILTER (WHERE t >= cutoff - {n}) + 1e-10, 6) AS last{n}" for n in (1, 2, 3, 5))
     + ", sum(y) FILTER (WHERE t >= cutoff - 3)::BIGINT AS recent_hits FROM hist GROUP BY ALL",
-    "rollup_totals": PANEL + "SELECT course_id, unit, k, count(*) AS n_obs, round(sum(share) + 1e-10, 6) AS marks FROM (SELECT *, k % 5 AS unit FROM obs) GROUP BY ROLLUP (course_id, unit, k)",
+    "rollup_totals": UNITS + "SELECT course_id, unit, k, count(*) AS n_obs, round(sum(share) + 1e-10, 6) AS marks FROM obs JOIN un USING (course_id, k) GROUP BY ROLLUP (course_id, unit, k)",
 }
 _PAIRS = ", b AS (SELECT course_id, k, avg(y) AS base FROM cells GROUP BY ALL), n AS (SELECT course_id, k AS j, count(*) AS n_j FROM cells WHERE y > 0 GROUP BY ALL), p AS (SELECT a.course_id, a.k AS j, c.k, count(*) AS together FROM cells a JOIN cells c ON a.course_id = c.course_id AND c.t = a.t AND a.k < c.k WHERE a.y > 0 AND c.y > 0 GROUP BY ALL), lifts AS (SELECT p.course_id, p.j, p.k, together, round(((together + 2 * base) / (n_j + 2)) / (base + 1e-6) + 1e-10, 6) AS lift FROM p JOIN n ON n.course_id = p.course_id AND n.j = p.j JOIN b ON b.course_id = p.course_id AND b.k = p.k) "
 ORACLES["same_exam_lift"] = PANEL + _PAIRS + "SELECT * FROM lifts"

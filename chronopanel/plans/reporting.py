@@ -11,7 +11,7 @@ from chronopanel.operators import review as V
 from chronopanel.operators import trees as T
 from chronopanel.plans.forecasts import _SC, simple_scores
 from chronopanel.plans.hierarchies import _CHAIN
-from chronopanel.plans.panels import PANEL, cells, exams, observations, rounded
+from chronopanel.plans.panels import PANEL, UNITS, cells, exams, observations, rounded, units
 from chronopanel.sources.tables import cut, table
 
 
@@ -105,7 +105,7 @@ QUERIES = {
     "rejected_moves": _moves,
     "context_texts": lambda s, d: T.context_texts(questions(s, d, "text", "parent_id")),
     "node_stats": lambda s, d: rounded(R.node_stats(observations(s, d))),
-    "unit_coverage": lambda s, d: rounded(R.unit_coverage(observations(s, d))),
+    "unit_coverage": lambda s, d: rounded(R.unit_coverage(observations(s, d), units(s, d))),
     "topic_coverage": lambda s, d: rounded(R.topic_coverage(cells(s, d))),
     "cooccurrence_tests": lambda s, d: rounded(R.cooccurrence(cells(s, d))),
     "exam_structure": lambda s, d: rounded(R.exam_structure(questions(s, d, "exam_id", "or_group", "parent_id", "marks", "is_optional"))),
@@ -118,7 +118,7 @@ QUERIES = {
     "evidence_lines": lambda s, d: R.evidence_lines(R.node_stats(observations(s, d))),
     "marks_histogram": lambda s, d: R.histogram(questions(s, d, "exam_id", "marks"), "marks", "exam_id"),
     "marks_percentiles": lambda s, d: rounded(questions(s, d, "format", "marks").where("marks is not null and format is not null").groupBy("format").agg(F.percentile("marks", F.lit(0.25)).alias("p25"), F.median("marks").alias("p50"), F.percentile("marks", F.lit(0.75)).alias("p75"))),
-    "capped_choice": lambda s, d: rounded(R.capped_choice(simple_scores(s, d).where("model = 'bayes'").join(P.exams_once(exams(s, d)).groupBy("course_id").agg((F.max("t") + 1).alias("cutoff")), ["course_id", "cutoff"]).select("course_id", "k", "score"))),
+    "capped_choice": lambda s, d: rounded(R.capped_choice(simple_scores(s, d).where("model = 'bayes'").join(P.exams_once(exams(s, d)).groupBy("course_id").agg((F.max("t") + 1).alias("cutoff")), ["course_id", "cutoff"]).select("course_id", "k", "score"), units(s, d))),
     "mapping_status": lambda s, d: rounded(maps(s, d).select("question_id", "k", V.mapping_status(F.col("score")).alias("by_score"), V.match_confidence(F.col("score")).alias("confidence"), V.counts_for_prediction(F.col("status"), F.col("method"), F.col("score")).cast("int").alias("counted"))),
     "review_overlay": lambda s, d: rounded(V.overlay(questions(s, d, "exam_id", "marks"), _edits(s, d), "question_id", ["marks"])),
     "merge_with_next": lambda s, d: rounded(V.merged_with_next(questions(s, d, "exam_id", "text", "marks"))),
@@ -146,13 +146,13 @@ ORACLES = {
     "tree_preorder": _CHAIN + ", d AS (SELECT u.at AS node_id, count(*) - 1 AS n FROM up u JOIN ends e USING (node_id) GROUP BY 1) SELECT e.node_id, e.root AS root_id, e.depth::INT AS depth, d.n AS n_descendants FROM ends e JOIN d USING (node_id)",
     "node_documents": f"WITH {_LAT} SELECT a.node_id, concat_ws(' ', a.title, a.title, coalesce(array_to_string(a.concepts, ' '), ''), p.title) AS document FROM lat a LEFT JOIN lat p ON a.parent_id = p.node_id",
     "kind_prior": _CHAIN.replace("depth, title FROM", "depth, title, kinds FROM") + "SELECT DISTINCT node_id, kind FROM (SELECT node_id, unnest(kinds) AS kind FROM latest UNION ALL SELECT u.at AS node_id, unnest(l.kinds) AS kind FROM up u JOIN ends USING (node_id) JOIN latest l ON l.node_id = u.node_id WHERE u.n > 1)",
-    "context_texts": _Q + "SELECT q.question_id, concat_ws(' ', array_to_string(string_split(trim(regexp_replace(p.text, '\\s+', ' ', 'g')), ' ')[1:60], ' '), trim(q.text)) AS context FROM q LEFT JOIN q p ON q.parent_id = p.question_id",
+    "context_texts": "WITH RECURSIVE q AS (SELECT DISTINCT question_id, text, parent_id, nullif(array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:60], ' '), '') AS stem FROM questions WHERE question_id IS NOT NULL), c AS (SELECT question_id, parent_id, text, NULL::VARCHAR AS above, 0 AS n FROM q UNION ALL SELECT c.question_id, p.parent_id, c.text, nullif(concat_ws(' ', p.stem, c.above), ''), n + 1 FROM c JOIN q p ON c.parent_id = p.question_id WHERE n < 200) SELECT question_id, concat_ws(' ', above, trim(text)) AS context FROM c QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC) = 1",
     "node_stats": PANEL
     + """, pe AS (SELECT course_id, k, t, max((rank = 1)::INT) AS main FROM obs GROUP BY ALL), mi AS (SELECT course_id, k, count(*) FILTER (WHERE main = 0) AS minor_exams FROM pe GROUP BY ALL)
     SELECT course_id, k, count(DISTINCT t) AS exams, count(*) AS questions, count(*) FILTER (WHERE rank = 1) AS main_questions, count(*) FILTER (WHERE rank <> 1) AS minor_questions, min(t) AS first_t, max(t) AS last_t, round(min(share) + 1e-10, 6) AS marks_min,
     round(max(share) + 1e-10, 6) AS marks_max, round(median(share) + 1e-10, 6) AS marks_median, count(DISTINCT format) AS formats, sum(exact)::BIGINT AS exact_repeats, sum(para)::BIGINT AS para_repeats, any_value(minor_exams) AS minor_exams FROM obs JOIN mi USING (course_id, k) GROUP BY ALL""",
-    "unit_coverage": PANEL
-    + ", u AS (SELECT course_id, t, k % 5 AS unit, sum(share) AS marks FROM obs GROUP BY ALL HAVING sum(share) > 0), s AS (SELECT *, marks / sum(marks) OVER (PARTITION BY course_id, t) AS share FROM u) SELECT course_id, t, unit, round(marks + 1e-10, 6) AS marks, round(share + 1e-10, 6) AS share, round(CASE WHEN count(*) OVER w > 1 THEN sum(-share * ln(share)) OVER w / ln(count(*) OVER w) ELSE 0 END + 1e-10, 6) AS balance FROM s WINDOW w AS (PARTITION BY course_id, t)",
+    "unit_coverage": UNITS
+    + ", nu AS (SELECT course_id, count(DISTINCT unit) AS n FROM un GROUP BY 1), u AS (SELECT course_id, t, unit, sum(share) AS marks FROM obs JOIN un USING (course_id, k) GROUP BY ALL HAVING sum(share) > 0), s AS (SELECT *, marks / sum(marks) OVER (PARTITION BY course_id, t) AS share FROM u) SELECT course_id, t, unit, round(marks + 1e-10, 6) AS marks, round(share + 1e-10, 6) AS share, round(CASE WHEN n > 1 THEN sum(-share * ln(share)) OVER w / ln(n) ELSE 1 END + 1e-10, 6) AS balance FROM s JOIN nu USING (course_id) WINDOW w AS (PARTITION BY course_id, t)",
     "topic_coverage": PANEL + "SELECT course_id, k, round(avg(y) + 1e-10, 6) AS rate, CASE WHEN avg(y) = 0 THEN 'never' WHEN avg(y) <= 0.15 THEN 'rarely' WHEN avg(y) >= 0.9 THEN 'always' ELSE 'sometimes' END AS tested FROM cells GROUP BY ALL",
     "exam_structure": _Q + _TOP + "SELECT exam_id, questions, slots, round(parts_median + 1e-10, 6) AS parts_median, round(marks_median + 1e-10, 6) AS marks_median, optional FROM st",
     "main_marks": _Q + ", f AS (SELECT *, row_number() OVER (PARTITION BY exam_id, coalesce(or_group, 'q' || question_id) ORDER BY question_id) AS r FROM q WHERE parent_id IS NULL) SELECT exam_id, round(sum(marks) + 1e-10, 6) AS marks FROM f WHERE r = 1 GROUP BY 1",
@@ -171,8 +171,8 @@ ORACLES = {
     "evidence_lines": PANEL + "SELECT course_id, k, 'Asked in ' || count(DISTINCT t) || CASE WHEN count(DISTINCT t) = 1 THEN ' exam' ELSE ' exams' END || ' with ' || count(*) || CASE WHEN count(*) = 1 THEN ' question' ELSE ' questions' END || '; last in exam ' || max(t) || '.' AS line FROM obs GROUP BY ALL",
     "marks_histogram": _Q + ", s AS (SELECT exam_id, min(marks) AS lo, max(marks) AS hi, least(greatest(count(DISTINCT marks), 3), 12) AS bins FROM q WHERE marks IS NOT NULL GROUP BY 1) SELECT exam_id, (CASE WHEN hi > lo THEN least(floor((marks - lo) / (hi - lo) * bins), bins - 1) ELSE 0 END)::BIGINT AS bin, count(*) AS n FROM q JOIN s USING (exam_id) WHERE marks IS NOT NULL GROUP BY ALL",
     "marks_percentiles": _Q + "SELECT format, round(quantile_cont(marks, 0.25) + 1e-10, 6) AS p25, round(median(marks) + 1e-10, 6) AS p50, round(quantile_cont(marks, 0.75) + 1e-10, 6) AS p75 FROM q WHERE marks IS NOT NULL AND format IS NOT NULL GROUP BY 1",
-    "capped_choice": _SC
-    + ", r AS (SELECT sl.course_id, sl.k, sl.score FROM sl JOIN ends ON ends.course_id = sl.course_id AND sl.cutoff = last_t + 1 WHERE model = 'bayes'), u AS (SELECT *, row_number() OVER (PARTITION BY course_id, k % 5 ORDER BY score DESC, k) AS iu FROM r), c AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY score DESC, k)::INT AS pos FROM u WHERE iu <= 3) SELECT course_id, k, round(score + 1e-10, 6) AS score, pos FROM c WHERE pos <= 10",
+    "capped_choice": _SC.replace(PANEL, UNITS)
+    + ", r AS (SELECT sl.course_id, sl.k, sl.score FROM sl JOIN ends ON ends.course_id = sl.course_id AND sl.cutoff = last_t + 1 WHERE model = 'bayes'), u AS (SELECT r.*, row_number() OVER (PARTITION BY r.course_id, unit ORDER BY score DESC, r.k) AS iu FROM r JOIN un ON un.course_id = r.course_id AND un.k = r.k), c AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY score DESC, k)::INT AS pos FROM u WHERE iu <= 3) SELECT course_id, k, round(score + 1e-10, 6) AS score, pos FROM c WHERE pos <= 10",
     "mapping_status": _Q + f"SELECT question_id, k, CASE WHEN score >= 0.34 THEN 'A' WHEN score < 0.12 THEN 'D' WHEN score >= 0.22 THEN 'B' WHEN score IS NULL THEN 'C' ELSE 'C' END AS by_score, round({_CONF} + 1e-10, 6) AS confidence, coalesce(status = 'A' OR (method = 'manual' AND status IN ('A', 'B')) OR (status = 'B' AND score >= 0.22), false)::INT AS counted FROM m",
     "review_overlay": "WITH q AS (SELECT DISTINCT question_id, exam_id, marks, coalesce(needs_review, false) AS nr FROM questions WHERE question_id IS NOT NULL) SELECT question_id, exam_id, round(CASE WHEN nr THEN 2 ELSE marks END + 1e-10, 6) AS marks, nr::INT AS edited FROM q WHERE NOT (nr AND marks IS NULL)",
     "merge_with_next": _Q + "SELECT exam_id, question_id, concat_ws(' ', text, lead(text) OVER w) AS text, round(marks + lead(marks) OVER w + 1e-10, 6) AS marks FROM q WINDOW w AS (PARTITION BY exam_id ORDER BY question_id) QUALIFY marks + lead(marks) OVER w IS NOT NULL",
