@@ -26,23 +26,44 @@ from chronopanel.sources.tables import cut, drop_cut
 class Banding:
     """a, b: sub-keys of either collection, of rows minhashes each. lost: the share of pairs at the threshold that the
     sketch may lose; it gives the matches of minhash codes that a pair needs to be verified, see needed(). hot: records of one A sub-key
-    beyond which its tables are spread over tasks. The chance to find a pair of overlap s is
-    (1 - (1 - s^rows)^a) * (1 - (1 - s^rows)^b): 0.96 at 0.75, 0.99 at 0.8, 0.998 at 0.85 with these values. For much
-    larger collections raise rows and the sub-keys together, so that unlike records rarely meet."""
+    beyond which its tables are spread over tasks. The chance to find a pair of overlap s is chance(s); at() derives a and
+    b from the threshold. For much larger collections raise rows there, so that unlike records rarely meet."""
 
-    a: int = 7
-    b: int = 8
+    a: int
+    b: int
     rows: int = 3
-    lost: float = 0.01
+    lost: float = 0.005
     hot: int = 100_000
 
+    @classmethod
+    def at(cls, threshold: float, recall: float = 0.95, rows: int = 3, lost: float = 0.005) -> Banding:
+        """The fewest A sub-keys that find at least `recall` of the pairs that lie at the threshold itself; B sub-keys, which
+        aren't shuffled, miss 0.6 % of them at most. At 0.65: a = 11, b = 16, recall 0.960 at 0.65, 0.984 at 0.70, 0.994 at
+        0.75; at 0.8: a = 5, b = 8."""
+        miss = math.log1p(-(threshold**rows))
+        b = max(1, math.ceil(math.log(0.006) / miss))
+        found = recall / ((1 - lost) * -math.expm1(b * miss))
+        if not found < 1:
+            raise ValueError("this recall is out of reach")
+        return cls(max(1, math.ceil(math.log1p(-found) / miss)), b, rows, lost)
+
+    def chance(self, s: float) -> float:
+        """The chance that a pair of overlap s shares a table key."""
+        miss = 1 - s**self.rows
+        return (1 - miss**self.a) * (1 - miss**self.b)
+
     @property
     def hashes(self) -> int:
         return (self.a + self.b) * self.rows
 
+    @property
+    def codes(self) -> int:
+        """The sketch holds a code of four bits for each minhash of the B sub-keys."""
+        return self.b * self.rows
+
     def needed(self, threshold: float) -> int:
-        """Codes of four bits agree with probability p; how many of all do, but for a share of lost, at the threshold."""
-        p, n, below = threshold + (1 - threshold) / 16, self.hashes, 0.0
+        """Codes agree with probability p; how many of all do, but for a share of lost, at the threshold."""
+        p, n, below = threshold + (1 - threshold) / 16, self.codes, 0.0
         for k in range(n + 1):
             below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
             if below > self.lost:
@@ -79,8 +100,8 @@ def _elements(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signer(key: str, cfg: Banding):
     rng = np.random.default_rng(20_240_607)
-    factors = rng.integers(1, 2**63, cfg.hashes, dtype=np.uint64) | np.uint64(1)
-    shifts = rng.integers(0, 2**63, cfg.hashes, dtype=np.uint64)
+    factors = rng.integers(1, 2**31, cfg.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shifts = rng.integers(0, 2**32, cfg.hashes, dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,16 +109,19 @@ def _signer(key: str, cfg: Banding):
             n = len(b)
             least = np.empty((n, cfg.hashes), np.uint32)
             if n:
+                small, turned = (e >> np.uint64(32)).astype(np.uint32), np.empty(len(e), np.uint32)
                 for k in range(cfg.hashes):
-                    least[:, k] = np.minimum.reduceat(((e * factors[k] + shifts[k]) >> np.uint64(32)).astype(np.uint32), offsets[:-1])
+                    np.multiply(small, factors[k], out=turned)
+                    np.add(turned, shifts[k], out=turned)
+                    least[:, k] = np.minimum.reduceat(turned, offsets[:-1])
             sums = [np.add.reduceat(_mix(e ^ np.uint64(s)), offsets[:-1]).view(np.int64) if n else np.empty(0, np.int64) for s in (0x1234567, 0x7654321)]
             keys = np.zeros((n, cfg.a), np.uint64)
             for i in range(cfg.a):
                 for k in range(i * cfg.rows, (i + 1) * cfg.rows):
                     keys[:, i] = _mix(keys[:, i] * np.uint64(31) + least[:, k].astype(np.uint64))
             keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            code = (_mix(least.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
-            code = np.pad(code, ((0, 0), (0, cfg.hashes % 2)))
+            code = (_mix(least[:, cfg.a * cfg.rows :].astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
+            code = np.pad(code, ((0, 0), (0, cfg.codes % 2)))
             packed = np.ascontiguousarray(code[:, ::2] << 4 | code[:, 1::2])
             width = packed.shape[1]
             sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1].tobytes()), pa.py_buffer(packed.tobytes())])
@@ -107,12 +131,12 @@ def _signer(key: str, cfg: Banding):
     return run
 
 
-def _unpack(sketches: pa.Array, hashes: int) -> np.ndarray:
-    width = (hashes + 1) // 2
+def _unpack(sketches: pa.Array, codes: int) -> np.ndarray:
+    width = (codes + 1) // 2
     flat = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, width)
     out = np.empty((len(flat), width * 2), np.uint8)
     out[:, ::2], out[:, 1::2] = flat >> 4, flat & 15
-    return out[:, :hashes]
+    return out[:, :codes]
 
 
 def _pairs_of(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,16 +151,34 @@ def _pairs_of(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = at[s[at] == s[at + d]]
 
 
+def _sub_key(code: np.ndarray, cfg: Banding, j: int) -> np.ndarray:
+    """The j-th B sub-key of unpacked sketches."""
+    sub = np.zeros(len(code), np.int64)
+    for k in range(j * cfg.rows, (j + 1) * cfg.rows):
+        sub = sub << 4 | code[:, k]
+    return sub
+
+
+def _split_tables(cfg: Banding):
+    """Every record once a table: its key mixed with each of its B sub-keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = _unpack(b.column("sketch"), cfg.codes)
+            for j in range(cfg.b):
+                key = _mix(np.asarray(b.column("key")).view(np.uint64) * np.uint64(31) + _mix((np.int64(j) << 48 | _sub_key(code, cfg, j)).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id"), b.column("n"), b.column("sketch")], names=["key", "id", "n", "sketch"])
+
+    return run
+
+
 def _matcher(cfg: Banding, least: float):
     needed = cfg.needed(least)
 
     def block(key: np.ndarray, ids: np.ndarray, n: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         _, group = np.unique(key, return_inverse=True)
         for j in range(cfg.b):
-            sub = np.zeros(len(key), np.int64)
-            for k in range(cfg.rows):
-                sub = sub << 4 | code[:, (cfg.a + j) * cfg.rows + k]
-            for x, y in _pairs_of(group.astype(np.int64) << (4 * cfg.rows) | sub):
+            for x, y in _pairs_of(group.astype(np.int64) << (4 * cfg.rows) | _sub_key(code, cfg, j)):
                 fit = np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y])
                 x, y = x[fit], y[fit]
                 for at in range(0, len(x), 200_000):
@@ -166,7 +208,7 @@ def _matcher(cfg: Banding, least: float):
         for b in batches:
             if not len(b):
                 continue
-            parts = [np.asarray(b.column("key")), np.asarray(b.column("id")), np.asarray(b.column("n")), _unpack(b.column("sketch"), cfg.hashes)]
+            parts = [np.asarray(b.column("key")), np.asarray(b.column("id")), np.asarray(b.column("n")), _unpack(b.column("sketch"), cfg.codes)]
             if held is not None:
                 parts = [np.concatenate([h, p]) for h, p in zip(held, parts, strict=True)]
             start = int(np.searchsorted(parts[0], parts[0][-1], "left"))
@@ -179,38 +221,31 @@ def _matcher(cfg: Banding, least: float):
     return run
 
 
-def signatures(df: DataFrame, key: str, text: str, least_words: int, cfg: Banding = Banding()) -> DataFrame:
+def signatures(df: DataFrame, key: str, text: str, least_words: int, cfg: Banding) -> DataFrame:
     """id, n, h1, h2, sketch, keys of the records with enough words."""
     w = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), words_of(F.col(text)).alias("_words")).where(F.size("_words") >= least_words)
     return w.mapInArrow(_signer("id", cfg), "id long, n int, h1 long, h2 long, sketch binary, keys array<int>")
 
 
-def candidates(reps: DataFrame, threshold: float, cfg: Banding = Banding()) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float, cfg: Banding) -> DataFrame:
     """id_1, id_2: pairs that share a table key and pass the sketch."""
     each = reps.select("id", "n", "sketch", F.posexplode("keys").alias("i", "k"))
     entries = each.select("id", "n", "sketch", (F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"))
     hot = entries.groupBy("key").count().where(F.col("count") > cfg.hot).select("key")
     if hot.take(1):  # rare: one A sub-key of very many records is split by the B sub-keys, that is by its tables
-        mark = F.udf(lambda s, c=cfg: [j << 50 | _sub(s, c, j) for j in range(c.b)], "array<long>")
-        big = entries.join(hot, "key", "left_semi").withColumn("_t", F.explode(mark("sketch"))).withColumn("key", F.xxhash64("key", "_t")).drop("_t")
-        entries = entries.join(hot, "key", "left_anti").unionByName(big)
+        big = entries.select("key", "id", "n", "sketch").join(hot, "key", "left_semi").mapInArrow(_split_tables(cfg), "key long, id long, n int, sketch binary")
+        entries = entries.select("key", "id", "n", "sketch").join(hot, "key", "left_anti").unionByName(big)
     sorted_ = entries.select("key", "id", "n", "sketch").repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(_matcher(cfg, threshold), "id_1 long, id_2 long").distinct()
 
 
-def _sub(sketch: bytes, cfg: Banding, j: int) -> int:
-    out = 0
-    for k in range((cfg.a + j) * cfg.rows, (cfg.a + j + 1) * cfg.rows):
-        out = out << 4 | (sketch[k // 2] >> (4 if k % 2 == 0 else 0)) & 15
-    return out
-
-
 def _bag(df: DataFrame, key: str, text: str, wanted: DataFrame, least_words: int) -> DataFrame:
     """id, bag: element hashes of the records that stand in wanted (id_1, id_2), and of few others.
 
-    What isn't wanted is dropped before the shuffle by a bitmap of hashed ids. It has 2^24 bits, however many are wanted.
+    What isn't wanted is dropped before the shuffle by a bitmap of hashed ids: 16 bits for each wanted pair, rounded up to
+    a power of two, between 2^20 and 2^28 (32 MB); beyond, it lets more through, which the joins drop.
     """
-    bits = 1 << 24
+    bits = 1 << min(28, max(20, (16 * wanted.count()).bit_length()))
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     spots = wanted.select(F.explode(F.array("id_1", "id_2")).alias("id")).select((h(F.col("id")) + 1).alias("h"))  # Spark's bitmaps count from 1
     chunks = spots.groupBy(F.bitmap_bucket_number("h").alias("c")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("b")).collect()
@@ -236,21 +271,23 @@ def _bag(df: DataFrame, key: str, text: str, wanted: DataFrame, least_words: int
     return lists.mapInArrow(run, "id long, bag array<int>")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, least_words: int = 1, cfg: Banding = Banding()) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, least_words: int = 1, cfg: Banding | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of representatives and the members that they stand for.
 
     Returns links (rep_1, rep_2, overlap), rep_1 < rep_2, between different bags of words of at least the threshold
     (words in both by words in either, each as often as it occurs), and members (id, rep) of the bags that several
     records share; a representative is the least id of its bag. Records with null id, null text or fewer words are left
-    out; repeated rows count once; order, case and punctuation don't matter.
+    out; repeated rows count once; order, case and punctuation don't matter. cfg: Banding.at(threshold) by default, which
+    finds 95 % of the pairs at the threshold and more of closer ones.
     """
+    cfg = cfg or Banding.at(threshold)
     signed = cut(signatures(df, key, text, least_words, cfg))
     bags = signed.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.max("id").alias("_last"), F.min_by(F.struct("sketch", "keys"), "id").alias("s"))
     found = cut(candidates(bags.select("id", "n", "s.sketch", "s.keys"), threshold, cfg))
     shared = bags.where("_last <> id").select("h1", "h2", "n", F.col("id").alias("rep"))
     members = cut(signed.select("id", "h1", "h2", "n").join(shared, ["h1", "h2", "n"]).select("id", "rep").distinct())
     drop_cut(signed)
-    bag = _bag(df, key, text, found, least_words)
+    bag = cut(_bag(df, key, text, found, least_words))
     one = bag.select(F.col("id").alias("id_1"), F.col("bag").alias("bag_1"))
     two = bag.select(F.col("id").alias("id_2"), F.col("bag").alias("bag_2"))
     both = F.size(F.array_intersect("bag_1", "bag_2"))
@@ -260,15 +297,40 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     return links, members
 
 
+#: Members of one class that one task pairs with members of another.
+SALTED = 2_000
+
+
 def expanded_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """id_1, id_2 (id_1 < id_2): all pairs of records behind links and members, each once."""
+    """id_1, id_2 (id_1 < id_2): all pairs of records behind links and members, each once.
+
+    Links and members say the same in less; this is for those who need the pairs. A class of n members is salted: its
+    rows on one side are dealt to n / SALTED slices, and the other side goes to each of them.
+    """
+    size = members.groupBy("rep").agg(F.ceil(F.count("*") / F.lit(SALTED)).cast("int").alias("slices"))
+    sized = members.join(size, "rep")
     m1 = members.select(F.col("rep").alias("r1"), F.col("id").alias("a"))
-    m2 = members.select(F.col("rep").alias("r2"), F.col("id").alias("b"))
-    wide = links.join(m1, links["rep_1"] == F.col("r1"), "left").join(m2, links["rep_2"] == F.col("r2"), "left").select(F.coalesce("a", "rep_1").alias("x"), F.coalesce("b", "rep_2").alias("y"))
-    same = m1.join(m2, F.col("r1") == F.col("r2")).where("a < b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    dealt = sized.select(F.col("rep").alias("r1"), F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("s1"))
+    everywhere = sized.select(F.col("rep").alias("r2"), F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s2"))
+    left = links.join(m1, links["rep_1"] == F.col("r1"), "left").select(F.coalesce("a", "rep_1").alias("x"), "rep_2")
+    left = left.join(size.withColumnRenamed("rep", "_r"), F.col("rep_2") == F.col("_r"), "left").select("x", "rep_2", F.coalesce(F.pmod(F.xxhash64("x"), F.col("slices")), F.lit(0)).cast("int").alias("s"))
+    wide = left.join(everywhere, (F.col("rep_2") == F.col("r2")) & (F.col("s") == F.col("s2")), "left").select("x", F.coalesce("b", "rep_2").alias("y"))
+    same = dealt.join(everywhere, (F.col("r1") == F.col("r2")) & (F.col("s1") == F.col("s2"))).where("a < b").select(F.col("a").alias("x"), F.col("b").alias("y"))
     return wide.unionByName(same).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
 
 
+def linked_classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """id, class_id, n_links of every record that has a copy: its bag's representative, and how many other records it is
+    linked with. With links, this is the whole result: no class is expanded into pairs."""
+    size = members.groupBy("rep").agg(F.count("*").alias("_n"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("rep_1").alias("rep"), F.col("rep_2").alias("other")), F.struct(F.col("rep_2").alias("rep"), F.col("rep_1").alias("other")))).alias("e")).select("e.*")
+    n = size.select(F.col("rep").alias("_o"), F.col("_n").alias("_on"))
+    reach = ends.join(n, F.col("other") == F.col("_o"), "left").groupBy("rep").agg(F.sum(F.coalesce("_on", F.lit(1))).alias("_out"))
+    classes = reach.join(size, "rep", "full_outer").select("rep", (F.coalesce("_out", F.lit(0)) + F.coalesce("_n", F.lit(1)) - 1).alias("n_links"))
+    mine = members.select(F.col("rep").alias("_m"), "id")
+    return classes.join(mine, F.col("rep") == F.col("_m"), "left").select(F.coalesce("id", "rep").alias("id"), F.col("rep").alias("class_id"), "n_links")
+
+
 def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """id, group_id: connected groups of records, named by their least id; only records that have a copy.
 

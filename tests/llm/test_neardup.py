@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 
@@ -55,9 +56,9 @@ def test_many_copies_of_one_text(spark):
 
 def test_hot_keys_are_spread(spark):
     t = texts(120, 5)
-    df = spark.createDataFrame(list(enumerate(t)), "id long, text string")
-    a = {tuple(r) for r in N.candidates(N.signatures(df, "id", "text", 12).select("id", "n", "sketch", "keys"), 0.65).collect()}
-    b = {tuple(r) for r in N.candidates(N.signatures(df, "id", "text", 12).select("id", "n", "sketch", "keys"), 0.65, N.Banding(hot=1)).collect()}
+    df, cfg = spark.createDataFrame(list(enumerate(t)), "id long, text string"), N.Banding.at(0.65)
+    a = {tuple(r) for r in N.candidates(N.signatures(df, "id", "text", 12, cfg).select("id", "n", "sketch", "keys"), 0.65, cfg).collect()}
+    b = {tuple(r) for r in N.candidates(N.signatures(df, "id", "text", 12, cfg).select("id", "n", "sketch", "keys"), 0.65, replace(cfg, hot=1)).collect()}
     assert a == b
 
 
@@ -70,3 +71,42 @@ def test_pairs_of_equal_values():
 def test_empty(spark):
     links, members = N.near_duplicates(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert links.count() == 0 and members.count() == 0 and N.groups(links, members).count() == 0
+
+
+def test_recall_at_the_threshold_itself(spark):
+    """Pairs whose overlap lies between 0.65 and 0.70: at least 0.95 of them are found, as the banding promises."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(20_000)]
+    rows, want = [], set()
+    for i in range(3000):
+        n = rng.randint(12, 60)
+        base = rng.sample(vocab, n)
+        for r in range(1, n):
+            if 0.65 <= (n - r) / (n + r) < 0.70:
+                rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[r:] + rng.sample(vocab, r)))]
+                if 0.65 <= overlap(rows[-1][1], rows[-2][1]) < 0.70:
+                    want.add((2 * i, 2 * i + 1))
+                break
+    links, members = N.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.65, 12)
+    got = {(r.id_1, r.id_2) for r in N.expanded_pairs(links, members).collect()}
+    assert len(want) > 1500 and len(got & want) >= 0.95 * len(want), (len(got & want), len(want))
+
+
+def test_banding_follows_the_threshold():
+    for s in (0.5, 0.65, 0.8, 0.9):
+        cfg = N.Banding.at(s)
+        assert cfg.chance(s) * (1 - cfg.lost) >= 0.95 and cfg.chance(s) <= cfg.chance(s + 0.05)
+    assert N.Banding.at(0.65).a > N.Banding.at(0.8).a
+
+
+def test_salted_expansion_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(N, "SALTED", 3)
+    links = spark.createDataFrame([(1, 20, 0.8), (20, 40, 0.7)], "rep_1 long, rep_2 long, overlap double")
+    members = spark.createDataFrame([(i, 1) for i in range(1, 12)] + [(i, 20) for i in range(20, 28)], "id long, rep long")
+    a, b = set(range(1, 12)), set(range(20, 28))
+    want = {(x, y) for x in a for y in a if x < y} | {(x, y) for x in b for y in b if x < y} | {(x, y) for x in a for y in b} | {(x, 40) for x in b}
+    rows = [(r.id_1, r.id_2) for r in N.expanded_pairs(links, members).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    n = {r.id: (r.class_id, r.n_links) for r in N.linked_classes(links, members).collect()}
+    degree = Counter(x for p in want for x in p)
+    assert {k: v[1] for k, v in n.items()} == dict(degree) and n[5][0] == 1 and n[40][0] == 40
