@@ -3,7 +3,8 @@
 A record is the bag of its words; minhashes of its (word, occurrence) elements agree as often as bags overlap. Two small
 collections of sub-keys are made, A and B, each sub-key of a few minhashes. Every pair of one A and one B sub-key is a
 table key, so a.keys x b.keys tables cost only the minhashes of a.keys + b.keys sub-keys. Only A sub-keys are shuffled; the
-tables of one A sub-key are formed where its records meet. Candidates pass a sketch of all minhashes and are verified.
+tables of one A sub-key are formed where its records meet. Candidates pass a parity sketch, which bounds the number of
+elements that two bags don't share and so loses no pair, and are verified.
 """
 
 from __future__ import annotations
@@ -24,28 +25,28 @@ from chronopanel.sources.tables import cut, drop_cut
 
 @dataclass(frozen=True)
 class Banding:
-    """a, b: sub-keys of either collection, of rows minhashes each. lost: the share of pairs at the threshold that the
-    sketch may lose; it gives the matches of minhash codes that a pair needs to be verified, see needed(). hot: records of one A sub-key
-    beyond which its tables are spread over tasks. The chance to find a pair of overlap s is chance(s); at() derives a and
-    b from the threshold. For much larger collections raise rows there, so that unlike records rarely meet."""
+    """a, b: sub-keys of either collection, of rows minhashes each. words: 32-bit words of the parity sketch; more of them
+    tell longer texts apart. hot: records of one A sub-key beyond which its tables are spread over tasks. The chance to
+    find a pair of overlap s is chance(s); at() derives a and b from the threshold. For much larger collections raise rows
+    there, so that unlike records rarely meet."""
 
     a: int
     b: int
     rows: int = 3
-    lost: float = 0.005
+    words: int = 5
     hot: int = 100_000
 
     @classmethod
-    def at(cls, threshold: float, recall: float = 0.95, rows: int = 3, lost: float = 0.005) -> Banding:
+    def at(cls, threshold: float, recall: float = 0.95, rows: int = 3) -> Banding:
         """The fewest A sub-keys that find at least `recall` of the pairs that lie at the threshold itself; B sub-keys, which
-        aren't shuffled, miss 0.6 % of them at most. At 0.65: a = 11, b = 16, recall 0.960 at 0.65, 0.984 at 0.70, 0.994 at
+        aren't shuffled, miss 0.6 % of them at most. At 0.65: a = 10, b = 16, recall 0.954 at 0.65, 0.982 at 0.70, 0.995 at
         0.75; at 0.8: a = 5, b = 8."""
         miss = math.log1p(-(threshold**rows))
         b = max(1, math.ceil(math.log(0.006) / miss))
-        found = recall / ((1 - lost) * -math.expm1(b * miss))
+        found = recall / -math.expm1(b * miss)
         if not found < 1:
             raise ValueError("this recall is out of reach")
-        return cls(max(1, math.ceil(math.log1p(-found) / miss)), b, rows, lost)
+        return cls(max(1, math.ceil(math.log1p(-found) / miss)), b, rows)
 
     def chance(self, s: float) -> float:
         """The chance that a pair of overlap s shares a table key."""
@@ -57,18 +58,9 @@ class Banding:
         return (self.a + self.b) * self.rows
 
     @property
-    def codes(self) -> int:
-        """The sketch holds a code of four bits for each minhash of the B sub-keys."""
-        return self.b * self.rows
-
-    def needed(self, threshold: float) -> int:
-        """Codes agree with probability p; how many of all do, but for a share of lost, at the threshold."""
-        p, n, below = threshold + (1 - threshold) / 16, self.codes, 0.0
-        for k in range(n + 1):
-            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-            if below > self.lost:
-                return k
-        return n
+    def width(self) -> int:
+        """Bytes of a sketch: the number of words, a byte for each B sub-key, the parity sketch."""
+        return 4 + self.b + 4 * self.words
 
 
 def words_of(text: Column) -> Column:
@@ -120,10 +112,20 @@ def _signer(key: str, cfg: Banding):
                 for k in range(i * cfg.rows, (i + 1) * cfg.rows):
                     keys[:, i] = _mix(keys[:, i] * np.uint64(31) + least[:, k].astype(np.uint64))
             keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            code = (_mix(least[:, cfg.a * cfg.rows :].astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
-            code = np.pad(code, ((0, 0), (0, cfg.codes % 2)))
-            packed = np.ascontiguousarray(code[:, ::2] << 4 | code[:, 1::2])
-            width = packed.shape[1]
+            packed = np.empty((n, cfg.width), np.uint8)
+            packed[:, :4] = np.diff(offsets).astype("<u4")[:, None].view(np.uint8)
+            for j in range(cfg.b):
+                sub = np.zeros(n, np.uint64)
+                for k in range((cfg.a + j) * cfg.rows, (cfg.a + j + 1) * cfg.rows):
+                    sub = _mix(sub * np.uint64(31) + least[:, k].astype(np.uint64))
+                packed[:, 4 + j] = (sub >> np.uint64(56)).astype(np.uint8)
+            # Every element turns one bit: equal elements of two bags cancel out in the exclusive or of their sketches.
+            spot = _mix(e ^ np.uint64(0xABCDEF)) % np.uint64(32 * cfg.words)
+            bit, word = np.uint32(1) << (spot & np.uint64(31)).astype(np.uint32), spot >> np.uint64(5)
+            for w in range(cfg.words):
+                part = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint32(0)), offsets[:-1]) if n else np.empty(0, np.uint32)
+                packed[:, 4 + cfg.b + 4 * w : 8 + cfg.b + 4 * w] = part.astype("<u4")[:, None].view(np.uint8)
+            width = cfg.width
             sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)[: n + 1].tobytes()), pa.py_buffer(packed.tobytes())])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * cfg.a), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(offsets).astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]), sketch, lists], names=[key, "n", "h1", "h2", "sketch", "keys"])
@@ -131,12 +133,11 @@ def _signer(key: str, cfg: Banding):
     return run
 
 
-def _unpack(sketches: pa.Array, codes: int) -> np.ndarray:
-    width = (codes + 1) // 2
-    flat = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, width)
-    out = np.empty((len(flat), width * 2), np.uint8)
-    out[:, ::2], out[:, 1::2] = flat >> 4, flat & 15
-    return out[:, :codes]
+def _unpack(sketches: pa.Array, cfg: Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sketches: numbers of words, B sub-keys, parity sketches."""
+    flat = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, cfg.width)
+    n = np.ascontiguousarray(flat[:, :4]).view("<u4")[:, 0].astype(np.int64)
+    return n, np.ascontiguousarray(flat[:, 4 : 4 + cfg.b].T), np.ascontiguousarray(flat[:, 4 + cfg.b :]).view("<u4")
 
 
 def _pairs_of(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,39 +152,34 @@ def _pairs_of(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = at[s[at] == s[at + d]]
 
 
-def _sub_key(code: np.ndarray, cfg: Banding, j: int) -> np.ndarray:
-    """The j-th B sub-key of unpacked sketches."""
-    sub = np.zeros(len(code), np.int64)
-    for k in range(j * cfg.rows, (j + 1) * cfg.rows):
-        sub = sub << 4 | code[:, k]
-    return sub
-
-
 def _split_tables(cfg: Banding):
     """Every record once a table: its key mixed with each of its B sub-keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code = _unpack(b.column("sketch"), cfg.codes)
+            _, sub, _ = _unpack(b.column("sketch"), cfg)
             for j in range(cfg.b):
-                key = _mix(np.asarray(b.column("key")).view(np.uint64) * np.uint64(31) + _mix((np.int64(j) << 48 | _sub_key(code, cfg, j)).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id"), b.column("n"), b.column("sketch")], names=["key", "id", "n", "sketch"])
+                key = _mix(np.asarray(b.column("key")).view(np.uint64) * np.uint64(31) + _mix(np.uint64(j << 8) | sub[j].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id"), b.column("sketch")], names=["key", "id", "sketch"])
 
     return run
 
 
 def _matcher(cfg: Banding, least: float):
-    needed = cfg.needed(least)
+    apart = (1 - least) / (1 + least)
 
-    def block(key: np.ndarray, ids: np.ndarray, n: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def block(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sub: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         _, group = np.unique(key, return_inverse=True)
+        group = group.astype(np.int64) << 8
         for j in range(cfg.b):
-            for x, y in _pairs_of(group.astype(np.int64) << (4 * cfg.rows) | _sub_key(code, cfg, j)):
-                fit = np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y])
-                x, y = x[fit], y[fit]
+            for x, y in _pairs_of(group | sub[:, j]):
                 for at in range(0, len(x), 200_000):
                     p, q = x[at : at + 200_000], y[at : at + 200_000]
-                    good = (code[p] == code[q]).sum(1) >= needed
+                    # What two bags don't share is at least the bits in which their sketches differ.
+                    most = np.floor(apart * (n[p] + n[q]) + 1e-9)
+                    good = np.abs(n[p] - n[q]) <= most
+                    p, q, most = p[good], q[good], most[good]
+                    good = np.bitwise_count(odd[p] ^ odd[q]).sum(1) <= most
                     if good.any():
                         yield ids[p[good]], ids[q[good]]
 
@@ -208,7 +204,8 @@ def _matcher(cfg: Banding, least: float):
         for b in batches:
             if not len(b):
                 continue
-            parts = [np.asarray(b.column("key")), np.asarray(b.column("id")), np.asarray(b.column("n")), _unpack(b.column("sketch"), cfg.codes)]
+            n, sub, odd = _unpack(b.column("sketch"), cfg)
+            parts = [np.asarray(b.column("key")), np.asarray(b.column("id")), n, sub.T, odd]
             if held is not None:
                 parts = [np.concatenate([h, p]) for h, p in zip(held, parts, strict=True)]
             start = int(np.searchsorted(parts[0], parts[0][-1], "left"))
@@ -229,13 +226,13 @@ def signatures(df: DataFrame, key: str, text: str, least_words: int, cfg: Bandin
 
 def candidates(reps: DataFrame, threshold: float, cfg: Banding) -> DataFrame:
     """id_1, id_2: pairs that share a table key and pass the sketch."""
-    each = reps.select("id", "n", "sketch", F.posexplode("keys").alias("i", "k"))
-    entries = each.select("id", "n", "sketch", (F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"))
+    each = reps.select("id", "sketch", F.posexplode("keys").alias("i", "k"))
+    entries = each.select("id", "sketch", (F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key"))
     hot = entries.groupBy("key").count().where(F.col("count") > cfg.hot).select("key")
     if hot.take(1):  # rare: one A sub-key of very many records is split by the B sub-keys, that is by its tables
-        big = entries.select("key", "id", "n", "sketch").join(hot, "key", "left_semi").mapInArrow(_split_tables(cfg), "key long, id long, n int, sketch binary")
-        entries = entries.select("key", "id", "n", "sketch").join(hot, "key", "left_anti").unionByName(big)
-    sorted_ = entries.select("key", "id", "n", "sketch").repartition("key").sortWithinPartitions("key")
+        big = entries.select("key", "id", "sketch").join(hot, "key", "left_semi").mapInArrow(_split_tables(cfg), "key long, id long, sketch binary")
+        entries = entries.select("key", "id", "sketch").join(hot, "key", "left_anti").unionByName(big)
+    sorted_ = entries.select("key", "id", "sketch").repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(_matcher(cfg, threshold), "id_1 long, id_2 long").distinct()
 
 
@@ -283,7 +280,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     cfg = cfg or Banding.at(threshold)
     signed = cut(signatures(df, key, text, least_words, cfg))
     bags = signed.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.max("id").alias("_last"), F.min_by(F.struct("sketch", "keys"), "id").alias("s"))
-    found = cut(candidates(bags.select("id", "n", "s.sketch", "s.keys"), threshold, cfg))
+    found = cut(candidates(bags.select("id", "s.sketch", "s.keys"), threshold, cfg))
     shared = bags.where("_last <> id").select("h1", "h2", "n", F.col("id").alias("rep"))
     members = cut(signed.select("id", "h1", "h2", "n").join(shared, ["h1", "h2", "n"]).select("id", "rep").distinct())
     drop_cut(signed)

@@ -29,7 +29,7 @@ QUERIES = {
 _EXACT = f"""
 WITH q AS (SELECT DISTINCT question_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM questions WHERE question_id IS NOT NULL AND text IS NOT NULL),
 e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM q WHERE len(w) >= {WORDS}), o AS (SELECT id, n, word, row_number() OVER (PARTITION BY id, word) AS nth FROM e),
-p AS (SELECT a.id AS id_1, b.id AS id_2, any_value(a.n) + any_value(b.n) AS total, count(*) AS both FROM o a JOIN o b ON a.word = b.word AND a.nth = b.nth AND a.id < b.id WHERE least(a.n, b.n) >= {OVERLAP} * greatest(a.n, b.n) GROUP BY ALL),
-f AS (SELECT id_1, id_2, both / (total - both) AS overlap FROM p WHERE both >= {OVERLAP} * (total - both))
+p AS (SELECT a.id AS id_1, b.id AS id_2, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared FROM o a JOIN o b ON a.word = b.word AND a.nth = b.nth AND a.id < b.id WHERE least(a.n, b.n) >= {OVERLAP} * greatest(a.n, b.n) GROUP BY ALL),
+f AS (SELECT id_1, id_2, shared / (total - shared) AS overlap FROM p WHERE shared >= {OVERLAP} * (total - shared))
 """
 ORACLES: dict[str, str] = {"p3_found": _EXACT + "SELECT id_1 AS question_id_1, id_2 AS question_id_2 FROM f"}
