@@ -142,7 +142,7 @@ def _unpack(sketches: pa.Array, cfg: Banding) -> tuple[np.ndarray, np.ndarray, n
 
 def _pairs_of(table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of equal values, by their distance in sorted order: the work is the number of pairs."""
-    order = np.argsort(table, kind="stable")
+    order = np.argsort(table)
     s = table[order]
     at, d = np.flatnonzero(s[1:] == s[:-1]), 1
     while len(at):
@@ -169,8 +169,9 @@ def _matcher(cfg: Banding, least: float):
     apart = (1 - least) / (1 + least)
 
     def block(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sub: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, group = np.unique(key, return_inverse=True)
-        group = group.astype(np.int64) << 8
+        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+        shared = size[group] > 1
+        group, ids, n, sub, odd = group[shared].astype(np.int64) << 8, ids[shared], n[shared], sub[shared], odd[shared]
         for j in range(cfg.b):
             for x, y in _pairs_of(group | sub[:, j]):
                 for at in range(0, len(x), 200_000):
