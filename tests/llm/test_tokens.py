@@ -60,9 +60,9 @@ def test_packing_holds_everything_once(spark):
     for box in by_box.values():
         at = 0
         for r in sorted(box, key=lambda r: r.start):
-            assert r.start == at
-            at += r.n_tokens
-        assert at <= 2048 and len({r.step_group for r in box}) == 1 and len({r.tier for r in box}) == 1
+            assert r.start >= at and r.start // r.tier == (r.start + r.n_tokens - 1) // r.tier and r.n_tokens <= r.tier
+            at = r.start + r.n_tokens
+        assert at <= 2048 and len({r.step_group for r in box}) == 1
     room: list[int] = []  # first fit, longest first
     for n in sorted((min(2048, n - 2048 * j) for n in sizes for j in range(-(-n // 2048))), reverse=True):
         at = next((i for i, r in enumerate(room) if r >= n), None)
@@ -86,6 +86,19 @@ def test_plan_uses_each_length_as_often_as_it_is_there(counts):
     assert got == counts
 
 
+def test_tiers_make_the_plan():
+    """Other tiers give other plans; a tier's windows are opened by its own items and filled from shorter ones."""
+    counts = {n: 1 + 4000 // n for n in range(1, 2049)}
+    plans = {t: K.plan(dict(counts), 2048, t) for t in ((2048,), (512, 2048), (256, 512, 1024, 2048))}
+    assert len({tuple((tuple(p.sizes), tuple(p.used), p.m) for p in v) for v in plans.values()}) == 3
+    total = sum(s * n for s, n in counts.items())
+    for tiers, patterns in plans.items():
+        lows = dict(zip(tiers, (0, *tiers), strict=False))
+        for p in patterns:
+            assert sum(s * k for s, k in zip(p.sizes, p.used, strict=True)) <= p.tier and lows[p.tier] < p.sizes[0] <= p.tier
+        assert K.Places(patterns).containers <= -(-total // 2048) + 1
+
+
 def test_one_length_holds_most_rows(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "cast(if(id % 3 = 0, 100, id % 2000 + 1) as long) as n_tokens")
     rows = K.pack(df).collect()
