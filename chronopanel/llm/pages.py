@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.text import roman_or_int
 from chronopanel.llm.lookalikes import forms
+from chronopanel.sources.tables import cut
 
 #: Lines from either end of a page, blank ones not counted, where headers, footers and page numbers stand.
 EDGE = 4
@@ -21,11 +28,53 @@ CONFUSED = ("ce€¢", "il1|", "ao0", "s5", "tf", "uv", "hb6", "gq")
 PAGE_NUMBER = r"^\s*(?:[-–~\[(]\s*)?(?:[Pp][a@o][gq][ec€]\s+)?(?:[0-9lIoO|]{1,4}|[ivxl1|]{1,7})(?:\s*(?:/|[o0a][ft])\s*[0-9lIoO|]{1,4})?(?:\s*[-–~\])])?\s*$"
 
 
+_MERGES = [MERGED, (), *[(pair,) for pair in SINGLE_MERGED]]
+_CLASSES = str.maketrans("".join(c[1:] for c in CONFUSED), "".join(c[0] * (len(c) - 1) for c in CONFUSED))
+#: Fixed value: a number, if some of its digits are misread.
+_NUMBER = regex.compile(r"(?<![\p{L}\p{N}])[0-9lIoO|]*[0-9][0-9lIoO|]*(?![\p{L}\p{N}])")
+_DIGITS = str.maketrans("lIoO|", "11001")
+
+
+def _skeletons(text: str) -> list[str]:
+    """skeletons() of one line."""
+    low, out = " ".join(text.lower().split()), []
+    for i, merged in enumerate(_MERGES):
+        x = low
+        for a, b in merged:
+            x = x.replace(a, b)
+        out.append(f"{i}:{x.translate(_CLASSES)}")
+    return out
+
+
+def _keyed(key: str, file: str, page_no: str):
+    """One row a key of an edge line: its skeletons as it is (o is null), and with each number masked in turn, with what
+    that number is more than page_no."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, keys, off = [], [], []
+            for i, (line, page) in enumerate(zip(b.column("line").to_pylist(), b.column(page_no).to_pylist(), strict=True)):
+                found = _skeletons(line)
+                row += [i] * len(found)
+                keys += found
+                off += [None] * len(found)
+                for m in _NUMBER.finditer(line) if page is not None else ():
+                    if len(digits := m[0].translate(_DIGITS)) <= 6:
+                        found = _skeletons(line[: m.start()] + "#" + line[m.end() :])
+                        row += [i] * len(found)
+                        keys += found
+                        off += [int(digits) - page] * len(found)
+            at = pa.array(row, pa.int64())
+            k = pd.util.hash_array(np.array(keys, object), categorize=False).view(np.int64) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(file).take(at), b.column("line_no").take(at), pa.array(k), pa.array(off, pa.int64())], names=[key, file, "line_no", "k", "o"])
+
+    return run
+
+
 def skeletons(text: Column) -> Column:
     """All skeletons of a text, each marked with the glyph pairs that it merges: texts that one misreading tells apart
     share one."""
-    merges = [MERGED, (), *[(pair,) for pair in SINGLE_MERGED]]
-    return F.array(*[F.concat(F.lit(f"{i}:"), skeleton(text, m)) for i, m in enumerate(merges)])
+    return F.array(*[F.concat(F.lit(f"{i}:"), skeleton(text, m)) for i, m in enumerate(_MERGES)])
 
 
 def skeleton(text: Column, merged: tuple = MERGED) -> Column:
@@ -50,8 +99,9 @@ def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id"
     """key, line_no, kind (`running`, `page_number`) of the lines of page_lines() that aren't the page's own text.
 
     Only lines near either end count. A page number is the first or last line and holds nothing else; a bare or bracketed
-    number or numeral counts only if it is page_no, or as far from it as on another page of the file. Running lines are grouped by their
-    glyph skeleton, once as they are and once without a number at either end, if that is as far from page_no on each page. Pages without a file have no running lines.
+    number or numeral counts only if it is page_no, or as far from it as on another page of the file. Running lines are grouped
+    by their glyph skeleton, as they are and with each of their numbers masked in turn, if that number is as far from
+    page_no on each page. Pages without a file have no running lines, nor have lines further than EDGE from either end.
     """
     edge = lines.where((F.col("top") < EDGE) | (F.col("bottom") < EDGE)).select(key, file, page_no, "line_no", "line", "top", "bottom")
     number = edge["line"].rlike(PAGE_NUMBER)
@@ -66,20 +116,11 @@ def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id"
     fits = (F.col("off") == 0) | F.col("_un").isNotNull()
     numbered = at.where(fits | (F.col("outer") & ~F.col("plain"))).select(key, "line_no", F.lit("page_number").alias("kind")).distinct()
     rest = edge.where(~number & F.col(file).isNotNull())
-    none = F.lit(-(1 << 40)).cast("long")
-    whole = F.transform(skeletons(F.col("line")), lambda k: F.struct(F.xxhash64(k).alias("k"), none.alias("o")))
-    nothing = F.array().cast("array<struct<k:bigint,o:bigint>>")
-
-    def without(number: str) -> Column:
-        """Keys of the line without the number at one end, with what it is more than page_no."""
-        found = F.nullif(F.regexp_extract(F.trim("line"), number, 1), F.lit("")).try_cast("long")
-        left = skeletons(F.regexp_replace(F.trim("line"), number, ""))
-        return F.coalesce(F.when((found - F.col(page_no)).isNotNull(), F.transform(left, lambda k: F.struct(F.xxhash64(k).alias("k"), (found - F.col(page_no)).alias("o")))), nothing)
-
-    keys = F.concat(whole, without(r"^(\d{1,6})\s"), without(r"\s(\d{1,6})$"))
-    keyed = rest.select(key, file, "line_no", F.explode(keys).alias("x")).select(key, file, "line_no", "x.k", "x.o")
+    kinds = dict(lines.dtypes)
+    shape = f"`{key}` {kinds[key]}, `{file}` {kinds[file]}, line_no {kinds['line_no']}, k long, o long"
+    keyed = cut(rest.select(key, file, page_no, "line_no", "line").mapInArrow(_keyed(key, file, page_no), shape))
     size = lines.groupBy(file, key).agg(F.lit(1).alias("one")).groupBy(F.col(file).alias("_file")).agg(F.count("*").alias("_pages"))
     spread = keyed.groupBy(file, "k", "o", key).agg(F.lit(1).alias("one")).groupBy(file, "k", "o").agg(F.count("*").alias("n")).where("n >= 2")
     often = spread.join(size, spread[file] == size["_file"]).where(F.col("n") >= RUNNING_SHARE * F.col("_pages")).select(F.col(file).alias("_f"), F.col("k").alias("_k"), F.col("o").alias("_o"))
-    running = keyed.join(often, (F.col(file) == F.col("_f")) & (F.col("k") == F.col("_k")) & (F.col("o") == F.col("_o")), "left_semi").select(key, "line_no").distinct()
+    running = keyed.join(often, (F.col(file) == F.col("_f")) & (F.col("k") == F.col("_k")) & F.col("o").eqNullSafe(F.col("_o")), "left_semi").select(key, "line_no").distinct()
     return numbered.unionByName(running.select(key, "line_no", F.lit("running").alias("kind")))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,54 +59,107 @@ def letter_pairs(lines: DataFrame) -> np.ndarray:
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
-def _pair_fit(logp: np.ndarray):
-    """Sum of the log probabilities of a line's letter pairs, their number, and how many of its words are common ones."""
-    known, marks = frozenset(COMMON), " \t([{\"'«¿¡“”»}]).,;:!?।-"
-
-    @F.pandas_udf("fit double, pairs long, common long")
-    def fit(lines: pd.Series) -> pd.DataFrame:
-        kind, line = _letters(lines)
-        a, b, at = kind[:-1], kind[1:], line[:-1]
-        inside = (a > 0) & (b > 0)
-        n = np.bincount(at[inside], minlength=len(lines))[: len(lines)]
-        return pd.DataFrame({"fit": np.bincount(at[inside], logp[a[inside], b[inside]], minlength=len(lines))[: len(lines)], "pairs": n, "common": [sum(w.strip(marks) in known for w in x.lower().replace("-", " ").split()) for x in lines]})
-
-    return fit
-
-
-def _is_cells() -> Column:
-    """Whether a line is a row of cells or the rule of a table; patterns run only where their mark is."""
-    line = F.col("line")
-    has = lambda mark, p: line.contains(mark) & line.rlike(p)
-    return (
-        has("|", r"\|[^|]*\||\S\s+\|\s+\S") | has("\t", r"\S\t|\t\S") | has("   ", r"\S {3,}\S") | has(";", r";[^;\s]*;|;[^;]*;[^\s;]|;[^\s;][^;]*;|^\s*[\w.]+;\S")
-        | line.rlike(r"^[\s|+=_:-]+$")
-    )
-
-
-def _line_counts() -> dict[str, Column]:
-    """What is counted in every line."""
-    line = F.col("line")
-    c = lambda p: F.regexp_count(line, F.lit(p)).cast("long")
-    is_ = lambda p: line.rlike(p)
-    # Cells are words of their own, and what only draws a table or a bullet is no word.
-    spread = F.translate(line, ";|", "  ")
-    w = lambda p: F.regexp_count(spread, F.lit(p)).cast("long")
-    words = w(r"(?<!\S)(?![-+=_:•▪·–—]+(?!\S))\S+")
-    cell = F.col("_cell")
-    entry = is_(r"^\s*(?:[-•▪◦‣*·–—o]|\(?\p{L}\)|\(?\d{1,3}[.)]|\d+(?:\.\d+)+\.?|\(?[ivxIVX]+[.)])\s+\S")
-    ends = is_(r"[.!?।][\"'”»)\]]*\s*(?:\[[^\]]{0,6}\]?|\(\d+\)|\d{1,3})?$")
-    one = lambda x: x.cast("long")
-    return {
-        "words": words, "chars": F.length(line).cast("long"), "letters": c(r"\p{L}"), "digits": c(r"\p{N}"), "symbols": c(r"[^\p{L}\p{M}\p{N}\s]"),
-        "odd": c(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\[\]/%+=×−-]|[\x{E000}-\x{F8FF}\x{FFFD}]"),
-        "numbers": w(r"(?<!\S)[-−+(\[|]?\d[\d.,]*[.,;:)\]|]?(?!\S)"),
-        "good": w(r"(?<![^\s(\[\"'«¿¡“-])(?:\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|[\p{Lo}\p{M}]+)(?![^\s.,;:!?)\]\"'»।”-])"),
-        "hard": w(r"(?<![\p{L}\p{N}])(?i:[b-df-hj-np-tv-xz]{3,})(?![\p{L}\p{N}])|\p{Ll}\p{Lu}|\p{L}\d\p{L}|(?i:[b-df-hj-np-tv-xz]{6,})"),
-        "lines": F.lit(1).cast("long"), "ended": one(ends), "low": one(is_(r"^\s*\p{Ll}")), "long": one(words >= 7),
-        "cells": one(cell), "cell_words": F.when(cell, words).otherwise(0), "entries": one(entry & ~cell), "short_entries": one(entry & ~cell & (words <= 7)),
-        "sentence_words": F.when(~cell & (words >= 6), words).otherwise(0), "short": one((words <= 4) & ~cell),
-    }
+#: Tokens that a worker remembers.
+REMEMBERED = 500_000
+#: What is counted in every token, in this order.
+TOKEN_COUNTS = ("words", "letters", "digits", "symbols", "odd", "numbers", "good", "hard", "pairs", "common", "fit")
+#: What is counted in every line.
+LINE_COUNTS = ("chars", "lines", "ended", "low", "long", "cells", "cell_words", "entries", "short_entries", "sentence_words", "short")
+COUNTS = (*TOKEN_COUNTS, *LINE_COUNTS)
+# What draws a table or a bullet and is no word; numbers; words as they are written; strings that no language writes.
+_DRAWN = regex.compile(r"[-+=_:•▪·–—]+")
+_NUMBER = regex.compile(r"[-−+(\[|]?\d[\d.,]*[.,;:)\]|]?")
+_GOOD = regex.compile(r"(?<![^\s(\[\"'«¿¡“-])(?:\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|[\p{Lo}\p{M}]+)(?![^\s.,;:!?)\]\"'»।”-])")
+_HARD = regex.compile(r"(?<![\p{L}\p{N}])(?i:[b-df-hj-np-tv-xz]{3,})(?![\p{L}\p{N}])|\p{Ll}\p{Lu}|\p{L}\d\p{L}|(?i:[b-df-hj-np-tv-xz]{6,})")
+_USUAL, _MARKS = frozenset(".,;:!?'\"()[]/%+=×−-"), " \t([{\"'«¿¡“”»}]).,;:!?।-"
+# Fixed values, as RE2 reads them: rows of cells by their mark, entries of a list, ends of sentences.
+_CELLS = {"|": r"\|[^|]*\||\S\s+\|\s+\S", "\t": r"\S\t|\t\S", "   ": r"\S {3,}\S", ";": r";[^;\s]*;|;[^;]*;[^\s;]|;[^\s;][^;]*;|^\s*[\w.]+;\S"}
+_RULE = r"^[\s|+=_:-]+$"
+_ENTRY = r"^\s*(?:[-•▪◦‣*·–—o]|\(?\p{L}\)|\(?\d{1,3}[.)]|\d+(?:\.\d+)+\.?|\(?[ivxIVX]+[.)])\s+\S"
+_ENDED = r"[.!?।][\"'”»)\]]*\s*(?:\[[^\]]{0,6}\]?|\(\d+\)|\d{1,3})?$"
+_LOW = r"^\s*\p{Ll}"
+
+
+class _Tokens:
+    """Counts of tokens, each taken once a worker: words of a language come again and again."""
+
+    def __init__(self, logp: np.ndarray, common: frozenset[str]) -> None:
+        self.logp, self.common = logp.tolist(), common
+        self.seen: dict[str, int] = {}
+        self.table = np.zeros((0, len(TOKEN_COUNTS)))
+
+    def _measured(self, token: str) -> tuple:
+        letters = digits = symbols = odd = pairs = 0
+        for ch in token:
+            kind = unicodedata.category(ch)[0]
+            if kind == "L":
+                letters += 1
+            elif kind == "N":
+                digits += 1
+            elif kind != "M":
+                symbols += 1
+                odd += ch not in _USUAL
+        fit, last = 0.0, 0
+        for ch in token.lower():
+            cp = ord(ch)
+            now = cp - 96 if 97 <= cp <= 122 else 27 if 0xC0 <= cp < 0x2000 and cp not in (0xD7, 0xF7) else 0
+            if last and now:
+                fit, pairs = fit + self.logp[last][now], pairs + 1
+            last = now
+        common = sum(w.strip(_MARKS) in self.common for w in token.lower().replace("-", " ").split())
+        word = not _DRAWN.fullmatch(token)
+        return word, letters, digits, symbols, odd, bool(_NUMBER.fullmatch(token)), len(_GOOD.findall(token)), len(_HARD.findall(token)), pairs, common, fit
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.table = {}, self.table[:0]
+        new = [t for t in tokens if t not in self.seen]
+        if new:
+            self.seen.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, np.array([self._measured(t) if t else (0,) * len(TOKEN_COUNTS) for t in new], float)])
+        return self.table[np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))]
+
+
+def _counter(key: str, logp: np.ndarray, common: frozenset[str]):
+    """Sums of COUNTS over the lines of each page and value of _out in a batch of key, line, _out."""
+    tokens = _Tokens(logp, common)
+
+    def of_lines(lines: pa.Array) -> np.ndarray:
+        # Cells are words of their own.
+        spread = pc.utf8_trim_whitespace(pc.replace_substring(pc.replace_substring(lines, ";", " "), "|", " "))
+        parts = pc.utf8_split_whitespace(spread)
+        coded = pc.dictionary_encode(parts.flatten())
+        each = tokens.rows(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)] if len(coded) else np.zeros((0, len(TOKEN_COUNTS)))
+        at = np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py()
+        run = np.concatenate([np.zeros((1, len(TOKEN_COUNTS))), np.cumsum(each, 0)])
+        got = dict(zip(TOKEN_COUNTS, (run[at[1:]] - run[at[:-1]]).T, strict=True))
+        bars, semis = (np.asarray(pc.count_substring(lines, m)) for m in "|;")
+        got["symbols"], got["odd"] = got["symbols"] + bars + semis, got["odd"] + bars
+        has = lambda p: np.asarray(pc.match_substring_regex(lines, p))
+        cell = has(_RULE)
+        for mark, pattern in _CELLS.items():
+            maybe = np.asarray(pc.match_substring(lines, mark))
+            if maybe.any():
+                cell[maybe] |= np.asarray(pc.match_substring_regex(lines.filter(pa.array(maybe)), pattern))
+        words, entry = got["words"], has(_ENTRY) & ~cell
+        got |= {
+            "chars": np.asarray(pc.utf8_length(lines)), "lines": np.ones(len(lines)), "ended": has(_ENDED), "low": has(_LOW), "long": words >= 7, "cells": cell, "cell_words": np.where(cell, words, 0),
+            "entries": entry, "short_entries": entry & (words <= 7), "sentence_words": np.where(~cell & (words >= 6), words, 0), "short": (words <= 4) & ~cell,
+        }
+        return np.stack([np.asarray(got[c], float) for c in COUNTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            out = np.asarray(b.column("_out"), np.int64)
+            page = pc.dictionary_encode(b.column(key))
+            group, first, where = np.unique(np.asarray(page.indices, np.int64) * 2 + out, return_index=True, return_inverse=True)
+            sums = [np.bincount(where, weights=v, minlength=len(group)) for v in of_lines(b.column("line"))]
+            cols = [b.column(key).take(pa.array(first)), pa.array(group % 2), *[pa.array(v) if c == "fit" else pa.array(np.rint(v).astype(np.int64)) for c, v in zip(COUNTS, sums, strict=True)]]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "_out", *COUNTS])
+
+    return run
 
 
 def _figures() -> dict[str, Column]:
@@ -118,14 +175,19 @@ def _figures() -> dict[str, Column]:
     }
 
 
-def figures(lines: DataFrame, logp: np.ndarray, furniture: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """key and the figures of every page with lines, without those of furniture unless nothing else is there."""
-    counts = _line_counts()
-    if furniture is not None:
-        f = furniture.select(F.col(key).alias("_k"), F.col("line_no").alias("_l"), F.lit(1).alias("_out")).distinct()
-        lines = lines.join(f, (lines[key] == f["_k"]) & (lines["line_no"] == f["_l"]), "left").where("_out is null")
-    each = lines.select(key, "line", _is_cells().alias("_cell"), _pair_fit(logp)("line").alias("_p")).select(key, *[x.alias(c) for c, x in counts.items()], "_p.*")
-    return each.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*counts, "fit", "pairs", "common")]).select(key, *[x.alias(c) for c, x in _figures().items()])
+def figures(lines: DataFrame, logp: np.ndarray, furniture: DataFrame | None = None, key: str = "page_id", common: tuple[str, ...] = tuple(COMMON)) -> DataFrame:
+    """key and the figures of every page with lines, without those of furniture unless nothing else is there. Lines with
+    null key don't count. common: the common words of the languages at hand."""
+    rows = lines.where(F.col(key).isNotNull())
+    if furniture is None:
+        rows = rows.select(key, "line", F.lit(0).alias("_out"))
+    else:
+        f = furniture.select(F.col(key).alias("_k"), F.col("line_no").alias("_l"), F.lit(1).alias("_f")).distinct()
+        rows = rows.join(f, (rows[key] == f["_k"]) & (rows["line_no"] == f["_l"]), "left").select(key, "line", F.coalesce("_f", F.lit(0)).alias("_out"))
+    shape = ", ".join([f"`{key}` {dict(lines.dtypes)[key]}", "_out long", *[f"{c} {'double' if c == 'fit' else 'long'}" for c in COUNTS]])
+    each = rows.mapInArrow(_counter(key, logp, frozenset(common)), shape)
+    own = each.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("_out") == 0, F.col(c))), F.sum(c)).alias(c) for c in COUNTS])
+    return own.select(key, *[x.alias(c) for c, x in _figures().items()])
 
 
 #: What the trees see of a page's figures.
