@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,44 +30,60 @@ PAGE_NUMBER = r"^\s*(?:[-–~\[(]\s*)?(?:[Pp][a@o][gq][ec€]\s+)?(?:[0-9lIoO|]{
 
 
 _MERGES = [MERGED, (), *[(pair,) for pair in SINGLE_MERGED]]
-_CLASSES = str.maketrans("".join(c[1:] for c in CONFUSED), "".join(c[0] * (len(c) - 1) for c in CONFUSED))
 #: Fixed value: a number, if some of its digits are misread.
 _NUMBER = regex.compile(r"(?<![\p{L}\p{N}])[0-9lIoO|]*[0-9][0-9lIoO|]*(?![\p{L}\p{N}])")
 _DIGITS = str.maketrans("lIoO|", "11001")
 
 
-def _skeletons(text: str) -> list[str]:
-    """skeletons() of one line."""
-    low, out = " ".join(text.lower().split()), []
+_CLASSES = str.maketrans("".join(c[1:] for c in CONFUSED), "".join(c[0] * (len(c) - 1) for c in CONFUSED))
+
+
+def _skeleton_hashes(lines: list[str]) -> list[np.ndarray]:
+    """A hash of each of the skeletons() of all lines, which are worked on as one text."""
+    low, out = "\n".join([" ".join(x.split()) for x in lines]).lower(), []
     for i, merged in enumerate(_MERGES):
         x = low
         for a, b in merged:
             x = x.replace(a, b)
-        out.append(f"{i}:{x.translate(_CLASSES)}")
+        parts = np.array(x.translate(_CLASSES).split("\n"), object) if lines else np.empty(0, object)
+        out.append(pd.util.hash_array(parts, hash_key=f"skeleton-{i:07d}", categorize=False) if lines else np.empty(0, np.uint64))
     return out
 
 
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    x = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        x = (x ^ p) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
+
+
 def _keyed(key: str, file: str, page_no: str):
-    """One row a key of an edge line: its skeletons as it is (o is null), and with each number masked in turn, with what
-    that number is more than page_no."""
+    """One row a key of an edge line: a hash of its file and of one of its skeletons, as it is and with each of its numbers
+    masked in turn (taken out at either end), then with what that number is more than page_no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, keys, off = [], [], []
-            for i, (line, page) in enumerate(zip(b.column("line").to_pylist(), b.column(page_no).to_pylist(), strict=True)):
-                found = _skeletons(line)
-                row += [i] * len(found)
-                keys += found
-                off += [None] * len(found)
-                for m in _NUMBER.finditer(line) if page is not None else ():
+            lines, pages = b.column("line"), b.column(page_no).to_pylist()
+            row, masked, off = [], [], []
+            for i in np.flatnonzero(np.asarray(pc.match_substring_regex(lines, "[0-9]"))):
+                if pages[i] is None:
+                    continue
+                line = lines[i].as_py()
+                for m in _NUMBER.finditer(line):
                     if len(digits := m[0].translate(_DIGITS)) <= 6:
-                        found = _skeletons(line[: m.start()] + "#" + line[m.end() :])
-                        row += [i] * len(found)
-                        keys += found
-                        off += [int(digits) - page] * len(found)
-            at = pa.array(row, pa.int64())
-            k = pd.util.hash_array(np.array(keys, object), categorize=False).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(file).take(at), b.column("line_no").take(at), pa.array(k), pa.array(off, pa.int64())], names=[key, file, "line_no", "k", "o"])
+                        row.append(i)
+                        left, right = line[: m.start()], line[m.end() :]
+                        masked.append(f"{left}#{right}" if left.strip() and right.strip() else left + right)  # at either end
+                        off.append(int(digits) - pages[i])
+            whole, some = _skeleton_hashes(lines.to_pylist()), _skeleton_hashes(masked)
+            every, row = np.arange(len(lines)), np.array(row, np.int64)
+            of = pd.util.hash_array(np.asarray(b.column(file).cast(pa.string()).to_pylist(), object), categorize=False) if len(lines) else np.empty(0, np.uint64)
+            moved = np.array(off, np.int64).view(np.uint64)
+            h = [_mixed(of, x) for x in whole] + [_mixed(of[row], x, moved, np.full(len(row), 7, np.uint64)) for x in some]
+            at = np.concatenate([every] * len(whole) + [row] * len(some))
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(file).take(at), b.column("line_no").take(at), pa.array(np.concatenate(h).view(np.int64))], names=[key, file, "line_no", "h"])
 
     return run
 
@@ -117,10 +134,13 @@ def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id"
     numbered = at.where(fits | (F.col("outer") & ~F.col("plain"))).select(key, "line_no", F.lit("page_number").alias("kind")).distinct()
     rest = edge.where(~number & F.col(file).isNotNull())
     kinds = dict(lines.dtypes)
-    shape = f"`{key}` {kinds[key]}, `{file}` {kinds[file]}, line_no {kinds['line_no']}, k long, o long"
+    shape = f"`{key}` {kinds[key]}, `{file}` {kinds[file]}, line_no {kinds['line_no']}, h long"
     keyed = cut(rest.select(key, file, page_no, "line_no", "line").mapInArrow(_keyed(key, file, page_no), shape))
+    # Nearly all keys are alone; only those of several pages are counted page by page.
+    several = keyed.groupBy("h").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_lo <> _hi").select("h")
+    shared = cut(keyed.join(several, "h", "left_semi"))
     size = lines.groupBy(file, key).agg(F.lit(1).alias("one")).groupBy(F.col(file).alias("_file")).agg(F.count("*").alias("_pages"))
-    spread = keyed.groupBy(file, "k", "o", key).agg(F.lit(1).alias("one")).groupBy(file, "k", "o").agg(F.count("*").alias("n")).where("n >= 2")
-    often = spread.join(size, spread[file] == size["_file"]).where(F.col("n") >= RUNNING_SHARE * F.col("_pages")).select(F.col(file).alias("_f"), F.col("k").alias("_k"), F.col("o").alias("_o"))
-    running = keyed.join(often, (F.col(file) == F.col("_f")) & (F.col("k") == F.col("_k")) & F.col("o").eqNullSafe(F.col("_o")), "left_semi").select(key, "line_no").distinct()
+    spread = shared.groupBy(file, "h", key).agg(F.lit(1).alias("one")).groupBy(file, "h").agg(F.count("*").alias("n"))
+    often = spread.join(size, spread[file] == size["_file"]).where(F.col("n") >= RUNNING_SHARE * F.col("_pages")).select("h")
+    running = shared.join(often, "h", "left_semi").select(key, "line_no").distinct()
     return numbered.unionByName(running.select(key, "line_no", F.lit("running").alias("kind")))
