@@ -35,18 +35,26 @@ _NUMBER = regex.compile(r"(?<![\p{L}\p{N}])[0-9lIoO|]*[0-9][0-9lIoO|]*(?![\p{L}\
 _DIGITS = str.maketrans("lIoO|", "11001")
 
 
-_CLASSES = str.maketrans("".join(c[1:] for c in CONFUSED), "".join(c[0] * (len(c) - 1) for c in CONFUSED))
+_CLASS = np.arange(0x110000, dtype=np.uint32)
+for _c in CONFUSED:
+    _CLASS[[ord(ch) for ch in _c[1:]]] = ord(_c[0])
 
 
 def _skeleton_hashes(lines: list[str]) -> list[np.ndarray]:
     """A hash of each of the skeletons() of all lines, which are worked on as one text."""
-    low, out = "\n".join([" ".join(x.split()) for x in lines]).lower(), []
+    if not lines:
+        return [np.empty(0, np.uint64) for _ in _MERGES]
+    low, out = ("\n".join([" ".join(x.split()) for x in lines]) + "\n").lower(), []
     for i, merged in enumerate(_MERGES):
         x = low
         for a, b in merged:
             x = x.replace(a, b)
-        parts = np.array(x.translate(_CLASSES).split("\n"), object) if lines else np.empty(0, object)
-        out.append(pd.util.hash_array(parts, hash_key=f"skeleton-{i:07d}", categorize=False) if lines else np.empty(0, np.uint64))
+        codes = _CLASS[np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        ends = np.flatnonzero(codes == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        place = np.arange(len(codes)) - np.repeat(starts, ends - starts + 1)
+        powers = np.cumprod(np.full(int((ends - starts).max()) + 1, np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * i)))
+        out.append(_mixed(np.add.reduceat(codes * powers[place], starts)))
     return out
 
 
@@ -60,11 +68,12 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 def _keyed(key: str, file: str, page_no: str):
     """One row a key of an edge line: a hash of its file and of one of its skeletons, as it is and with each of its numbers
-    masked in turn (taken out at either end), then with what that number is more than page_no."""
+    masked in turn (taken out at either end), then with what that number is more than page_no. Numbers inside a line count in
+    the two outer lines alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines, pages = b.column("line"), b.column(page_no).to_pylist()
+            lines, pages, outer = b.column("line"), b.column(page_no).to_pylist(), b.column("outer").to_pylist()
             row, masked, off = [], [], []
             for i in np.flatnonzero(np.asarray(pc.match_substring_regex(lines, "[0-9]"))):
                 if pages[i] is None:
@@ -72,10 +81,12 @@ def _keyed(key: str, file: str, page_no: str):
                 line = lines[i].as_py()
                 for m in _NUMBER.finditer(line):
                     if len(digits := m[0].translate(_DIGITS)) <= 6:
-                        row.append(i)
                         left, right = line[: m.start()], line[m.end() :]
-                        masked.append(f"{left}#{right}" if left.strip() and right.strip() else left + right)  # at either end
+                        if not outer[i] and left.strip() and right.strip():
+                            continue
+                        row.append(i)
                         off.append(int(digits) - pages[i])
+                        masked.append(f"{left}#{right}" if left.strip() and right.strip() else left + right)  # at either end
             whole, some = _skeleton_hashes(lines.to_pylist()), _skeleton_hashes(masked)
             every, row = np.arange(len(lines)), np.array(row, np.int64)
             of = pd.util.hash_array(np.asarray(b.column(file).cast(pa.string()).to_pylist(), object), categorize=False) if len(lines) else np.empty(0, np.uint64)
@@ -135,7 +146,8 @@ def page_furniture(lines: DataFrame, key: str = "page_id", file: str = "file_id"
     rest = edge.where(~number & F.col(file).isNotNull())
     kinds = dict(lines.dtypes)
     shape = f"`{key}` {kinds[key]}, `{file}` {kinds[file]}, line_no {kinds['line_no']}, h long"
-    keyed = cut(rest.select(key, file, page_no, "line_no", "line").mapInArrow(_keyed(key, file, page_no), shape))
+    outer = (F.col("top") < 2) | (F.col("bottom") < 2)
+    keyed = cut(rest.select(key, file, page_no, "line_no", "line", outer.alias("outer")).mapInArrow(_keyed(key, file, page_no), shape))
     # Nearly all keys are alone; only those of several pages are counted page by page.
     several = keyed.groupBy("h").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_lo <> _hi").select("h")
     shared = cut(keyed.join(several, "h", "left_semi"))

@@ -17,8 +17,8 @@ BROKEN = r"[\p{L}\p{M}0-9€¢|][-‐¬]$"
 #: that weren't scanned than its count would make one expect.
 RARE, UNSEEN = 0.1, 0.15
 #: A form that is a word itself is misread if another word of its skeleton is so many times more usual between its
-#: neighbours; both must occur so often.
-CONTEXT, FREQUENT = 50.0, 30
+#: neighbours. Odds as high as that need as many occurrences, whatever the size of the corpus.
+CONTEXT = 50.0
 
 
 def scanned(method: Column, confidence: Column) -> Column:
@@ -116,10 +116,10 @@ def _neighbours(tokens: str) -> Column:
 def misplaced(lines: DataFrame, kinds: DataFrame, text: DataFrame, vocab: DataFrame) -> DataFrame:
     """page_id, line_no, token, best: words of text read as another word, by what stands before and after them in the line.
 
-    Only frequent words of one glyph skeleton are weighed against each other; their neighbours are counted over all pages
-    but junk. A word broken across lines is left out.
+    Words of one glyph skeleton that occur on clean pages are weighed against each other; their neighbours are counted over
+    all pages but junk. A word broken across lines is left out.
     """
-    often = vocab.where((F.col("n") >= FREQUENT) & (F.col("clean") > 0) & ~F.col("token").rlike("[0-9€¢|]")).select("token", F.explode(skeletons(F.col("token"))).alias("key"))
+    often = vocab.where((F.col("clean") > 0) & ~F.col("token").rlike("[0-9€¢|]")).select("token", F.explode(skeletons(F.col("token"))).alias("key"))
     pairs = often.join(often.select(F.col("token").alias("best"), "key"), "key").where("token <> best").select("token", "best").distinct()
     pairs = cut(pairs)
     some = pairs.select("token").distinct()
@@ -161,11 +161,23 @@ def damaged_lines(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> D
     return first.unionByName(text.where("broken").select("page_id", "line_no", F.lit("hyphen").alias("kind"))).unionByName(misread)
 
 
+def compounds(lines: DataFrame, kinds: DataFrame) -> DataFrame:
+    """part, rest, n: how often two words stand side by side with a hyphen between them inside a line, without junk."""
+    plain = kinds.where("kind <> 'junk'").select(F.col("page_id").alias("_k"))
+    chains = F.regexp_extract_all(F.lower("line"), F.lit(rf"{TOKEN}(?:[-‐]{TOKEN})+"), F.lit(0))
+    some = lines.where(F.col("line").rlike(r"\p{L}[-‐]\p{L}")).join(plain, F.col("page_id") == F.col("_k"), "left_semi")
+    links = some.select(F.explode(chains).alias("c")).select(F.split("c", "[-‐]").alias("p")).where("size(p) > 1")
+    pairs = links.select(F.explode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("part"), F.slice("p", 2, F.size("p") - 1).alias("rest"))).alias("x"))
+    return pairs.groupBy(F.col("x.part").alias("part"), F.col("x.rest").alias("rest")).agg(F.count("*").alias("n"))
+
+
 def paragraphs(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> DataFrame:
-    """page_id, paragraph, text: the continuous text of each scanned page of prose, repaired.
+    """page_id, paragraph, text: the continuous text of each scanned page, repaired.
 
-    Misread words are replaced where their right form is known, words broken across lines are put together, a new paragraph starts after a blank line, at an indented line or at a
-    numbered entry. Headers, footers and page numbers are left out. A word broken at the end of the page keeps its mark.
+    Misread words are replaced where their right form is known, words broken across lines are put together, with the hyphen
+    if the corpus writes the two parts with one at least as often as without; a new paragraph starts after a blank line, at
+    an indented line or at a numbered entry. Headers, footers and page numbers are left out. A word broken at the end of the
+    page keeps its mark. Of lists, tables and junk every line is a paragraph, as it is.
     """
     text = cut(content(lines, furniture, kinds))
     each = cut(words(text))
@@ -173,8 +185,12 @@ def paragraphs(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> Data
     wrong = cut(corrections(vocab).where("best is not null"))
     found = each.where("part is null").join(wrong, "token").select("page_id", "line_no", "token", "best").unionByName(misplaced(lines, kinds, text, vocab))
     fixes = found.groupBy(F.col("page_id").alias("_p"), F.col("line_no").alias("_l")).agg(F.collect_set(F.struct("token", "best")).alias("fixes"))
-    joined = each.where("part is not null and next_page = page_id").join(vocab.select("token", "clean"), "token", "left").join(wrong, "token", "left")
-    joined = joined.groupBy(F.col("page_id").alias("_jp"), F.col("line_no").alias("_jl")).agg(F.first(F.struct(F.coalesce("best", "token").alias("word"), "part", "rest", F.coalesce(F.col("clean") > 0, F.lit(False)).alias("known"))).alias("j"))
+    split = each.where("part is not null and next_page = page_id").select("page_id", "line_no", "token", "part", "rest")
+    split = split.join(vocab.select("token", F.col("n").alias("_whole")), "token", "left").join(wrong, "token", "left").join(compounds(lines, kinds).withColumnRenamed("n", "_apart"), ["part", "rest"], "left")
+    # Every form broken in a scanned page counts as written whole once by itself.
+    apart = F.coalesce(F.col("_apart"), F.lit(0)) >= F.greatest(F.coalesce("_whole", F.lit(0)) - 1, F.lit(1))
+    word = F.when(F.col("best").isNull() & apart, F.concat_ws("-", "part", "rest")).otherwise(F.coalesce("best", "token"))
+    joined = split.groupBy(F.col("page_id").alias("_jp"), F.col("line_no").alias("_jl")).agg(F.min(F.struct(word.alias("word"), "part", "rest")).alias("j"))
     rows = text.join(fixes, (F.col("page_id") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left").join(joined, (F.col("page_id") == F.col("_jp")) & (F.col("line_no") == F.col("_jl")), "left")
     edge = "[\\p{L}\\p{M}0-9€¢|]"
 
@@ -199,4 +215,8 @@ def paragraphs(lines: DataFrame, furniture: DataFrame, kinds: DataFrame) -> Data
     parts = parts.withColumn("paragraph", F.sum(F.col("opens").cast("int")).over(w).cast("int"))
     lined = parts.groupBy("page_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("line_no", "glued", "piece"))).alias("l"))
     text_of = F.aggregate("l", F.lit(""), lambda acc, x: F.when((acc == "") | x["glued"], F.concat(acc, x["piece"])).otherwise(F.concat(acc, F.lit(" "), x["piece"])))
-    return lined.select("page_id", "paragraph", F.trim(F.regexp_replace(text_of, r"\s+", " ")).alias("text"))
+    out = furniture.select(F.col("page_id").alias("_p"), F.col("line_no").alias("_l")).distinct()
+    other = kinds.where("kind <> 'prose'").select(F.col("page_id").alias("_k"))
+    plain = lines.where(scanned(F.col("method"), F.col("ocr_confidence"))).select("page_id", "line_no", "line").join(other, F.col("page_id") == F.col("_k"), "left_semi")
+    plain = plain.join(out, (F.col("page_id") == F.col("_p")) & (F.col("line_no") == F.col("_l")), "left_anti").select("page_id", F.row_number().over(w).cast("int").alias("paragraph"), F.trim("line").alias("text"))
+    return lined.select("page_id", "paragraph", F.trim(F.regexp_replace(text_of, r"\s+", " ")).alias("text")).unionByName(plain)

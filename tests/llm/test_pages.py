@@ -76,6 +76,33 @@ def test_damage_and_repair(spark):
     assert "pressure in the pipe" in text[1] and "student should" in text[1] and "strength of" in text[1] and "- north" in text[1] and "valve is" in text[1]
 
 
+def test_hyphens_of_compounds_stay(spark):
+    clean = [(100 + i, 50 + i, 1, "native", None, prose(i) + "\nIt is a well-known part of a self-made pump, with a state-of-the-art north hall.") for i in range(4)]
+    rows = [*clean, (1, 1, 1, "ocr", 70.0, PROSE + "\nA well-\nknown part of the self-\nmade pump in the state-of-the-\nart hall and of its pres-\nsure."), (2, 2, 1, "ocr", 70.0, "beam; 12\nwall; 14\n\nweir; 15")]
+    _, lines, furniture = inputs(spark, rows)
+    kinds = spark.createDataFrame([(r[0], "table" if r[0] == 2 else "prose") for r in rows], "page_id long, kind string")
+    got = R.paragraphs(lines, furniture, kinds).collect()
+    text = " ".join(r.text for r in sorted(got, key=lambda r: r.paragraph) if r.page_id == 1)
+    assert "well-known part of the self-made pump in the state-of-the-art hall and of its pressure." in text
+    assert [r.text for r in sorted(got, key=lambda r: r.paragraph) if r.page_id == 2] == ["beam; 12", "wall; 14", "weir; 15"]
+
+
+def test_headers_with_a_number_anywhere(spark):
+    heads = [f"Vol. {i} of the Journal of Pumps" for i in range(1, 6)] + ["p.1 Mechanics", "Physics - Page l2 of 30 -", "Physics - Page 13 of 30 -"]
+    where = [(1, i) for i in range(1, 6)] + [(2, 1), (3, 12), (3, 13)]
+    rows = [(i, f, n, "ocr", 80.0, f"{h}\n\n{prose(i)}\nlast line of page {h}{i}") for i, (h, (f, n)) in enumerate(zip(heads, where, strict=True))]
+    rows += [(20, 4, 1, "ocr", 80.0, "Year 1998 in review\n\n" + prose(1)), (21, 4, 2, "ocr", 80.0, "Year 1997 in review\n\n" + prose(2))]
+    _, _, f = inputs(spark, rows)
+    got = {r.page_id for r in f.where("line_no = 1 and kind = 'running'").collect()}
+    assert got == {0, 1, 2, 3, 4, 6, 7}
+
+
+def test_a_page_of_nothing_but_furniture_has_figures(spark):
+    rows = [(i, 1, i, "ocr", 80.0, f"Complex Beam\n- {i} -") for i in (1, 2, 3)] + [(9, 2, 1, "native", None, PROSE)]
+    pages, lines, furniture = inputs(spark, rows)
+    assert {r.page_id: r.words for r in Q.figures(lines, np.zeros((28, 28)), furniture).collect() if r.page_id < 9} == {1: 3, 2: 3, 3: 3}
+
+
 @pytest.mark.parametrize(("line", "is_number"), [("- 12 -", True), ("Page 3 of 7", True), ("[4]", True), ("xiv", True), ("3/9", True), ("Unit 4", False), ("12 kN", False), ("the", False)])
 def test_page_number_lines(spark, line, is_number):
     assert spark.createDataFrame([(line,)], "x string").selectExpr(f"x rlike '{P.PAGE_NUMBER.replace(chr(92), chr(92) * 2)}' as y").first().y == is_number
