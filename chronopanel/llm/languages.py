@@ -1,12 +1,14 @@
-"""Languages of documents and of the lines in them, by cross-parsing against labelled text.
+"""Languages of documents, of their lines and of stretches of lines, by cross-parsing against labelled text.
 
-Labelled text of each language becomes a suffix automaton. A text is parsed greedily into phrases, each the longest match
-of what is left with any stretch of the labelled text; the language that needs the fewest phrases wins. Parsing runs word by
-word (a match may take in the spaces around a word), so each distinct word is parsed once a worker and a line is a sum.
+Running labelled text of each language becomes a suffix automaton. A line is parsed greedily into phrases, each the longest
+match of what is left with any stretch of the labelled text, across its words; a phrase costs the logarithm of the text's
+length, for that is what it takes to name it. The language with the least cost for the line's length wins. Where a stretch
+of words speaks for another language than the rest of its line, the line is divided.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -15,21 +17,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample a language: documents, code points of a document, distinct words.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_WORDS = 1500, 20_000, 4000
-#: A word is a language's own if its rate there is at least this part of its highest rate in any language: labels are
-#: partly wrong, so that words of all languages stand under every label. The first automata, of such words, find the lines
-#: of the sample that are in the language of their label; the words of those lines are the labelled text that counts.
-OWN_RATE, OWN_RATE_LINES = 0.35, 0.02
-#: Words that a worker remembers.
+from chronopanel.functions.numerics import golden_section
+from chronopanel.sources.tables import cut, drop_cut
+
+#: Bounds of the labelled sample a language: documents, code points of a document, lines of clean text, letters and spaces
+#: of it that the automaton holds, and lines kept aside for the calibration.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_LINES, SAMPLE_TEXT, SAMPLE_HELD = 1500, 20_000, 1500, 40_000, 200
+#: Of the words of a line of labelled text, this share of what they say must be for its label: labels are partly wrong.
+CLEAN = 0.4
+#: Lines are parsed in stretches of so many words, so that a line without end is many rows of a matrix.
+STRETCH = 64
+#: Odds (as a logarithm) at which a stretch of a line counts as of another language, and the words it must have.
+SWITCH, LEAST_WORDS = 6.0, 4
+#: Words of which a worker remembers the plain form.
 REMEMBERED = 500_000
-#: How many times less likely a language becomes by each phrase more.
-STEEPNESS = 1.0
 
 
 def words_of(line: Column) -> Column:
@@ -49,7 +54,7 @@ def plain(word: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a text as a table: state, symbol -> state; 0 is none, 1 the start."""
+    """Suffix automaton of a text as edges: from state, by symbol, to state; state 1 is the start."""
 
     def __init__(self, text: str, symbols: dict[str, int]) -> None:
         nxt: list[dict[int, int]] = [{}, {}]
@@ -78,53 +83,132 @@ class Automaton:
                         nxt[p][c] = twin
                         p = link[p]
             last = cur
-        self.table = np.zeros((len(nxt), len(symbols) + 1), np.int32)
-        for s, row in enumerate(nxt):
-            for c, t in row.items():
-                self.table[s, c] = t
+        self.states, self.symbols, self.length = len(nxt), len(symbols) + 1, len(text)
+        edges = [(s, c, t) for s, row in enumerate(nxt) for c, t in row.items()]
+        self.edges = np.array(edges, np.int64).reshape(-1, 3)
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of padded rows of symbols (0: none of the labelled text's): phrases of the greedy longest-match parse."""
-        state, n = np.ones(len(codes), np.int64), np.ones(len(codes), np.int32)
-        for j in range(codes.shape[1]):
-            on = j < sizes
+        return Parser([self]).starts(codes, sizes).sum(1)[:, 0]
+
+
+class Parser:
+    """The automata of all languages in one open-addressed table of (state, symbol) -> state: as large as their edges."""
+
+    def __init__(self, automata: list[Automaton]) -> None:
+        self.n_symbols = max((a.symbols for a in automata), default=1)
+        self.root = np.zeros((len(automata), self.n_symbols), np.int64)
+        keys, values, base = [], [], 1
+        for k, a in enumerate(automata):
+            at, c, to = a.edges.T
+            self.root[k, c[at == 1]] = to[at == 1] + base
+            keys.append((at + base) * self.n_symbols + c)
+            values.append(to + base)
+            base += a.states
+        keys, values = np.concatenate(keys or [np.empty(0, np.int64)]), np.concatenate(values or [np.empty(0, np.int64)])
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[at[todo]] == -1
+            _, first = np.unique(at[todo][free], return_index=True)
+            put = todo[free][first]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def starts(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of padded rows of symbols: whether a phrase starts at each place, in each language (row, place, language)."""
+        rows, width = codes.shape
+        out = np.zeros((rows, width, len(self.root)), bool)
+        state = np.zeros((rows, len(self.root)), np.int64)
+        for j in range(width):
             c = codes[:, j]
-            to = self.table[state, c]
-            fail = on & (to == 0)
-            n += fail & (state != 1)
-            again = self.table[1, c]
-            n += fail & (again == 0) & (j + 1 < sizes)  # a symbol that never occurs is a phrase by itself
-            state = np.where(on, np.where(fail, np.where(again == 0, 1, again), to), state)
-        return n
+            key = state * self.n_symbols + c[:, None]
+            at = self._slot(key)
+            found = self.keys[at]
+            to = np.where(found == key, self.values[at], 0)
+            more = np.nonzero((found != key) & (found != -1))
+            while len(more[0]):
+                at[more] = (at[more] + 1) & self.mask
+                found = self.keys[at[more]]
+                hit = found == key[more]
+                to[more[0][hit], more[1][hit]] = self.values[at[more][hit]]
+                on = ~hit & (found != -1)
+                more = more[0][on], more[1][on]
+            fail = to == 0
+            out[:, j] = fail
+            # A symbol that never occurs is a phrase by itself.
+            state = np.where(fail, self.root[:, c].T, to)
+        out &= (np.arange(width)[None, :] < sizes[:, None])[:, :, None]
+        return out
 
 
 @dataclass
 class Model:
+    """steepness: how many nats of odds a nat of cost is worth, fitted on lines kept aside."""
+
     languages: list[str]
     symbols: dict[str, int]
-    automata: list[Automaton]
-
-    def costs(self, words: list[str]) -> np.ndarray:
-        """Phrases of each word in each language beyond those of its best language."""
-        if not words:
-            return np.zeros((0, len(self.languages)), np.float32)
+    parser: Parser
+    weights: np.ndarray
+    steepness: float = 1.0
+
+    def costs(self, lines: list[list[str]]) -> np.ndarray:
+        """Costs in nats of every word of all lines, in each language, in a row; a word pays for the phrases that start in
+        it or in the space after it. Lines are parsed in stretches of STRETCH words."""
+        parts = [x[i : i + STRETCH] for x in lines for i in range(0, len(x), STRETCH)]
+        total = sum(map(len, parts))
+        out = np.zeros((total, len(self.languages)))
+        if not total:
+            return out
         get = self.symbols.get
-        coded = [[get(ch, 0) for ch in f" {plain(w)} "] for w in words]
-        out = np.zeros((len(words), len(self.languages)), np.float32)
+        coded = [[get(ch, 0) for ch in " ".join(x) + " "] for x in parts]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        lens = np.fromiter((len(w) + 1 for x in parts for w in x), np.int64, total)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), 4096):
-            rows = order[at : at + 4096]
+        for at in range(0, len(order), 2048):
+            rows = order[at : at + 2048]
             width = int(sizes[rows].max())
             grid = np.zeros((len(rows), width), np.int64)
             grid[np.arange(width)[None, :] < sizes[rows][:, None]] = np.concatenate([np.array(coded[i], np.int64) for i in rows])
-            for k, a in enumerate(self.automata):
-                out[rows, k] = a.phrases(grid, sizes[rows])
-        return out - out.min(1, keepdims=True)
+            begun = self.parser.starts(grid, sizes[rows])[np.arange(width)[None, :] < sizes[rows][:, None]]
+            words = np.concatenate([np.arange(first[i], first[i + 1]) for i in rows])
+            spot = np.cumsum(lens[words]) - lens[words]
+            out[words] = np.add.reduceat(begun, spot, axis=0, dtype=np.int64)
+        return out * self.weights
+
+    def divided(self, cost: np.ndarray) -> list[tuple[int, int, int]]:
+        """(first word, words, language) of the stretches of a line, from the costs of its words: the cheapest division, if
+        each change of language costs SWITCH."""
+        c = self.steepness * cost
+        n, k = c.shape
+        best, back = c[0].copy(), np.zeros((n, k), np.int64)
+        for i in range(1, n):
+            low = int(best.argmin())
+            jump = best[low] + SWITCH < best
+            back[i] = np.where(jump, low, np.arange(k))
+            best = np.where(jump, best[low] + SWITCH, best) + c[i]
+        path = np.empty(n, np.int64)
+        path[-1] = int(best.argmin())
+        for i in range(n - 1, 0, -1):
+            path[i - 1] = back[i][path[i]]
+        cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
+        return [(a, b - a, int(path[a])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """Automata of the languages of labels (label, lang), from a bounded sample of the labelled documents of docs."""
+    """Automata of the languages of labels (label, lang), from a bounded sample of the labelled documents of docs.
+
+    Labels are partly wrong, so the sample is cleaned first: a word speaks for a language by its rate under the language's
+    label among its rates under all labels, and a line is labelled text if its words speak for its label. The lines that
+    come first by a hash are the labelled text; those after them are kept aside to fit the steepness.
+    """
     codes = {r[0]: r[1] for r in labels.select("label", "lang").where("label is not null and lang is not null").collect()}
     languages = sorted(set(codes.values()))
     meant = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col(label)] if codes else F.lit(None).cast("string")
@@ -132,77 +216,113 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     there = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
     share = F.coalesce(*[F.when(F.col("_lang") == x, F.lit(min(1.0, SAMPLE_DOCUMENTS / n))) for x, n in there.items()], F.lit(1.0)) if there else F.lit(1.0)
     drawn = F.pmod(F.xxhash64(F.col("_key"), F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)
-    sample = known.where(drawn)
-    first = _model(languages, sample.select("_lang", F.explode(words_of(F.col("_text"))).alias("w")).groupBy("_lang", "w").count(), OWN_RATE)
-    lines = lines_of(sample, "_key", "_text", "_lang").select("_key", "line_no", "_lang", words_of(F.col("line")).alias("_words"))
-    shape = "_key string, line_no int, _lang string, _words array<string>, n_words int, costs array<double>, lang string, confidence double"
-    right = lines.withColumn("_key", F.col("_key").cast("string")).mapInArrow(_scored(first, "_key", ["_lang", "_words"]), shape).where("lang = _lang")
-    return _model(languages, right.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count(), OWN_RATE_LINES)
-
-
-def _model(languages: list[str], words: DataFrame, own_rate: float) -> Model:
-    """words: _lang, w, count of the bounded sample."""
-    rates: dict[str, Counter] = defaultdict(Counter)
-    for r in words.collect():  # the words of the bounded sample
-        rates[r["_lang"]][plain(r["w"])] += r["count"]
-    total = {x: sum(c.values()) or 1 for x, c in rates.items()}
-    top: Counter = Counter()
-    for x, c in rates.items():
-        for w, n in c.items():
-            top[w] = max(top[w], n / total[x])
-    texts = []
-    for x in languages:
-        own = [w for w, n in rates[x].items() if n / total[x] >= own_rate * top[w]]
-        own = sorted(own, key=lambda w: (-rates[x][w], w))[:SAMPLE_WORDS]
-        texts.append(" " + " ".join(own) + " ")
-    symbols = {ch: i for i, ch in enumerate(sorted(set("".join(texts))), 1)}
-    return Model(languages, symbols, [Automaton(t, symbols) for t in texts])
+    lines = cut(lines_of(known.where(drawn), "_key", "_text", "_lang").select("_lang", words_of(F.col("line")).alias("_words"), F.xxhash64("_key", "line_no").alias("_h")).where("size(_words) >= 3"))
+    counts = lines.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("c"))
+    rates = counts.withColumn("r", F.col("c") / F.sum("c").over(W.partitionBy("_lang"))).withColumn("says", F.col("r") / F.sum("r").over(W.partitionBy("w")))
+    says = rates.select(F.col("_lang").alias("_own"), F.col("w").alias("_w"), "says")
+    each = lines.select("_lang", "_h", "_words", F.explode("_words").alias("w"))
+    mine = each.join(says, (F.col("_lang") == F.col("_own")) & (F.col("w") == F.col("_w"))).groupBy("_lang", "_h", "_words").agg(F.avg("says").alias("own"))
+    right = mine.where(F.col("own") >= CLEAN).withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h"))).where(F.col("_n") <= SAMPLE_LINES + SAMPLE_HELD)
+    texts, held = defaultdict(list), []
+    for r in right.select("_lang", "_words", "_n").orderBy("_lang", "_n").collect():  # SAMPLE_LINES + SAMPLE_HELD a language at most
+        words = [plain(w) for w in r["_words"]]
+        if r["_n"] > SAMPLE_LINES or r["_n"] % 8 == 0:
+            held.append((r["_lang"], words))
+        else:
+            texts[r["_lang"]].append(" ".join(words))
+    drop_cut(lines)
+    return _model(languages, {x: " " + " ".join(texts[x])[:SAMPLE_TEXT] + " " for x in languages}, held)
+
+
+def _model(languages: list[str], texts: dict[str, str], held: list[tuple[str, list[str]]]) -> Model:
+    """Automata of the texts, and the steepness that makes short pieces of the held lines most likely."""
+    symbols = {ch: i for i, ch in enumerate(sorted(set("".join(texts.values()))), 1)}
+    automata = [Automaton(texts[x], symbols) for x in languages]
+    model = Model(languages, symbols, Parser(automata), np.array([math.log(a.length + 1) for a in automata]))
+    pieces = [(x, w[i : i + 1 + n % 5]) for n, (x, w) in enumerate(held) for i in range(0, len(w), 6)]
+    if not pieces or len(languages) < 2:
+        return model
+    sizes = np.fromiter((len(w) for _, w in pieces), np.int64, len(pieces))
+    cost = np.add.reduceat(model.costs([w for _, w in pieces]), np.cumsum(sizes) - sizes, axis=0)
+    truth = np.fromiter((languages.index(x) for x, _ in pieces), np.int64, len(pieces))
+    gap = cost - cost[np.arange(len(cost)), truth][:, None]
+    loss = lambda s: float(np.logaddexp.reduce(-math.exp(s) * gap, axis=1).mean())
+    model.steepness = math.exp(golden_section(loss, math.log(0.02), math.log(2.0)))
+    return model
 
 
 def _scored(model: Model, key: str, keep: list[str]):
-    seen: dict[str, int] = {}
-    table = [np.zeros((0, len(model.languages)), np.float32)]
+    forms: dict[str, str] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = b.column("_words")
-            coded = pc.dictionary_encode(parts.flatten())
-            distinct = coded.dictionary.to_pylist()
-            if len(seen) > REMEMBERED:
-                seen.clear()
-                table[0] = table[0][:0]
-            new = [w for w in distinct if w not in seen]
-            if new:
-                seen.update(zip(new, range(len(table[0]), len(table[0]) + len(new)), strict=True))
-                table[0] = np.concatenate([table[0], model.costs(new)])
-            at = np.fromiter(map(seen.__getitem__, distinct), np.int64, len(distinct))
-            each = table[0][at][np.asarray(coded.indices, np.int64)] if len(coded) else table[0][:0]
-            offsets = np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py()
-            upto = np.concatenate([np.zeros((1, len(model.languages))), np.cumsum(each, 0, dtype=np.float64)])
-            cost = upto[offsets[1:]] - upto[offsets[:-1]]
-            p = np.exp(-STEEPNESS * (cost - cost.min(1, keepdims=True)))
-            best = cost.argmin(1)
-            none = offsets[1:] == offsets[:-1]
-            lang = pa.array(np.array(model.languages, object)[best], pa.string(), mask=none) if len(best) else pa.array([], pa.string())
-            conf = pa.array(1 / p.sum(1), mask=none)
-            n = pa.array((offsets[1:] - offsets[:-1]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cost) + 1, dtype=np.int32) * len(model.languages)), pa.array(cost.ravel()))
-            names = [key, "line_no", *keep, "n_words", "costs", "lang", "confidence"]
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("line_no"), *[b.column(c) for c in keep], n, lists, lang, conf], names=names)
+            if len(forms) > REMEMBERED:
+                forms.clear()
+            words = b.column("_words").to_pylist()
+            for x in words:
+                for w in x:
+                    if w not in forms:
+                        forms[w] = plain(w)
+            plains = [[forms[w] for w in x] for x in words]
+            cost = model.costs(plains)
+            n = np.fromiter(map(len, plains), np.int64, len(plains))
+            ends = np.cumsum(n)
+            upto = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, 0)])
+            whole = upto[ends] - upto[ends - n]
+            chars = np.fromiter((sum(map(len, x)) + len(x) for x in plains), np.int64, len(plains))
+            best = whole.argmin(1) if len(whole) else np.empty(0, np.int64)
+            odds = np.exp(-model.steepness * (whole - whole.min(1, keepdims=True))) if len(whole) else whole
+            sure = 1 / odds.sum(1)
+            # Only lines with a stretch of words that speaks against the line's language are divided.
+            gain = cost[np.arange(len(cost)), np.repeat(best, n)][:, None] - cost
+            run_of = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(gain, 0)])
+            split = np.zeros(len(n), bool)
+            if len(cost):
+                wide = np.minimum(np.arange(len(cost)) + LEAST_WORDS, np.repeat(ends, n))
+                split[np.repeat(np.arange(len(n)), n)[model.steepness * (run_of[wide] - run_of[:-1]).max(1) > SWITCH]] = True
+            pieces, langs, conf = [], [], []
+            for i, words_in in enumerate(n.tolist()):
+                parts = model.divided(cost[ends[i] - words_in : ends[i]]) if split[i] else [(0, words_in, int(best[i]))] if words_in else []
+                if len(parts) > 1:
+                    rows = []
+                    for first, m, lang in parts:
+                        c = upto[ends[i] - words_in + first + m] - upto[ends[i] - words_in + first]
+                        rows.append({"first_word": first + 1, "n_words": m, "lang": model.languages[lang], "confidence": float(1 / np.exp(-model.steepness * (c - c[lang])).sum())})
+                    # The line's language is that of most of its words.
+                    most = Counter()
+                    for r in rows:
+                        most[r["lang"]] += r["n_words"]
+                    top = max(sorted(most), key=most.__getitem__)
+                    langs.append(top)
+                    conf.append(sum(r["confidence"] * r["n_words"] for r in rows if r["lang"] == top) / most[top])
+                else:
+                    langs.append(model.languages[parts[0][2]] if parts else None)
+                    conf.append(float(sure[i]) if parts else None)
+                    rows = [{"first_word": 1, "n_words": words_in, "lang": langs[-1], "confidence": conf[-1]}] if parts else []
+                pieces.append(rows)
+            per = whole / np.maximum(chars, 1)[:, None] / math.log(2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(per) + 1, dtype=np.int32) * len(model.languages)), pa.array(per.ravel()))
+            shape = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+            names = [key, "line_no", *keep, "n_words", "costs", "lang", "confidence", "pieces"]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key), b.column("line_no"), *[b.column(c) for c in keep], pa.array(n.astype(np.int32)), lists, pa.array(langs, pa.string()), pa.array(conf, pa.float64()), pa.array(pieces, shape)], names=names
+            )
 
     return run
 
 
 def line_languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """key, line_no, keep, n_words, costs, lang, confidence of every line that isn't blank.
+    """key, line_no, keep, n_words, costs, lang, confidence, pieces of every line that isn't blank.
 
-    costs has the surplus phrases in each of model.languages. A line without a word has null lang and confidence; ties
-    go to the first language by name, with a confidence of at most a half.
+    costs: the cross-parsing entropy in each of model.languages, in bits a character. pieces (first_word, n_words, lang,
+    confidence): the line's stretches of one language, most often one. lang is that of most of its words. A line without a
+    word has null lang and confidence and no pieces; ties go to the first language by name, with a confidence of at most a
+    half.
     """
     keep = keep or []
     kinds = dict(docs.dtypes)
     rows = lines_of(docs, key, text, *keep).select(key, "line_no", *keep, words_of(F.col("line")).alias("_words"))
-    shape = ", ".join([f"`{key}` {kinds[key]}", "line_no int", *[f"`{c}` {kinds[c]}" for c in keep], "n_words int", "costs array<double>", "lang string", "confidence double"])
+    shape = ", ".join([f"`{key}` {kinds[key]}", "line_no int", *[f"`{c}` {kinds[c]}" for c in keep], "n_words int", "costs array<double>", "lang string", "confidence double", "pieces array<struct<first_word:int,n_words:int,lang:string,confidence:double>>"])
     return rows.mapInArrow(_scored(model, key, keep), shape)
 
 
@@ -225,27 +345,30 @@ def _meaning(named: DataFrame, codes: DataFrame, key: str, text: str) -> DataFra
 
 
 def segments(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, segment, first_line, last_line, lang, confidence: stretches of lines of one language, numbered from 1.
+    """key, segment, first_line, first_word, last_line, last_word, lang, confidence: stretches of one language, numbered
+    from 1; they may begin and end inside a line. Words are numbered from 1 in their line.
 
     Lines without a language belong to the stretch before them, at the start of a document to the one after.
     """
-    w = W.partitionBy(key).orderBy("line_no")
-    filled = lines.select(key, "line_no", "n_words", "confidence", F.coalesce(F.last("lang", True).over(w), F.first("lang", True).over(w.rowsBetween(0, W.unboundedFollowing))).alias("lang"))
+    each = lines.select(key, "line_no", F.explode_outer("pieces").alias("p")).select(key, "line_no", F.coalesce("p.first_word", F.lit(1)).alias("word"), F.coalesce("p.n_words", F.lit(0)).alias("n_words"), "p.confidence", "p.lang")
+    w = W.partitionBy(key).orderBy("line_no", "word")
+    filled = each.select(key, "line_no", "word", "n_words", "confidence", F.coalesce(F.last("lang", True).over(w), F.first("lang", True).over(w.rowsBetween(0, W.unboundedFollowing))).alias("lang"))
     turned = filled.withColumn("_turn", F.when(F.col("lang").eqNullSafe(F.lag("lang").over(w)) & (F.lag("line_no").over(w).isNotNull()), 0).otherwise(1))
     numbered = turned.withColumn("segment", F.sum("_turn").over(w).cast("int"))
     weight = F.sum(F.coalesce("confidence", F.lit(0.0)) * F.col("n_words")) / F.sum(F.when(F.col("confidence").isNotNull(), F.col("n_words")))
-    return numbered.groupBy(key, "segment", "lang").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.round(weight, 6).alias("confidence"))
+    ends = numbered.groupBy(key, "segment", "lang").agg(F.min(F.struct("line_no", "word")).alias("a"), F.max(F.struct("line_no", (F.col("word") + F.greatest("n_words", F.lit(1)) - 1).alias("word"))).alias("b"), F.round(weight, 6).alias("confidence"))
+    return ends.select(key, "segment", F.col("a.line_no").alias("first_line"), F.col("a.word").alias("first_word"), F.col("b.line_no").alias("last_line"), F.col("b.word").alias("last_word"), "lang", "confidence")
 
 
 def document_languages(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", model: Model | None = None) -> DataFrame:
     """key, label_lang, lang, confidence, mixed, label_ok of each document.
 
-    lang: the language of most words, by the lines' languages, confidence their share weighted by the lines' confidence;
-    null without any word. mixed: lines of more than one language. label_ok: the label means that language.
+    lang: the language of most words, by the pieces' languages, confidence their share weighted by the pieces' confidence;
+    null without any word. mixed: pieces of more than one language. label_ok: the label means that language.
     """
     model = model or fit(docs, labels, text, label, key)
     codes = labels.where("label is not null").groupBy("label").agg(F.min("lang").alias("_meant"))
-    per = line_languages(docs.select(key, text), model, key, text).where("lang is not null").groupBy(key, "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("n_words") * F.col("confidence")).alias("c"))
+    per = line_languages(docs.select(key, text), model, key, text).select(key, F.explode("pieces").alias("p")).select(key, "p.n_words", "p.lang", "p.confidence").groupBy(key, "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("n_words") * F.col("confidence")).alias("c"))
     best = per.groupBy(key).agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max_by("c", F.struct("n", "lang")).alias("_c"), F.sum("n").alias("_n"), (F.count("*") > 1).alias("mixed"))
     best = best.select(F.col(key).alias("_bkey"), F.col("lang").alias("_blang"), F.round(F.col("_c") / F.col("_n"), 6).alias("confidence"), "mixed")
     named = docs.select(key, F.col(label).alias("_label"))

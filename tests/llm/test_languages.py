@@ -56,6 +56,31 @@ def test_documents_lines_and_segments(spark):
     assert 0 < d[1].confidence <= 1
 
 
+def test_a_line_that_changes_language(spark):
+    docs = [(i, "\n".join(lines(lang, 6, 50 * n + i)), lang) for n, lang in enumerate(WORDS) for i in range(n * 40, n * 40 + 40)]
+    one, two = " ".join(lines("en", 1, 900)).rstrip("."), " ".join(lines("de", 2, 901))
+    df = spark.createDataFrame([*docs, (500, f"{one} {two}\n{one}", "en")], "doc_id long, text string, lang string")
+    codes = spark.createDataFrame([(x, x) for x in WORDS], "label string, lang string")
+    m = L.fit(df, codes)
+    seg = L.segments(L.line_languages(df.where("doc_id = 500"), m)).orderBy("segment").collect()
+    assert [r.lang for r in seg] == ["en", "de", "en"] and [(r.first_line, r.last_line) for r in seg] == [(1, 1), (1, 1), (2, 2)]
+    assert abs(seg[1].first_word - 10) <= 1 and seg[1].last_word == 27 and all(0.5 < r.confidence <= 1 for r in seg)
+    # The line's language is that of most of its words.
+    assert {(r.line_no, r.lang) for r in L.wrong_lines(df.where("doc_id = 500"), codes, model=m).collect()} == {(1, "de")}
+    d = L.document_languages(df.where("doc_id = 500"), codes, model=m).first()
+    assert d.mixed and d.label_ok == (d.lang == "en")
+
+
+def test_matches_cross_words_and_long_lines_are_parsed(spark):
+    symbols = {c: i for i, c in enumerate(sorted(set("the water is high")), 1)}
+    text = "the water is high"
+    m = L.Model(["x"], symbols, L.Parser([L.Automaton(text, symbols)]), np.array([1.0]))
+    assert m.costs([["water", "is"]]).sum() == 1 and m.costs([["is", "water"]]).sum() == 2
+    many = [["water", "is"] * 5000, [], ["the"]]
+    cost = m.costs(many)
+    assert cost.shape == (10_001, 1) and cost[:64].sum() == 32 and cost[-1] == 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     codes = spark.createDataFrame([("en", "en")], "label string, lang string")
