@@ -22,11 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronopanel.functions.numerics import golden_section
-from chronopanel.sources.tables import cut, drop_cut
 
-#: Bounds of the labelled sample a language: documents, code points of a document, lines of clean text, letters and spaces
-#: of it that the automaton holds, and lines kept aside for the calibration.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_LINES, SAMPLE_TEXT, SAMPLE_HELD = 1500, 20_000, 1500, 40_000, 200
+#: Bounds of the labelled sample a language: documents, code points of a document, lines drawn from them (on average), letters
+#: and spaces of clean lines that the automaton holds. Lines beyond those are kept aside for the calibration.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_LINES, SAMPLE_TEXT = 1500, 20_000, 2500, 40_000
 #: Of the words of a line of labelled text, this share of what they say must be for its label: labels are partly wrong.
 CLEAN = 0.4
 #: Lines are parsed in stretches of so many words, so that a line without end is many rows of a matrix.
@@ -206,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     """Automata of the languages of labels (label, lang), from a bounded sample of the labelled documents of docs.
 
     Labels are partly wrong, so the sample is cleaned first: a word speaks for a language by its rate under the language's
-    label among its rates under all labels, and a line is labelled text if its words speak for its label. The lines that
-    come first by a hash are the labelled text; those after them are kept aside to fit the steepness.
+    label among its rates under all labels, and a line is labelled text if its words speak for its label. In the order of a
+    hash, one line in five and all beyond SAMPLE_TEXT are kept aside to fit the steepness.
     """
     codes = {r[0]: r[1] for r in labels.select("label", "lang").where("label is not null and lang is not null").collect()}
     languages = sorted(set(codes.values()))
@@ -216,21 +215,29 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     there = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
     share = F.coalesce(*[F.when(F.col("_lang") == x, F.lit(min(1.0, SAMPLE_DOCUMENTS / n))) for x, n in there.items()], F.lit(1.0)) if there else F.lit(1.0)
     drawn = F.pmod(F.xxhash64(F.col("_key"), F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)
-    lines = cut(lines_of(known.where(drawn), "_key", "_text", "_lang").select("_lang", words_of(F.col("line")).alias("_words"), F.xxhash64("_key", "line_no").alias("_h")).where("size(_words) >= 3"))
-    counts = lines.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("c"))
-    rates = counts.withColumn("r", F.col("c") / F.sum("c").over(W.partitionBy("_lang"))).withColumn("says", F.col("r") / F.sum("r").over(W.partitionBy("w")))
-    says = rates.select(F.col("_lang").alias("_own"), F.col("w").alias("_w"), "says")
-    each = lines.select("_lang", "_h", "_words", F.explode("_words").alias("w"))
-    mine = each.join(says, (F.col("_lang") == F.col("_own")) & (F.col("w") == F.col("_w"))).groupBy("_lang", "_h", "_words").agg(F.avg("says").alias("own"))
-    right = mine.where(F.col("own") >= CLEAN).withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h"))).where(F.col("_n") <= SAMPLE_LINES + SAMPLE_HELD)
-    texts, held = defaultdict(list), []
-    for r in right.select("_lang", "_words", "_n").orderBy("_lang", "_n").collect():  # SAMPLE_LINES + SAMPLE_HELD a language at most
-        words = [plain(w) for w in r["_words"]]
-        if r["_n"] > SAMPLE_LINES or r["_n"] % 8 == 0:
-            held.append((r["_lang"], words))
+    lines = lines_of(known.where(drawn), "_key", "_text", "_lang").select("_lang", "line", F.xxhash64("_key", "line_no").alias("_h"))
+    per = {r["_lang"]: r["count"] for r in lines.groupBy("_lang").count().collect()}
+    share = F.coalesce(*[F.when(F.col("_lang") == x, F.lit(min(1.0, SAMPLE_LINES / n))) for x, n in per.items()], F.lit(1.0)) if per else F.lit(1.0)
+    some = lines.where(F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) < share * (1 << 30)).select("_lang", "_h", words_of(F.col("line")).alias("_words")).where("size(_words) >= 3")
+    sample = sorted((r["_h"], r["_lang"], [plain(w) for w in r["_words"]]) for r in some.collect())  # about SAMPLE_LINES a language
+    rates: dict[str, Counter] = defaultdict(Counter)
+    for _, x, words in sample:
+        rates[x].update(words)
+    total = {x: c.total() for x, c in rates.items()}
+    everywhere: Counter = Counter()
+    for x, c in rates.items():
+        for w, n in c.items():
+            everywhere[w] += n / total[x]
+    texts, sizes, aside, held = defaultdict(list), Counter(), Counter(), []
+    for _, x, words in sample:
+        if sum(rates[x][w] / total[x] / everywhere[w] for w in words) < CLEAN * len(words):
+            continue
+        if sizes[x] < SAMPLE_TEXT and len(texts[x]) < 4 * aside[x] + 4:
+            texts[x].append(" ".join(words))
+            sizes[x] += len(texts[x][-1]) + 1
         else:
-            texts[r["_lang"]].append(" ".join(words))
-    drop_cut(lines)
+            held.append((x, words))
+            aside[x] += 1
     return _model(languages, {x: " " + " ".join(texts[x])[:SAMPLE_TEXT] + " " for x in languages}, held)
 
 
