@@ -32,9 +32,6 @@ CLEAN = 0.4
 STRETCH = 64
 #: Odds (as a logarithm) at which a stretch of a line counts as of another language, and the words it must have.
 SWITCH, LEAST_WORDS = 6.0, 4
-#: Words of which a worker remembers the plain form.
-REMEMBERED = 500_000
-
 
 def words_of(line: Column) -> Column:
     """Words of a line in lower case: runs of letters and their marks."""
@@ -92,61 +89,104 @@ class Automaton:
 
 
 class Parser:
-    """The automata of all languages in one open-addressed table of (state, symbol) -> state: as large as their edges."""
+    """The automata of all languages in one table of edges without gaps to speak of.
+
+    A state is named by a place in the table, chosen so that its edge by symbol c stands c places further and collides with
+    no other state's; an edge holds the state that it belongs to and the one that it leads to. So a step is one look-up.
+    State 0 has no edges.
+    """
 
     def __init__(self, automata: list[Automaton]) -> None:
         self.n_symbols = max((a.symbols for a in automata), default=1)
-        self.root = np.zeros((len(automata), self.n_symbols), np.int64)
-        keys, values, base = [], [], 1
+        rows: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for k, a in enumerate(automata):
-            at, c, to = a.edges.T
-            self.root[k, c[at == 1]] = to[at == 1] + base
-            keys.append((at + base) * self.n_symbols + c)
-            values.append(to + base)
-            base += a.states
-        keys, values = np.concatenate(keys or [np.empty(0, np.int64)]), np.concatenate(values or [np.empty(0, np.int64)])
-        bits = max(4, int(3 * len(keys)).bit_length())
-        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.keys[at[todo]] == -1
-            _, first = np.unique(at[todo][free], return_index=True)
-            put = todo[free][first]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            todo = np.setdiff1d(todo, put, assume_unique=True)
-            at[todo] = (at[todo] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+            for s, c, t in a.edges.tolist():
+                rows[k, s].append((c, t))
+        total, width = sum(map(len, rows.values())), self.n_symbols + 1
+        taken, named = bytearray(2 * total + 4 * width), bytearray(2 * total + 4 * width)
+        place: dict[tuple[int, int], int] = {}
+        low = width  # nearly all places before it are taken
+
+        def put(state: tuple[int, int], at: int) -> None:
+            place[state] = at
+            named[at] = 1
+            for c, _ in rows[state]:
+                taken[at + c] = 1
+
+        many = sorted((x for x in rows if len(rows[x]) > 1), key=lambda x: (-len(rows[x]), x))
+        for state in many:  # those with several edges go where they first fit
+            symbols, tries = [c for c, _ in rows[state]], 0
+            at = low - symbols[0]
+            while named[at] or any(taken[at + c] for c in symbols):
+                at, tries = at + 1, tries + 1
+            put(state, at)
+            low += tries // 16
+            if at + 4 * width > len(taken):
+                taken, named = taken + bytes(len(taken)), named + bytes(len(named))
+        at = width
+        for state in (x for x in rows if len(rows[x]) == 1):  # those with one fill the gaps
+            c = rows[state][0][0]
+            while taken[at] or named[at - c]:
+                at += 1
+            put(state, at - c)
+            if at + 4 * width > len(taken):
+                taken, named = taken + bytes(len(taken)), named + bytes(len(named))
+        size = max([p + width for p in place.values()], default=width) + width
+        self.edges = np.zeros(size, np.uint64)
+        self.root = np.zeros((self.n_symbols, len(automata)), np.int64)
+        end = size - width  # states without an edge
+        for state, edges in rows.items():
+            at = place[state]
+            for c, t in edges:
+                to = place.get((state[0], t), end)
+                self.edges[at + c] = at << 32 | to
+                if state[1] == 1:
+                    self.root[c, state[0]] = to
 
     def starts(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of padded rows of symbols: whether a phrase starts at each place, in each language (row, place, language)."""
-        rows, width = codes.shape
-        out = np.zeros((rows, width, len(self.root)), bool)
-        state = np.zeros((rows, len(self.root)), np.int64)
-        for j in range(width):
+        out = np.zeros((codes.shape[1], len(codes), self.root.shape[1]), bool)
+        for j, fail in enumerate(self._steps(codes)):
+            out[j] = fail
+        return out.transpose(1, 0, 2) & (np.arange(codes.shape[1])[None, :] < sizes[:, None])[:, :, None]
+
+    def _steps(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        state = np.zeros((len(codes), self.root.shape[1]), np.int64)
+        for j in range(codes.shape[1]):
             c = codes[:, j]
-            key = state * self.n_symbols + c[:, None]
-            at = self._slot(key)
-            found = self.keys[at]
-            to = np.where(found == key, self.values[at], 0)
-            more = np.nonzero((found != key) & (found != -1))
-            while len(more[0]):
-                at[more] = (at[more] + 1) & self.mask
-                found = self.keys[at[more]]
-                hit = found == key[more]
-                to[more[0][hit], more[1][hit]] = self.values[at[more][hit]]
-                on = ~hit & (found != -1)
-                more = more[0][on], more[1][on]
-            fail = to == 0
-            out[:, j] = fail
+            edge = self.edges[state + c[:, None]]
+            fail = (edge >> np.uint64(32)).view(np.int64) != state
+            fail |= edge == 0
+            state = (edge & np.uint64(0xFFFFFFFF)).view(np.int64)
+            again = np.flatnonzero(fail.any(1))
             # A symbol that never occurs is a phrase by itself.
-            state = np.where(fail, self.root[:, c].T, to)
-        out &= (np.arange(width)[None, :] < sizes[:, None])[:, :, None]
+            state[again] = np.where(fail[again], self.root[c[again]], state[again])
+            yield fail
+
+    def counts(self, codes: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Phrases begun up to each word end (its place and row; sorted by place), in each language."""
+        out = np.zeros((len(ends), self.root.shape[1]), np.int32)
+        seen, slices = np.zeros((len(codes), self.root.shape[1]), np.int32), np.searchsorted(ends, np.arange(codes.shape[1] + 1))
+        for j, fail in enumerate(self._steps(codes)):
+            seen += fail
+            a, b = slices[j], slices[j + 1]
+            if b > a:
+                out[a:b] = seen[row[a:b]]
         return out
 
 
+def _table(symbols: dict[str, int]) -> np.ndarray:
+    """The symbol of every code point: that of its plain form; -1 for the accents of Latin letters, 0 for what is unknown."""
+    out = np.zeros(0x110000, np.int16)
+    for ch, i in symbols.items():
+        out[ord(ch)] = i
+    for cp in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        if chr(cp) not in symbols and len(d := plain(chr(cp))) == 1:
+            out[cp] = symbols.get(d, 0)
+    out[0x300:0x370] = -1
+    return out
+
+
 @dataclass
 class Model:
     """steepness: how many nats of odds a nat of cost is worth, fitted on lines kept aside."""
@@ -157,30 +197,53 @@ class Model:
     weights: np.ndarray
     steepness: float = 1.0
 
+    def __post_init__(self) -> None:
+        self.table = _table(self.symbols)
+
     def costs(self, lines: list[list[str]]) -> np.ndarray:
-        """Costs in nats of every word of all lines, in each language, in a row; a word pays for the phrases that start in
-        it or in the space after it. Lines are parsed in stretches of STRETCH words."""
-        parts = [x[i : i + STRETCH] for x in lines for i in range(0, len(x), STRETCH)]
-        total = sum(map(len, parts))
-        out = np.zeros((total, len(self.languages)))
-        if not total:
-            return out
-        get = self.symbols.get
-        coded = [[get(ch, 0) for ch in " ".join(x) + " "] for x in parts]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        lens = np.fromiter((len(w) + 1 for x in parts for w in x), np.int64, total)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), 2048):
-            rows = order[at : at + 2048]
-            width = int(sizes[rows].max())
+        """costs_of() of lines given as words."""
+        return self.costs_of(["".join(w + " " for w in x) for x in lines])[0]
+
+    def costs_of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Costs in nats of every word of all lines, in each language, in a row; the numbers of words and of characters of
+        the lines. In a line, every word is followed by a space. A word pays for the phrases that start in it or in that
+        space. Lines are parsed in stretches of STRETCH words."""
+        k = len(self.languages)
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.table[points]
+        line = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+        keep = code >= 0
+        code, line, space = code[keep].astype(np.int64), line[keep], points[keep] == 32
+        chars = np.bincount(line, minlength=len(lines))
+        stop = np.flatnonzero(space)
+        n = np.bincount(line[stop], minlength=len(lines))
+        out = np.zeros((len(stop), k))
+        if not len(stop):
+            return out, n, chars
+        nth = np.arange(len(stop)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.flatnonzero(nth % STRETCH == 0)  # first words of stretches
+        begin = np.concatenate([[0], stop[:-1] + 1])[first]
+        size = np.concatenate([begin[1:], [len(code)]]) - begin
+        words = np.diff(np.concatenate([first, [len(stop)]]))
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            rows = order[at : at + 4096]
+            rows = rows[: max(1, (1 << 21) // int(size[rows[-1]]))]
+            at += len(rows)
+            width = int(size[rows].max())
+            inside = np.arange(width)[None, :] < size[rows][:, None]
             grid = np.zeros((len(rows), width), np.int64)
-            grid[np.arange(width)[None, :] < sizes[rows][:, None]] = np.concatenate([np.array(coded[i], np.int64) for i in rows])
-            begun = self.parser.starts(grid, sizes[rows])[np.arange(width)[None, :] < sizes[rows][:, None]]
-            words = np.concatenate([np.arange(first[i], first[i + 1]) for i in rows])
-            spot = np.cumsum(lens[words]) - lens[words]
-            out[words] = np.add.reduceat(begun, spot, axis=0, dtype=np.int64)
-        return out * self.weights
+            grid[inside] = code[(begin[rows][:, None] + np.arange(width)[None, :])[inside]]
+            row = np.repeat(np.arange(len(rows)), words[rows])
+            word = np.arange(len(row)) - np.repeat(np.cumsum(words[rows]) - words[rows], words[rows]) + first[rows][row]
+            place = stop[word] - begin[rows][row]
+            by = np.argsort(place, kind="stable")
+            upto = np.zeros((len(row), k), np.int64)
+            upto[by] = self.parser.counts(grid, place[by], row[by])
+            upto[1:] -= np.where((row[1:] == row[:-1])[:, None], upto[:-1], 0)
+            out[word] = upto
+        return out * self.weights, n, chars
 
     def divided(self, cost: np.ndarray) -> list[tuple[int, int, int]]:
         """(first word, words, language) of the stretches of a line, from the costs of its words: the cheapest division, if
@@ -259,24 +322,12 @@ def _model(languages: list[str], texts: dict[str, str], held: list[tuple[str, li
 
 
 def _scored(model: Model, key: str, keep: list[str]):
-    forms: dict[str, str] = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(forms) > REMEMBERED:
-                forms.clear()
-            words = b.column("_words").to_pylist()
-            for x in words:
-                for w in x:
-                    if w not in forms:
-                        forms[w] = plain(w)
-            plains = [[forms[w] for w in x] for x in words]
-            cost = model.costs(plains)
-            n = np.fromiter(map(len, plains), np.int64, len(plains))
+            cost, n, chars = model.costs_of(b.column("_words").to_pylist())
             ends = np.cumsum(n)
             upto = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, 0)])
             whole = upto[ends] - upto[ends - n]
-            chars = np.fromiter((sum(map(len, x)) + len(x) for x in plains), np.int64, len(plains))
             best = whole.argmin(1) if len(whole) else np.empty(0, np.int64)
             odds = np.exp(-model.steepness * (whole - whole.min(1, keepdims=True))) if len(whole) else whole
             sure = 1 / odds.sum(1)
@@ -328,7 +379,7 @@ def line_languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     """
     keep = keep or []
     kinds = dict(docs.dtypes)
-    rows = lines_of(docs, key, text, *keep).select(key, "line_no", *keep, words_of(F.col("line")).alias("_words"))
+    rows = lines_of(docs, key, text, *keep).select(key, "line_no", *keep, F.array_join(F.transform(words_of(F.col("line")), lambda w: F.concat(w, F.lit(" "))), "").alias("_words"))
     shape = ", ".join([f"`{key}` {kinds[key]}", "line_no int", *[f"`{c}` {kinds[c]}" for c in keep], "n_words int", "costs array<double>", "lang string", "confidence double", "pieces array<struct<first_word:int,n_words:int,lang:string,confidence:double>>"])
     return rows.mapInArrow(_scored(model, key, keep), shape)
 
