@@ -145,29 +145,29 @@ class Parser:
 
     def starts(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of padded rows of symbols: whether a phrase starts at each place, in each language (row, place, language)."""
-        out = np.zeros((codes.shape[1], len(codes), self.root.shape[1]), bool)
-        for j, fail in enumerate(self._steps(codes)):
+        rows, width = codes.shape
+        out = np.zeros((width, rows, self.root.shape[1]), bool)
+        for j, fail in enumerate(self._steps(codes.ravel(), np.arange(rows) * width, width)):
             out[j] = fail
-        return out.transpose(1, 0, 2) & (np.arange(codes.shape[1])[None, :] < sizes[:, None])[:, :, None]
+        return out.transpose(1, 0, 2) & (np.arange(width)[None, :] < sizes[:, None])[:, :, None]
 
-    def _steps(self, codes: np.ndarray) -> Iterator[np.ndarray]:
-        state = np.zeros((len(codes), self.root.shape[1]), np.int64)
-        for j in range(codes.shape[1]):
-            c = codes[:, j]
+    def _steps(self, code: np.ndarray, begin: np.ndarray, width: int) -> Iterator[np.ndarray]:
+        """Rows that begin at places of code, read together symbol by symbol."""
+        state, low, high = np.zeros((len(begin), self.root.shape[1]), np.int64), np.uint64(0xFFFFFFFF), np.uint64(32)
+        for j in range(width):
+            c = code[begin + j]
             edge = self.edges[state + c[:, None]]
-            fail = (edge >> np.uint64(32)).view(np.int64) != state
+            fail = (edge >> high).view(np.int64) != state
             fail |= edge == 0
-            state = (edge & np.uint64(0xFFFFFFFF)).view(np.int64)
-            again = np.flatnonzero(fail.any(1))
             # A symbol that never occurs is a phrase by itself.
-            state[again] = np.where(fail[again], self.root[c[again]], state[again])
+            state = np.where(fail, self.root[c], (edge & low).view(np.int64))
             yield fail
 
-    def counts(self, codes: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def counts(self, code: np.ndarray, begin: np.ndarray, width: int, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Phrases begun up to each word end (its place and row; sorted by place), in each language."""
         out = np.zeros((len(ends), self.root.shape[1]), np.int32)
-        seen, slices = np.zeros((len(codes), self.root.shape[1]), np.int32), np.searchsorted(ends, np.arange(codes.shape[1] + 1))
-        for j, fail in enumerate(self._steps(codes)):
+        seen, slices = np.zeros((len(begin), self.root.shape[1]), np.int32), np.searchsorted(ends, np.arange(width + 1)).tolist()
+        for j, fail in enumerate(self._steps(code, begin, width)):
             seen += fail
             a, b = slices[j], slices[j + 1]
             if b > a:
@@ -226,21 +226,18 @@ class Model:
         size = np.concatenate([begin[1:], [len(code)]]) - begin
         words = np.diff(np.concatenate([first, [len(stop)]]))
         order = np.argsort(size, kind="stable")
+        code = np.concatenate([code, np.zeros(int(size.max()), np.int64)])  # rows of a bucket are read to the width of its longest
         at = 0
         while at < len(order):
             rows = order[at : at + 4096]
-            rows = rows[: max(1, (1 << 21) // int(size[rows[-1]]))]
             at += len(rows)
             width = int(size[rows].max())
-            inside = np.arange(width)[None, :] < size[rows][:, None]
-            grid = np.zeros((len(rows), width), np.int64)
-            grid[inside] = code[(begin[rows][:, None] + np.arange(width)[None, :])[inside]]
             row = np.repeat(np.arange(len(rows)), words[rows])
             word = np.arange(len(row)) - np.repeat(np.cumsum(words[rows]) - words[rows], words[rows]) + first[rows][row]
             place = stop[word] - begin[rows][row]
             by = np.argsort(place, kind="stable")
             upto = np.zeros((len(row), k), np.int64)
-            upto[by] = self.parser.counts(grid, place[by], row[by])
+            upto[by] = self.parser.counts(code, begin[rows], width, place[by], row[by])
             upto[1:] -= np.where((row[1:] == row[:-1])[:, None], upto[:-1], 0)
             out[word] = upto
         return out * self.weights, n, chars
