@@ -5,9 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Function words and instruction words that carry no content.
-STOP_WORDS = "a an and are as at be by for from has have in into is it its not of on or that the their this to was were which with".split()
-INSTRUCTIONS = "define describe explain state find calculate derive discuss compare list draw show prove determine write give name what how why estimate check compute predict sketch".split()
+# Function words, words that say what to do, and units; none of them is a content term.
+STOP_WORDS = """
+a about above after again against all am an and any are aren't as at be because been before
+being below between both but by can cannot could couldn't did didn't do does doesn't doing don't
+down during each few for from further had hadn't has hasn't have haven't having he her here hers
+herself him himself his how i if in into is isn't it it's its itself let's me more most mustn't my
+myself no nor not of off on once only or other ought our ours ourselves out over own same shan't
+she should shouldn't so some such than that that's the their theirs them themselves then there
+there's these they this those through to too under until up very was wasn't we were weren't what
+when where which while who whom why with won't would wouldn't you your yours yourself yourselves
+also may might must shall will within without upon via per etc ie eg i.e e.g. respectively
+using used one two three four five six seven eight nine ten first second third its whose
+""".split()
+INSTRUCTIONS = """
+derive derivation explain define definition describe discuss calculate compute determine find obtain show prove state
+write short note notes brief briefly neat sketch diagram figure suitable example examples mark marks what how why when
+which give list differentiate distinguish compare comparison difference between mean meant illustrate elaborate evaluate
+estimate draw following also using use help necessary assume data value values term terms expression relation relationship
+significance importance important various type types applications application advantage advantages disadvantage
+disadvantages answer question questions attempt any all given fig case cases detail details clearly properly
+""".split()
+UNITS = """
+mm cm km m kg g mg s ms kpa mpa gpa pa n kn j kj mj w kw mw mol kmol l ml lit litre litres liter liters k
+rpm hz khz v kv mv a ma ohm bar atm psi ft lb lbs hr hrs h min mins sec secs deg degc degf kmph kcal cal btu
+ppm mmhg nm um
+""".split()
+#: Tokens end at an apostrophe, so what stands before it counts.
+SKIPPED = tuple(dict.fromkeys(w.split("'")[0] for w in STOP_WORDS + INSTRUCTIONS + UNITS))
+#: What symbols are spelled out as.
+GREEK = dict(
+    zip(
+        "αβγδεϵζηθϑικλμµνξοπρσςτυφϕχψωΓΔΘΛΞΠΣΥΦΨΩ",
+        "alpha beta gamma delta epsilon epsilon zeta eta theta theta iota kappa lambda mu mu nu xi omicron pi rho sigma sigma tau upsilon phi phi chi psi omega"
+        " Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split(),
+        strict=True,
+    )
+)
+MATH_SYMBOLS = {
+    "∫": "integral", "∬": "double integral", "∮": "contour integral", "∂": "partial", "∇": "nabla", "∑": "sum", "∏": "product", "√": "sqrt", "∞": "infinity",
+    "≈": "approx", "≃": "approx", "≅": "approx", "≠": "!=", "≤": "<=", "≥": ">=", "±": "+/-", "∓": "-/+", "×": "x", "·": "*", "÷": "/", "∝": "proportional to",
+    "→": "->", "⇒": "=>", "⟶": "->", "↔": "<->", "⇌": "<=>", "∈": "in", "∀": "for all", "∃": "exists", "°": "deg", "℃": "degC", "℉": "degF", "Å": "angstrom",
+    "‰": "per mille", "∆": "Delta",
+}
+RAISED, RAISED_PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", "0123456789+-=()ni"
+LOWERED, LOWERED_PLAIN = "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₒₓₕₖₗₘₙₚₛₜ", "0123456789+-=()aeoxhklmnpst"
+FRACTIONS = {"½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "⅕": "1/5", "⅛": "1/8"}
 #: The seven formats, in the order in which a tie goes, and the pattern of each with its weight.
 TYPE_PATTERNS = (
     ("definition", r"\b(define|what is meant by|state)\b", 1.2), ("derivation", r"\b(derive|prove|show that|deduce|establish)\b", 1.4),
@@ -34,10 +77,20 @@ def collapse_whitespace(x: Column) -> Column:
 
 
 def normalize_math(x: Column) -> Column:
-    """Raised and lowered digits to ^n and _n, Greek letters and operators spelled out."""
-    for a, b in (("²", "^2"), ("³", "^3"), ("₂", "_2"), ("½", "1/2"), ("¼", "1/4"), ("×", " times "), ("÷", " over "), ("≈", " approx "), ("≤", " <= "), ("≥", " >= "), ("α", "alpha"), ("β", "beta"), ("η", "eta"), ("ρ", "rho"), ("Δ", "Delta"), ("π", "pi")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    """Raised runs to ^..., lowered ones to _... (lowered digits after a letter or bracket to plain ones), fractions, Greek
+    letters and operators spelled out, spaces between words single."""
+    special = "".join([*FRACTIONS, *GREEK, *MATH_SYMBOLS]) + RAISED + LOWERED
+    y = x
+    for a, b in FRACTIONS.items():
+        y = F.replace(y, F.lit(a), F.lit(b))
+    # \x01 and \x02 mark lowered digits that become plain ones.
+    y = F.regexp_replace(y, f"([A-Za-z)])([{LOWERED[:10]}]+)", "$1\x01$2\x02")
+    y = F.regexp_replace(y, f"([{RAISED}]+)", "^$1")
+    y = F.regexp_replace(y, f"(^|[^\x01{LOWERED}])([{LOWERED}]+)", "$1_$2")
+    y = F.translate(y, RAISED + LOWERED + "\x01\x02", RAISED_PLAIN + LOWERED_PLAIN)
+    for a, b in (GREEK | MATH_SYMBOLS).items():
+        y = F.replace(y, F.lit(a), F.lit(f" {b} "))
+    return F.trim(F.regexp_replace(F.when(x.rlike(f"[{special}]"), y).otherwise(x), " {2,}", " "))
 
 
 def normalize_for_matching(x: Column) -> Column:
@@ -54,8 +107,8 @@ def light_stem(w: Column) -> Column:
 
 
 def content_terms(x: Column, stem: bool = True) -> Column:
-    """Distinct tokens without stop words, instruction words, numbers and single letters, in order."""
-    skip = F.array(*[F.lit(w) for w in STOP_WORDS + INSTRUCTIONS])
+    """Distinct tokens without stop words, instruction words, units, numbers and single letters, in order."""
+    skip = F.array(*[F.lit(w) for w in SKIPPED])
     kept = F.filter(tokens(x), lambda t: (F.length(t) > 1) & ~t.rlike("^[0-9]") & ~F.array_contains(skip, t))
     return F.array_distinct(F.transform(kept, light_stem) if stem else kept)
 
@@ -66,10 +119,14 @@ def word_count(x: Column) -> Column:
 
 def implausible_token(t: Column) -> Column:
     """No vowel in four or more letters, five consonants in a row, a character four times, a digit inside a word, or
-    capitals inside a word."""
-    return (
-        (t.rlike(r"^[A-Za-z]{4,}$") & ~t.rlike(r"(?i)[aeiouy]")) | t.rlike(r"(?i)[bcdfghjklmnpqrstvwxz]{5}") | t.rlike(r"(.)\1\1\1") | t.rlike(r"[A-Za-z][0-9]+[A-Za-z]") | t.rlike(r"[a-z][A-Z]")
-    )
+    capitals about a word. Tokens of up to three characters or without letters, abbreviations in capitals, formulas and
+    units are plausible."""
+    letters = F.regexp_replace(t, r"[^\p{L}]", "")
+    fine = (F.length(t) < 4) | (letters == "") | (t.rlike(r"^[^\p{Ll}]{1,6}$") & t.rlike(r"\p{Lu}")) | t.rlike(r"^(?:[A-Z][a-z]?[0-9]*){1,4}$|^[a-z]{1,3}[0-9]$|^[0-9]+[a-zA-Z]{1,4}$")
+    inner = F.substr(t, F.lit(2))
+    capitals = (F.regexp_count(inner, F.lit("[A-Z]")) >= 2) & (F.regexp_count(inner, F.lit("[a-z]")) >= 2) & ~t.rlike(r"^[A-Z][a-z]+[A-Z][a-z]+$")
+    noise = (~letters.rlike(r"(?i)[aeiouy]") & (F.length(letters) >= 4)) | t.rlike(r"(?i)[bcdfghjklmnpqrstvwxz]{5}") | t.rlike(r"(.)\1\1\1") | t.rlike(r"^[A-Za-z]+[0-9][A-Za-z]+$") | capitals
+    return ~fine & noise
 
 
 def garbage_ratio(x: Column) -> Column:

@@ -158,7 +158,7 @@ def parse_syllabus(pages: DataFrame) -> DataFrame:
         rows, at = [], {}
         for line in g["line"]:
             m = re.match(r"^\s*(?:Unit\s+)?(\d+(?:\.\d+)*)[.)]?\s+(\S.*)$", line)
-            if not m or len(m[2]) > 300:
+            if not m:
                 continue
             number, rest = m[1], m[2].strip()
             hours = re.search(r"(?i)\(?(\d+(?:\.\d+)?)\s*(?:hours?|hrs?)\)?", rest)

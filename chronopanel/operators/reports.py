@@ -102,16 +102,16 @@ def format_forecast(obs: DataFrame, half_life: float = 3.0) -> DataFrame:
 
 
 def missing_years(exams: DataFrame) -> DataFrame:
-    """course_id, year: years between the first and last exam of a course (common era) that have none."""
-    y = exams.where("year is not null and calendar = 'AD'").select("course_id", "year").distinct()
-    span = y.groupBy("course_id").agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year"))
-    return span.join(y, ["course_id", "year"], "left_anti")
+    """course_id, calendar, year: years between the first and last exam of a course in a calendar that have none."""
+    y = exams.where("year is not null and calendar is not null").select("course_id", "calendar", "year").distinct()
+    span = y.groupBy("course_id", "calendar").agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year"))
+    return span.join(y, ["course_id", "calendar", "year"], "left_anti")
 
 
 def timeline(exams: DataFrame) -> DataFrame:
-    """course_id, year, kind, n: exams and missing years in one list; undated exams have null year."""
-    have = exams.groupBy("course_id", "year").agg(F.count("*").alias("n")).select("course_id", "year", F.when(F.col("year").isNull(), "undated").otherwise("exam").alias("kind"), "n")
-    return have.unionByName(missing_years(exams).select("course_id", "year", F.lit("missing").alias("kind"), F.lit(0).cast("long").alias("n")))
+    """course_id, calendar, year, kind, n: exams and missing years in one list; undated exams have null year."""
+    have = exams.groupBy("course_id", "calendar", "year").agg(F.count("*").alias("n")).select("course_id", "calendar", "year", F.when(F.col("year").isNull(), "undated").otherwise("exam").alias("kind"), "n")
+    return have.unionByName(missing_years(exams).select("course_id", "calendar", "year", F.lit("missing").alias("kind"), F.lit(0).cast("long").alias("n")))
 
 
 def evidence_profile(cells: DataFrame, exams: DataFrame, obs: DataFrame) -> DataFrame:

@@ -54,16 +54,17 @@ def mapping_status(score: Column, clear: float = 0.34, probable: float = 0.22, o
 
 
 def match_confidence(score: Column, clear: float = 0.34, probable: float = 0.22, outside: float = 0.12) -> Column:
-    """Piecewise linear from 0 over 0.25 at outside, 0.5 at probable and 0.8 at clear to 1."""
+    """Piecewise linear: 0.25 at outside, 0.5 at probable, 0.75 at clear, and 1 from 0.3 above it."""
     up = lambda a, b, x, y: x + (score - a) / (b - a) * (y - x)
-    s = F.when(score <= 0, 0.0).when(score < outside, up(0.0, outside, 0.0, 0.25)).when(score < probable, up(outside, probable, 0.25, 0.5)).when(score < clear, up(probable, clear, 0.5, 0.8)).otherwise(up(clear, 1.0, 0.8, 1.0))
+    s = F.when(score <= outside, F.greatest(F.lit(0.0), up(0.0, outside, 0.0, 0.25))).when(score <= probable, up(outside, probable, 0.25, 0.5)).when(score <= clear, up(probable, clear, 0.5, 0.75)).otherwise(0.75 + 0.25 * (score - clear) / 0.3)
     return F.least(s, F.lit(1.0))
 
 
 def counts_for_prediction(status: Column, method: Column, score: Column, strictness: float = 0.5, clear: float = 0.34, probable: float = 0.22) -> Column:
-    """Whether a mapping counts: A always, manual ones of A or B, B above a bound that rises with strictness, C if it is low."""
+    """Whether a mapping counts: a manual one of A or B and no other manual one; else A always, B above a bound that rises
+    with strictness, C if that is low."""
     bound = probable + (clear - probable) * max(0.0, strictness - 0.5) * 2
     return (
-        F.when(status == "A", True).when((method == "manual") & status.isin("A", "B"), True).when(status == "B", (score >= bound) & F.lit(strictness < 1))
+        F.when(method == "manual", F.coalesce(status.isin("A", "B"), F.lit(False))).when(status == "A", True).when(status == "B", (score >= bound) & F.lit(strictness < 1))
         .when(status == "C", F.lit(strictness <= 0.25)).otherwise(False)
     )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chronopanel.operators import parsing as P
-from chronopanel.plans.panels import cells, rounded
+from chronopanel.plans.panels import PANEL, cells, rounded
 from chronopanel.plans.reporting import questions
 from chronopanel.sources.tables import shared_folder, table
 from chronopanel.sources.files import sniff
@@ -31,25 +31,26 @@ def _streamed(spark, make):
 
 
 def _state(spark, d):
+    """The state of each item after its last step, of a stream whose files come in no order."""
+
     def make(at):
-        c = cells(spark, d).select(F.xxhash64("course_id", "k").alias("k"), "t", "y")
-        c.write.parquet(f"{at}/in")
-        return S.item_state(S.file_stream(spark, f"{at}/in", "k long, t int, y long"))
+        c = cells(spark, d).select((F.col("course_id") * 1_000_000 + F.col("k")).alias("k"), "t", "y")
+        c.repartition(6, F.xxhash64("t")).write.parquet(f"{at}/in")
+        return S.item_state(S.file_stream(spark, f"{at}/in", "k long, t int, y long", per_trigger=2))
 
-    return _streamed(spark, make).groupBy("k").agg(F.max("seen").alias("seen"), F.max("t").alias("t"), F.count("*").alias("steps"))
+    last = S.newest(_streamed(spark, make), "version", "k", "t")
+    return last.groupBy("k").agg(F.max("seen").alias("seen"), F.max("t").alias("t"), F.count("*").alias("steps"), F.max_by("streak", "t").alias("streak"), F.max_by("since", "t").alias("since"))
 
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _windows(spark, d):
-    """Daily counts and sums of events by kind; the last window closes only with later events, so it may be missing."""
-
-    def make(_at):
-        e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
-        return S.windowed_counts(e, "ts", "event_type", length="1 day", delay="0 seconds", value="value")
-
-    out = _streamed(spark, make)
+    """Daily counts and sums of events by kind, from a stream."""
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
+    S.run_updates(S.windowed_counts(e, "ts", "event_type", length="1 day", delay="0 seconds", value="value"), f"{at}/out", f"{at}/checkpoint")
+    out = S.newest(spark.read.parquet(f"{at}/out"), "_batch", "start", "event_type")
     return rounded(out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"))
 
 
@@ -76,7 +77,11 @@ QUERIES = {
     "event_windows": _batch_windows,
     "event_sessions": _sessions,
 }
+_DAYS = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value) + 1e-10, 6) AS total FROM events GROUP BY ALL"
 ORACLES = {
+    "stream_windows": _DAYS,
+    "stream_item_state": PANEL
+    + ", o AS (SELECT course_id, k, max(t) AS t, sum(y)::BIGINT AS seen, count(*) AS steps, coalesce(max(CASE WHEN y > 0 THEN t END), -1) AS one, coalesce(max(CASE WHEN y = 0 THEN t END), -1) AS nil FROM cells GROUP BY ALL) SELECT course_id * 1000000 + k AS k, seen, t, steps, CASE WHEN one > nil THEN (SELECT count(*) FROM cells c WHERE c.course_id = o.course_id AND c.k = o.k AND c.t > nil) ELSE 0 END::INT AS streak, CASE WHEN nil > one THEN (SELECT count(*) FROM cells c WHERE c.course_id = o.course_id AND c.k = o.k AND c.t > one) ELSE 0 END::INT AS since FROM o",
     "event_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value) + 1e-10, 6) AS total FROM events GROUP BY ALL",
     "event_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WHERE user_id IS NOT NULL), s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest, sum(n)::BIGINT AS events FROM c GROUP BY 1",
 }

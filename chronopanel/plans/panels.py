@@ -70,8 +70,11 @@ def _until(spark, d):
 
 
 def _edges(spark, d):
+    """The 60 strongest pairs of items of each course."""
     x = D.same_exam_lift(cells(spark, d)).where("together >= 3 and lift >= 1.3")
-    return rounded(x.orderBy(F.desc("together"), F.desc("lift"), "course_id", "j", "k").limit(60))
+    lift = F.round(F.col("lift") + 1e-10, 6)
+    r = F.row_number().over(P.W.partitionBy("course_id").orderBy(F.desc("together"), F.desc(lift), "j", "k"))
+    return rounded(x.withColumn("r", r).where("r <= 60").drop("r"))
 
 
 def _rollup(spark, d):
@@ -189,4 +192,4 @@ ORACLES = {
 }
 _PAIRS = ", b AS (SELECT course_id, k, avg(y) AS base FROM cells GROUP BY ALL), n AS (SELECT course_id, k AS j, count(*) AS n_j FROM cells WHERE y > 0 GROUP BY ALL), p AS (SELECT a.course_id, a.k AS j, c.k, count(*) AS together FROM cells a JOIN cells c ON a.course_id = c.course_id AND c.t = a.t AND a.k < c.k WHERE a.y > 0 AND c.y > 0 GROUP BY ALL), lifts AS (SELECT p.course_id, p.j, p.k, together, round(((together + 2 * base) / (n_j + 2)) / (base + 1e-6) + 1e-10, 6) AS lift FROM p JOIN n ON n.course_id = p.course_id AND n.j = p.j JOIN b ON b.course_id = p.course_id AND b.k = p.k) "
 ORACLES["same_exam_lift"] = PANEL + _PAIRS + "SELECT * FROM lifts"
-ORACLES["lift_edges"] = PANEL + _PAIRS + "SELECT * FROM lifts WHERE together >= 3 AND lift >= 1.3 ORDER BY together DESC, lift DESC, course_id, j, k LIMIT 60"
+ORACLES["lift_edges"] = PANEL + _PAIRS + "SELECT * FROM lifts WHERE together >= 3 AND lift >= 1.3 QUALIFY row_number() OVER (PARTITION BY course_id ORDER BY together DESC, lift DESC, j, k) <= 60"

@@ -135,8 +135,8 @@ QUERIES = {
 _LAT = "lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC) AS rn FROM tree WHERE node_id IS NOT NULL) WHERE rn = 1)"
 _Q = "WITH q AS (SELECT DISTINCT question_id, exam_id, text, marks, format, or_group, parent_id, is_optional, is_leaf FROM questions WHERE question_id IS NOT NULL), e AS (SELECT DISTINCT course_id, t, exam_id, ord, label, total_marks, year, calendar, source_kind FROM exams), m AS (SELECT DISTINCT question_id, k, node_id, rank, weight, score, status, method FROM mappings) "
 _TOP = ", p AS (SELECT parent_id AS question_id, count(*) AS parts FROM q WHERE parent_id IS NOT NULL GROUP BY 1), st AS (SELECT exam_id, count(*) AS questions, count(DISTINCT coalesce(or_group, 'q' || question_id)) AS slots, median(coalesce(parts, 0)) AS parts_median, median(marks) AS marks_median, count(*) FILTER (WHERE is_optional) AS optional FROM (SELECT * FROM q WHERE parent_id IS NULL) LEFT JOIN p USING (question_id) GROUP BY 1) "
-_MISS = ", yy AS (SELECT DISTINCT course_id, year FROM e WHERE year IS NOT NULL AND calendar = 'AD'), miss AS (SELECT s.course_id, s.year FROM (SELECT course_id, unnest(generate_series(min(year), max(year)))::INT AS year FROM yy GROUP BY 1) s ANTI JOIN yy USING (course_id, year)) "
-_CONF = "CASE WHEN score <= 0 THEN 0 WHEN score < 0.12::DOUBLE THEN score / 0.12::DOUBLE * 0.25 WHEN score < 0.22::DOUBLE THEN 0.25 + (score - 0.12::DOUBLE) / 0.1::DOUBLE * 0.25 WHEN score < 0.34::DOUBLE THEN 0.5 + (score - 0.22::DOUBLE) / 0.12::DOUBLE * 0.3 ELSE least(0.8 + (score - 0.34::DOUBLE) / 0.66::DOUBLE * 0.2, 1) END"
+_MISS = ", yy AS (SELECT DISTINCT course_id, calendar, year FROM e WHERE year IS NOT NULL AND calendar IS NOT NULL), miss AS (SELECT s.course_id, s.calendar, s.year FROM (SELECT course_id, calendar, unnest(generate_series(min(year), max(year)))::INT AS year FROM yy GROUP BY course_id, calendar) s ANTI JOIN yy USING (course_id, calendar, year)) "
+_CONF = "CASE WHEN score <= 0.12::DOUBLE THEN greatest(0, score / 0.12::DOUBLE * 0.25) WHEN score <= 0.22::DOUBLE THEN 0.25 + (score - 0.12::DOUBLE) / 0.1::DOUBLE * 0.25 WHEN score <= 0.34::DOUBLE THEN 0.5 + (score - 0.22::DOUBLE) / 0.12::DOUBLE * 0.25 ELSE least(0.75 + 0.25 * (score - 0.34::DOUBLE) / 0.3::DOUBLE, 1) END"
 ORACLES = {
     "tree_roles": _CHAIN.replace("depth, title FROM", "depth, title, excluded FROM")
     + """, kids AS (SELECT DISTINCT parent_id AS node_id FROM latest WHERE parent_id IS NOT NULL),
@@ -165,15 +165,15 @@ ORACLES = {
     i AS (SELECT it.course_id, it.k, g.format, g.g, coalesce(sum(w.w), 0) AS i FROM items it JOIN g USING (course_id) LEFT JOIN w ON w.course_id = it.course_id AND w.k = it.k AND w.format = g.format GROUP BY ALL)
     SELECT course_id, k, format, round((i + 2 * g) / (sum(i) OVER (PARTITION BY course_id, k) + 2) + 1e-10, 6) AS p FROM i""",
     "missing_years": _Q + _MISS + "SELECT * FROM miss",
-    "timeline": _Q + _MISS + "SELECT course_id, year, CASE WHEN year IS NULL THEN 'undated' ELSE 'exam' END AS kind, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT course_id, year, 'missing', 0 FROM miss",
+    "timeline": _Q + _MISS + "SELECT course_id, calendar, year, CASE WHEN year IS NULL THEN 'undated' ELSE 'exam' END AS kind, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT course_id, calendar, year, 'missing', 0 FROM miss",
     "evidence_profile": PANEL
-    + ", yy AS (SELECT DISTINCT course_id, year FROM ex WHERE year IS NOT NULL AND calendar = 'AD'), mc AS (SELECT course_id, max(year) - min(year) + 1 - count(*) AS missing FROM yy GROUP BY 1), s AS (SELECT course_id, k, sum(y) AS n FROM cells GROUP BY ALL), pr AS (SELECT course_id, n / sum(n) OVER (PARTITION BY course_id) AS p FROM s), h AS (SELECT course_id, sum(-p * ln(p)) / ln(greatest(count(*), 2)) AS entropy FROM pr WHERE p > 0 GROUP BY 1), qc AS (SELECT course_id, count(DISTINCT question_id) AS questions FROM obs GROUP BY 1) SELECT course_id, count(*) AS exams, count(*) FILTER (WHERE year IS NULL) AS undated, count(*) - 0.5::DOUBLE * count(*) FILTER (WHERE year IS NULL) AS effective, count(DISTINCT year) AS years, coalesce(any_value(missing), 0)::BIGINT AS missing, coalesce(any_value(questions), 0) AS questions, round(any_value(entropy) + 1e-10, 6) AS entropy FROM ex LEFT JOIN mc USING (course_id) LEFT JOIN qc USING (course_id) LEFT JOIN h USING (course_id) GROUP BY course_id",
+    + ", yy AS (SELECT DISTINCT course_id, calendar, year FROM ex WHERE year IS NOT NULL AND calendar IS NOT NULL), mc AS (SELECT course_id, sum(m)::BIGINT AS missing FROM (SELECT course_id, calendar, max(year) - min(year) + 1 - count(*) AS m FROM yy GROUP BY ALL) GROUP BY 1), s AS (SELECT course_id, k, sum(y) AS n FROM cells GROUP BY ALL), pr AS (SELECT course_id, n / sum(n) OVER (PARTITION BY course_id) AS p FROM s), h AS (SELECT course_id, sum(-p * ln(p)) / ln(greatest(count(*), 2)) AS entropy FROM pr WHERE p > 0 GROUP BY 1), qc AS (SELECT course_id, count(DISTINCT question_id) AS questions FROM obs GROUP BY 1) SELECT course_id, count(*) AS exams, count(*) FILTER (WHERE year IS NULL) AS undated, count(*) - 0.5::DOUBLE * count(*) FILTER (WHERE year IS NULL) AS effective, count(DISTINCT year) AS years, coalesce(any_value(missing), 0)::BIGINT AS missing, coalesce(any_value(questions), 0) AS questions, round(any_value(entropy) + 1e-10, 6) AS entropy FROM ex LEFT JOIN mc USING (course_id) LEFT JOIN qc USING (course_id) LEFT JOIN h USING (course_id) GROUP BY course_id",
     "evidence_lines": PANEL + "SELECT course_id, k, 'Asked in ' || count(DISTINCT t) || CASE WHEN count(DISTINCT t) = 1 THEN ' exam' ELSE ' exams' END || ' with ' || count(*) || CASE WHEN count(*) = 1 THEN ' question' ELSE ' questions' END || '; last in exam ' || max(t) || '.' AS line FROM obs GROUP BY ALL",
     "marks_histogram": _Q + ", s AS (SELECT exam_id, min(marks) AS lo, max(marks) AS hi, least(greatest(count(DISTINCT marks), 3), 12) AS bins FROM q WHERE marks IS NOT NULL GROUP BY 1) SELECT exam_id, (CASE WHEN hi > lo THEN least(floor((marks - lo) / (hi - lo) * bins), bins - 1) ELSE 0 END)::BIGINT AS bin, count(*) AS n FROM q JOIN s USING (exam_id) WHERE marks IS NOT NULL GROUP BY ALL",
     "marks_percentiles": _Q + "SELECT format, round(quantile_cont(marks, 0.25) + 1e-10, 6) AS p25, round(median(marks) + 1e-10, 6) AS p50, round(quantile_cont(marks, 0.75) + 1e-10, 6) AS p75 FROM q WHERE marks IS NOT NULL AND format IS NOT NULL GROUP BY 1",
     "capped_choice": _SC.replace(PANEL, UNITS)
     + ", r AS (SELECT sl.course_id, sl.k, sl.score FROM sl JOIN ends ON ends.course_id = sl.course_id AND sl.cutoff = last_t + 1 WHERE model = 'bayes'), u AS (SELECT r.*, row_number() OVER (PARTITION BY r.course_id, unit ORDER BY score DESC, r.k) AS iu FROM r JOIN un ON un.course_id = r.course_id AND un.k = r.k), c AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY score DESC, k)::INT AS pos FROM u WHERE iu <= 3) SELECT course_id, k, round(score + 1e-10, 6) AS score, pos FROM c WHERE pos <= 10",
-    "mapping_status": _Q + f"SELECT question_id, k, CASE WHEN score >= 0.34 THEN 'A' WHEN score < 0.12 THEN 'D' WHEN score >= 0.22 THEN 'B' WHEN score IS NULL THEN 'C' ELSE 'C' END AS by_score, round({_CONF} + 1e-10, 6) AS confidence, coalesce(status = 'A' OR (method = 'manual' AND status IN ('A', 'B')) OR (status = 'B' AND score >= 0.22), false)::INT AS counted FROM m",
+    "mapping_status": _Q + f"SELECT question_id, k, CASE WHEN score >= 0.34 THEN 'A' WHEN score < 0.12 THEN 'D' WHEN score >= 0.22 THEN 'B' WHEN score IS NULL THEN 'C' ELSE 'C' END AS by_score, round({_CONF} + 1e-10, 6) AS confidence, CASE WHEN method = 'manual' THEN coalesce(status IN ('A', 'B'), false) ELSE coalesce(status = 'A' OR (status = 'B' AND score >= 0.22), false) END::INT AS counted FROM m",
     "review_overlay": "WITH q AS (SELECT DISTINCT question_id, exam_id, marks, coalesce(needs_review, false) AS nr FROM questions WHERE question_id IS NOT NULL) SELECT question_id, exam_id, round(CASE WHEN nr THEN 2 ELSE marks END + 1e-10, 6) AS marks, nr::INT AS edited FROM q WHERE NOT (nr AND marks IS NULL)",
     "merge_with_next": _Q + "SELECT exam_id, question_id, concat_ws(' ', text, lead(text) OVER w) AS text, round(marks + lead(marks) OVER w + 1e-10, 6) AS marks FROM q WINDOW w AS (PARTITION BY exam_id ORDER BY question_id) QUALIFY marks + lead(marks) OVER w IS NOT NULL",
     "split_questions": _Q + "SELECT question_id, (generate_subscripts(p, 1))::INT AS part, trim(unnest(p)) AS text FROM (SELECT question_id, list_filter(string_split(text, '. '), lambda x: trim(x) <> '') AS p FROM q WHERE text IS NOT NULL)",

@@ -65,9 +65,16 @@ def _sql_clean(x: str) -> str:
 
 
 def _sql_math(x: str) -> str:
-    for a, b in (("²", "^2"), ("³", "^3"), ("₂", "_2"), ("½", "1/2"), ("¼", "1/4"), ("×", " times "), ("÷", " over "), ("≈", " approx "), ("≤", " <= "), ("≥", " >= "), ("α", "alpha"), ("β", "beta"), ("η", "eta"), ("ρ", "rho"), ("Δ", "Delta"), ("π", "pi")):
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
+    y = x
+    for a, b in T.FRACTIONS.items():
+        y = f"replace({y}, '{a}', '{b}')"
+    y = f"regexp_replace({y}, '([A-Za-z)])([{T.LOWERED[:10]}]+)', '\\1' || chr(1) || '\\2' || chr(2), 'g')"
+    y = f"regexp_replace({y}, '([{T.RAISED}]+)', '^\\1', 'g')"
+    y = f"regexp_replace({y}, '(^|[^\\x01{T.LOWERED}])([{T.LOWERED}]+)', '\\1_\\2', 'g')"
+    y = f"translate({y}, '{T.RAISED}{T.LOWERED}' || chr(1) || chr(2), '{T.RAISED_PLAIN}{T.LOWERED_PLAIN}')"
+    for a, b in (T.GREEK | T.MATH_SYMBOLS).items():
+        y = f"replace({y}, '{a}', ' {b} ')"
+    return f"trim(regexp_replace({y}, ' {{2,}}', ' ', 'g'), ' ')"
 
 
 def _sql_collapse(x: str) -> str:
@@ -75,10 +82,13 @@ def _sql_collapse(x: str) -> str:
 
 
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}][\\p{L}\\p{N}]*|[0-9]+(?:\\.[0-9]+)?')"
-_SKIP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS + T.INSTRUCTIONS) + "]"
+_SKIP = "[" + ", ".join(f"'{w}'" for w in T.SKIPPED) + "]"
 _KEPT = f"list_filter({_TOK}, lambda t: length(t) > 1 AND NOT regexp_matches(t, '^[0-9]') AND NOT list_contains({_SKIP}, t))"
 _ORDERED = "list_filter(l, lambda v, i: list_position(l, v) = i)"
-_BAD = "((regexp_full_match(w, '[A-Za-z]{4,}') AND NOT regexp_matches(w, '(?i)[aeiouy]')) OR regexp_matches(w, '(?i)[bcdfghjklmnpqrstvwxz]{5}') OR len(list_filter(range(1, length(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0 OR regexp_matches(w, '[A-Za-z][0-9]+[A-Za-z]') OR regexp_matches(w, '[a-z][A-Z]'))"
+_LET = "regexp_replace(w, '[^\\p{L}]', '', 'g')"
+_FINE = f"(length(w) < 4 OR {_LET} = '' OR (regexp_full_match(w, '[^\\p{{Ll}}]{{1,6}}') AND regexp_matches(w, '\\p{{Lu}}')) OR regexp_matches(w, '^(?:[A-Z][a-z]?[0-9]*){{1,4}}$|^[a-z]{{1,3}}[0-9]$|^[0-9]+[a-zA-Z]{{1,4}}$'))"
+_CAPS = "(len(regexp_extract_all(w[2:], '[A-Z]')) >= 2 AND len(regexp_extract_all(w[2:], '[a-z]')) >= 2 AND NOT regexp_matches(w, '^[A-Z][a-z]+[A-Z][a-z]+$'))"
+_BAD = f"(NOT {_FINE} AND ((NOT regexp_matches({_LET}, '(?i)[aeiouy]') AND length({_LET}) >= 4) OR regexp_matches(w, '(?i)[bcdfghjklmnpqrstvwxz]{{5}}') OR len(list_filter(range(1, length(w) - 2), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3])) > 0 OR regexp_matches(w, '^[A-Za-z]+[0-9][A-Za-z]+$') OR {_CAPS}))"
 _GARB = "CASE WHEN length(regexp_replace(text, '\\s', '', 'g')) > 0 THEN length(regexp_replace(text, '[\\s\\p{L}\\p{M}\\p{N}.,;:!?''\"()\\[\\]{}/%+=*<>&@#_-]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g')) ELSE 0 END"
 _N = lambda p: f"len(regexp_extract_all(text, '{p}'))"
 _UNB = f"({_N('\\(')} <> {_N('\\)')} OR {_N('\\[')} <> {_N('\\]')})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,8 +25,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where it is unset, as in tests) one of this process."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + _own_folder()
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, as in tests, one of this process, but only if
+    the executors are this process, too; on a cluster that is an error, for their files would lie on different machines."""
+    if path := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + _own_folder()
 
 
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -33,26 +33,36 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "30 minutes", dela
 
 
 def item_state(stream: DataFrame, key: str = "k") -> DataFrame:
-    """key, t, seen, streak, since: rolling state of each item over steps (key, t, y), a row a step.
+    """key, t, seen, streak, since, version: rolling state of each item after each of its steps (key, t, y).
 
-    Steps of a batch are taken in order; a step not after the last one is left out - an exam inserted later changes all
-    that follow and needs a rebuild."""
-    out = f"{key} long, t int, seen long, streak int, since int"
+    Steps may come in any order. One that comes late changes those after it, which come out again with a higher version,
+    the number of steps known; newest() keeps the last one of each. A step that comes twice counts once, by its greatest y.
+    """
+    out = f"{key} long, t int, seen long, streak int, since int, version int"
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last_t, seen, streak, since = state.get if state.exists else (-1, 0, 0, 0)
-        rows = []
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        first = None
         for b in batches:
-            for t, y in b.sort_values("t")[["t", "y"]].itertuples(index=False):
-                if t <= last_t:
-                    continue
-                last_t, seen = int(t), seen + int(y > 0)
-                streak, since = (streak + 1, 0) if y > 0 else (0, since + 1)
-                rows.append((k[0], last_t, seen, streak, since))
-        state.update((last_t, seen, streak, since))
+            for t, y in b[["t", "y"]].itertuples(index=False):
+                if known.get(t, -1) < int(y > 0):
+                    known[int(t)] = int(y > 0)
+                    first = int(t) if first is None else min(first, int(t))
+        seen, streak, since, rows = 0, 0, 0, []
+        for t in sorted(known) if first is not None else ():
+            seen += known[t]
+            streak, since = (streak + 1, 0) if known[t] else (0, since + 1)
+            if t >= first:
+                rows.append((k[0], t, seen, streak, since, len(known)))
+        state.update((list(known), list(known.values())))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
-    return stream.groupBy(key).applyInPandasWithState(step, out, "last_t int, seen long, streak int, since int", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(step, out, "ts array<int>, ys array<int>", "append", "NoTimeout")
+
+
+def newest(rows: DataFrame, version: str, *keys: str) -> DataFrame:
+    """The row of the greatest version of each key."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), version).alias("_r")).select("_r.*")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -61,15 +71,42 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """All that is there now in update mode: every batch adds the rows that it changed, marked with its number (`_batch`), so
+    that windows that no later event closes are there, too. A batch that runs twice overwrites itself."""
+
+    def add(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Batches after which the parts of an upserted table are merged.
+MERGED_AFTER = 20
+
+
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str) -> None:
-    """The last row of each key, in one table of a folder a batch: batches are merged with the table before them."""
+    """The last row of each key. A batch adds its own last rows as a part; every MERGED_AFTER batches all parts up to then
+    become one. read_upserted() gives the table. A batch that runs twice overwrites itself."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        rows = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), seq).alias("r")).select("r.*")
-        if n:
-            old = spark.read.parquet(f"{path}/batch={n - 1}")
-            rows = rows.unionByName(old).groupBy(key).agg(F.max_by(F.struct(*batch.columns), seq).alias("r")).select("r.*")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        rows = newest(batch, seq, key)
+        if n and n % MERGED_AFTER == 0:
+            rows = newest(rows.unionByName(read_upserted(spark, path, key, seq, n).select(rows.columns)), seq, key)
+            rows.write.mode("overwrite").parquet(f"{path}/merged={n}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_upserted(spark: SparkSession, path: str, key: str, seq: str, below: int | None = None) -> DataFrame:
+    """The table of upsert_batches(): the last merged part and the parts after it, of batches below a number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [tuple(x.getPath().getName().split("=")) for x in fs.listStatus(folder)]
+    numbered = {(kind, int(n)) for kind, n in parts if below is None or int(n) < below}
+    start = max((n for kind, n in numbered if kind == "merged"), default=-1)
+    keep = [f"{path}/{kind}={n}" for kind, n in sorted(numbered) if (kind, n) == ("merged", start) or (kind == "batch" and n > start)]
+    return newest(spark.read.parquet(*keep), seq, key)
