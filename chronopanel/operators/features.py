@@ -41,7 +41,7 @@ def history_features(cells: DataFrame) -> DataFrame:
         F.avg("y").over(last(1)).alias("last1"), F.avg("y").over(last(2)).alias("last2"), F.avg("y").over(last(3)).alias("freq_last3"), F.avg("y").over(last(5)).alias("freq_last5"),
         ewma("y", H_SHORT).alias("ewma_short"), ewma("y", H_LONG).alias("ewma_long"), *[ewma("y", h).alias(f"ewma_{str(h).replace('.', '_')}") for h in (0.75, 2.0, 3.0)],
         (F.sum(F.col("y") * F.col("_n")).over(w) / F.sum("_n").over(w)).alias("linear_decay"),
-        ewma("soft", H_SHORT).alias("soft_ewma"), F.avg("soft").over(w).alias("soft_mean"), ewma("semantic", H_SHORT).alias("sem_ewma"),
+        ewma("soft", H_LONG).alias("soft_ewma"), F.avg("soft").over(w).alias("soft_mean"), ewma("semantic", H_LONG).alias("sem_ewma"),
         F.avg((F.col("semantic") >= 0.2).cast("int")).over(w).alias("sem_density"), F.log1p(steps).alias("hist_log"),
         rate("map_conf_sum").alias("map_conf"), rate("parse_conf_sum").alias("parse_conf"), rate("marks_known_sum").alias("marks_known"), rate("optional_sum").alias("optional_rate"),
         F.coalesce(F.avg("shown").over(w), F.lit(0.0)).alias("marks_share"), ewma("share", H_SHORT).alias("marks_share_recent"),
@@ -72,7 +72,7 @@ def timing_features(cells: DataFrame) -> DataFrame:
     sd = F.coalesce("sd0", mg)
     nxt = F.when(F.col("n") > 0, F.col("since")).otherwise(F.col("steps") + 1)
     clip = lambda v, a, b: F.least(F.greatest(v, F.lit(a)), F.lit(b))
-    pooled = lambda a: (F.sum(f"n{a}1").over(c) + 0.5) / (F.sum(f"n{a}0").over(c) + F.sum(f"n{a}1").over(c) + 1)
+    pooled = lambda a: (F.sum(f"n{a}1").over(c) + 1e-9) / (F.sum(f"n{a}0").over(c) + F.sum(f"n{a}1").over(c) + 2e-9)
     was = F.coalesce("p", F.lit(0))
     markov = F.when(was > 0, (F.col("n11") + MARKOV * pooled(1)) / (F.col("n10") + F.col("n11") + MARKOV)).otherwise((F.col("n01") + MARKOV * pooled(0)) / (F.col("n00") + F.col("n01") + MARKOV))
     o, z = F.coalesce("one", F.lit(-1)), F.coalesce("nil", F.lit(-1))
@@ -178,24 +178,19 @@ def all_features(cells: DataFrame, formats: DataFrame, statics: DataFrame, sim:
     return x.na.fill(0.0, ["sem_neighbors", "centrality", "hours_share", "marks_weight_share", "breadth"])
 
 
-#: Scores of the models that are an expression of the features. Ties are broken by the item.
 def scores(features: DataFrame) -> DataFrame:
-    """course_id, k, cutoff and one score a model: baselines, single components and their tuned variants."""
+    """course_id, k, cutoff and one score for each of the models that are an expression of the features."""
     f = F.col
-    p = lambda c: average_percentile(F.col(c), "course_id", "cutoff")
+    p = lambda c: average_percentile(F.round(c, 12), "course_id", "cutoff")
     return features.select(
         "course_id", "k", "cutoff", (f("freq_all") + 1e-3 * f("ewma_short")).alias("frequency"), (f("last1") + 0.1 * f("freq_all")).alias("last_exam"),
         *[(f(c) + 1e-3 * f("freq_all")).alias(n) for n, c in (("window1", "last1"), ("window2", "last2"), ("window3", "freq_last3"), ("window5", "freq_last5"))],
         *[(f(c) + 1e-4 * f("freq_all")).alias(n) for n, c in (("ewma_075", "ewma_0_75"), ("ewma_15", "ewma_short"), ("ewma_2", "ewma_2_0"), ("ewma_3", "ewma_3_0"), ("ewma_6", "ewma_long"))],
         f("linear_decay").alias("linear_decay"), ((p("freq_all") + p("ewma_short")) / 2).alias("freq_recency"), (f("markov_next") + 1e-3 * f("ewma_short")).alias("markov"),
-        (0.6 * p("sem_ewma") + 0.2 * p("soft_ewma") + 0.2 * p("sem_neighbors")).alias("semantic"), f("bayes_mean").alias("bayes"), (f("hazard") + 1e-4 * f("ewma_short")).alias("hazard"),
-        (f("cooc_lift_last") + 1e-3 * f("ewma_short")).alias("cooccurrence"), (f("unit_ewma") * F.sqrt(F.greatest(f("hours_share"), F.lit(1e-3)))).alias("coverage"),
+        (0.6 * p("sem_ewma") + 0.2 * p("soft_ewma") + 0.2 * p("sem_neighbors") + 1e-6 * f("sem_ewma")).alias("semantic"), (f("cooc_lift_last") + 1e-3 * f("ewma_short")).alias("cooccurrence"),
     )
 
 
-MODELS = "frequency last_exam window1 window2 window3 window5 ewma_075 ewma_15 ewma_2 ewma_3 ewma_6 linear_decay freq_recency markov semantic bayes hazard cooccurrence coverage".split()
-
-
-def long_scores(wide: DataFrame, models: list[str] = MODELS) -> DataFrame:
+def long_scores(wide: DataFrame, models: list[str]) -> DataFrame:
     """course_id, k, cutoff, model, score."""
     return wide.unpivot(["course_id", "k", "cutoff"], list(models), "model", "score")

@@ -126,6 +126,31 @@ def tuned_choice(folds: DataFrame, metric: str, variants: list[str], default: st
     return cut.join(best, ["course_id", "target"], "left").select("course_id", F.col("target").alias("cutoff"), F.coalesce("model", F.lit(default)).alias("model"))
 
 
+def running_choice(folds: DataFrame, metric: str, at: DataFrame, variants: list[str], default: str) -> DataFrame:
+    """course_id, cutoff, model at every cutoff of at: the variant with the best mean on earlier folds, if it beats the
+    default beyond the one-sided t bound; else the default. Ties go to the first variant. One running window a variant."""
+    d = folds.where(F.col("model") == default).select("course_id", "cutoff", F.col(metric).alias("_d"))
+    diff = folds.where(F.col("model").isin(*[v for v in variants if v != default])).join(d, ["course_id", "cutoff"]).select("course_id", "cutoff", "model", (F.col(metric) - F.col("_d")).alias("diff"))
+    grid = at.select("course_id", "cutoff", F.explode(F.array(*[F.lit(v) for v in variants if v != default])).alias("model")).join(diff, ["course_id", "cutoff", "model"], "left")
+    w = W.partitionBy("course_id", "model").orderBy("cutoff").rowsBetween(W.unboundedPreceding, -1)
+    x = grid.select("course_id", "cutoff", "model", F.avg("diff").over(w).alias("m"), F.stddev_samp("diff").over(w).alias("s"), F.count("diff").over(w).alias("n"))
+    place = F.array_position(F.array(*[F.lit(v) for v in variants]), F.col("model"))
+    best = x.groupBy("course_id", "cutoff").agg(F.max(F.struct(F.round(F.coalesce("m", F.lit(-9.0)), 12).alias("m"), (-place).alias("p"), "model", "s", "n")).alias("b"))
+    good = (F.col("b.m") > 1e-12) & (F.col("b.n") >= 2) & (F.col("b.m") > t_bound(F.col("b.n")) * F.col("b.s") / F.sqrt("b.n"))
+    return best.select("course_id", "cutoff", F.when(F.coalesce(good, F.lit(False)), F.col("b.model")).otherwise(default).alias("model"))
+
+
+def running_first(folds: DataFrame, metric: str, at: DataFrame, default: str) -> DataFrame:
+    """course_id, cutoff, model at every cutoff of at: the model with the best mean on earlier folds, the default before any;
+    ties by name."""
+    models = folds.select("course_id", "model").distinct()
+    grid = at.join(models, "course_id").join(folds.select("course_id", "cutoff", "model", F.col(metric).alias("v")), ["course_id", "cutoff", "model"], "left")
+    w = W.partitionBy("course_id", "model").orderBy("cutoff").rowsBetween(W.unboundedPreceding, -1)
+    x = grid.select("course_id", "cutoff", "model", F.round(F.avg("v").over(w), 12).alias("m"))
+    best = x.where("m is not null").withColumn("r", F.row_number().over(W.partitionBy("course_id", "cutoff").orderBy(F.desc("m"), "model"))).where("r = 1").select("course_id", "cutoff", "model")
+    return at.join(best, ["course_id", "cutoff"], "left").select("course_id", "cutoff", F.coalesce("model", F.lit(default)).alias("model"))
+
+
 def ensemble_weights(folds: DataFrame, metric: str, components: dict[str, float], baseline: str, tau: float = 2.0, shrink: float = 3.0) -> DataFrame:
     """course_id, cutoff, model, weight: reliability times the exponential of the shrunken skill on earlier folds.
 

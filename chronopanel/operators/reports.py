@@ -131,7 +131,7 @@ def supporting_signals(features: DataFrame) -> DataFrame:
     f = F.col
     med = F.percentile("sem_ewma", F.lit(0.5)).over(W.partitionBy("course_id", "cutoff"))
     signals = F.filter(
-        F.array(F.when(f("freq_all") >= 0.5, "frequency"), F.when(f("ewma_short") >= 0.5, "recency"), F.when((f("sem_ewma") >= med) & (f("sem_ewma") > 0), "semantic"), F.when(f("marks_share") >= 0.1, "marks")),
+        F.array(F.when(f("freq_all") >= 0.5, "frequency"), F.when(F.round("ewma_short", 9) >= 0.5, "recency"), F.when((f("sem_ewma") >= med) & (f("sem_ewma") > 0), "semantic"), F.when(F.round("marks_share", 9) >= 0.1, "marks")),
         lambda x: x.isNotNull(),
     )
     return features.select("course_id", "k", "cutoff", F.array_join(signals, ", ").alias("signals"), F.size(signals).cast("long").alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators.hierarchy import carried, descendant_pairs, roots
+from chronopanel.operators.hierarchy import carried, descendant_pairs, latest, roots
+from chronopanel.sources.tables import cut, drop_cut
 
 
 def roles(nested: DataFrame, facts: DataFrame) -> DataFrame:
@@ -67,6 +68,27 @@ def kind_prior(nested: DataFrame, facts: DataFrame) -> DataFrame:
     return own.unionByName(below).distinct()
 
 
+def kinds_below(facts: DataFrame) -> DataFrame:
+    """node_id, kind: the kinds that a node or anything below it is tagged with, carried up the chains of parents; a node on
+    or below a cycle has those of the nodes that lead to it.
+
+    In a round every (node, kind) also counts for the node that it points to, and pointers double, so that a tree of depth d
+    takes log2(d) rounds over distinct pairs, without all pairs of ancestors and descendants."""
+    up = facts.where("parent_id is not null").join(facts.select(F.col("node_id").alias("_p")), F.col("parent_id") == F.col("_p"), "left_semi").select(F.col("node_id").alias("id"), F.col("parent_id").alias("up"))
+    up, pairs = cut(up), cut(facts.select(F.col("node_id").alias("id"), F.explode("kinds").alias("kind")).distinct())
+    rounds = max(1, facts.count().bit_length())
+    for _ in range(rounds):
+        if not up.limit(1).count():
+            break
+        raised = pairs.join(up, "id").select(F.col("up").alias("id"), "kind")
+        now = cut(pairs.unionByName(raised).distinct())
+        nxt = cut(up.join(up.select(F.col("id").alias("_i"), F.col("up").alias("_u")), F.col("up") == F.col("_i")).select("id", F.col("_u").alias("up")))
+        drop_cut(pairs)
+        drop_cut(up)
+        pairs, up = now, nxt
+    return pairs.select(F.col("id").alias("node_id"), "kind")
+
+
 def rejected_moves(nested: DataFrame, moves: DataFrame) -> DataFrame:
     """node_id, new_parent_id, reason of moves (node_id, new_parent_id) that would make a cycle or lead nowhere."""
     n = nested.select("node_id", "root_id", "lft", "rgt")

@@ -11,8 +11,6 @@ from chronopanel.operators.hierarchy import latest
 from chronopanel.plans.panels import _HAZ, PANEL, cells, observations, rounded, units  # noqa: F401
 from chronopanel.sources.tables import cut, table
 
-COMPONENTS = {"frequency": 1.0, "markov": 2.0, "hazard": 3.0, "semantic": 0.5, "bayes": 1.0, "cooccurrence": 3.0, "coverage": 0.5}
-
 
 def _history(spark, d):
     return X.history_features(cells(spark, d, True)).where("cutoff > 0")
@@ -30,17 +28,6 @@ def features(spark, d):
     return cut(X.all_features(c, P.cell_formats(observations(spark, d)), st, X.item_similarity(st), un))
 
 
-def scored(spark, d, models=X.MODELS):
-    """Scores of all models, written once."""
-    return cut(X.long_scores(X.scores(features(spark, d)), models))
-
-
-def _folds(spark, d, models=X.MODELS):
-    """Scores, folds and cells; each is written once, however often it is read."""
-    c, long = cut(cells(spark, d)), scored(spark, d, models)
-    return long, cut(M.fold_metrics(M.with_truth(long, c), P.resolve_top_k(c))), c
-
-
 _SIMPLE = ["frequency", "last_exam", "window3", "ewma_15", "linear_decay", "freq_recency", "bayes"]
 
 
@@ -62,60 +49,16 @@ def simple_folds(spark, d):
     return M.fold_metrics(M.with_truth(simple_scores(spark, d), c), P.resolve_top_k(c))
 
 
-def _flagship(spark, d):
-    """All models and the ensemble on every past exam: mean and standard error of the ranking quality."""
-    long, folds, c = _folds(spark, d)
-    ens = M.ensemble_scores(long, M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency"))
-    both = folds.unionByName(M.fold_metrics(M.with_truth(ens, c), P.resolve_top_k(c)))
-    return rounded(M.mean_and_se(both, "ndcg", "model"))
-
-
-def _ranking(spark, d):
-    """The forecast: items of the next exam by the ensemble, with rank and category."""
-    long, folds, c = _folds(spark, d, list(COMPONENTS))
-    nxt = c.groupBy("course_id").agg((F.max("t") + 1).alias("cutoff"))
-    long = long.join(nxt, ["course_id", "cutoff"])
-    # Weights at the next exam: all folds count.
-    w = M.ensemble_weights(folds.unionByName(nxt.select("course_id", F.lit("frequency").alias("model"), F.col("cutoff").cast("int").alias("cutoff")), allowMissingColumns=True), "ndcg", COMPONENTS, "frequency")
-    e = M.ensemble_scores(long, w)
-    k = P.resolve_top_k(c)
-    r = e.withColumn("rank", F.row_number().over(P.W.partitionBy("course_id").orderBy(F.desc("score"), "k"))).join(k, "course_id")
-    cat = F.when(F.col("rank") <= F.ceil(F.col("top_k") * 0.34), "very high").when(F.col("rank") <= F.col("top_k"), "high").when(F.col("rank") <= 2 * F.col("top_k"), "medium").otherwise("low")
-    return rounded(r.select("course_id", "k", "cutoff", "score", "rank", cat.alias("category")))
-
-
 def _tuned(spark, d):
     return M.tuned_choice(simple_folds(spark, d), "ndcg", ["window3", "ewma_15", "linear_decay", "bayes"], "frequency")
 
 
-def _select_final(spark, d):
-    """Whether the ensemble is final, or a single model that beats it beyond the t bound."""
-    long, folds, c = _folds(spark, d, list(COMPONENTS))
-    ens = M.fold_metrics(M.with_truth(M.ensemble_scores(long, M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency")), c), P.resolve_top_k(c))
-    x = M.paired(folds.unionByName(ens), "ndcg", "ensemble").withColumn("beats", F.col("mean_diff") > M.t_bound(F.col("n")) * F.col("se"))
-    return rounded(x.select("model", "n", "mean_diff", "se", F.coalesce("beats", F.lit(False)).cast("int").alias("beats")))
-
-
 def _probabilities(spark, d):
     s = simple_scores(spark, d).where("model in ('frequency', 'bayes')")
     t = M.with_truth(s, cells(spark, d))
     return t.select("course_id", "k", "cutoff", "model", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("p"), F.col("rel").alias("y"))
 
 
-def _ablation(spark, d):
-    """Mean quality of ensembles that leave one component out, against the whole one."""
-    long, folds, c = _folds(spark, d, list(COMPONENTS))
-    k = P.resolve_top_k(c)
-    w = cut(M.ensemble_weights(folds, "ndcg", COMPONENTS, "frequency"))
-    sets = {"all": list(COMPONENTS)} | {f"without_{m}": [x for x in COMPONENTS if x != m] for m in COMPONENTS}
-    stage = F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.array(*[F.lit(x) for x in m]).alias("members")) for n, m in sets.items()]))
-    ws = w.select("*", stage.alias("s")).where(F.array_contains("s.members", F.col("model"))).select("course_id", "cutoff", "model", "weight", "s.stage")
-    p = long.withColumn("p", P.average_percentile(F.col("score"), "course_id", "cutoff", "model")).join(ws, ["course_id", "cutoff", "model"])
-    e = p.groupBy("course_id", "k", "cutoff", F.col("stage").alias("model")).agg((F.sum(F.col("weight") * F.col("p")) / F.sum("weight")).alias("score"))
-    m = M.fold_metrics(M.with_truth(e, c), k)
-    return rounded(M.paired(m, "ndcg", "all"))
-
-
 def _leakage(spark, d):
     """Models whose scores at a cutoff change when that exam and all later ones are turned upside down: none should.
 
@@ -137,16 +80,13 @@ def _leakage(spark, d):
 
 
 QUERIES = {
-    "flagship_backtest": _flagship,
     "features_history": lambda s, d: rounded(_history(s, d).select("course_id", "k", "cutoff", "freq_all", "count_log", "last1", "freq_last3", "freq_last5", "ewma_short", "ewma_long", "linear_decay", "soft_ewma", "soft_mean", "sem_ewma", "sem_density", "hist_log", "base_rate", "bayes_mean", "bayes_width")),
     "features_timing": lambda s, d: rounded(X.timing_features(cells(s, d, True)).where("cutoff > 0")),
     "features_types": lambda s, d: rounded(X.type_features(cells(s, d, True), P.cell_formats(observations(s, d))).where("cutoff > 0")),
     "features_cooccurrence": lambda s, d: rounded(X.cooccurrence_feature(cells(s, d, True)).where("cutoff > 0")),
     "features_statics": lambda s, d: rounded(statics(s, d).select("course_id", "k", "hours_share", "marks_weight_share", "breadth")),
     "item_similarity": lambda s, d: rounded(X.item_similarity(statics(s, d))),
-    "features_all": lambda s, d: rounded(features(s, d)),
     "training_rows": lambda s, d: P.training_rows(_history(s, d).select("course_id", "k", "cutoff", "n", "steps")).groupBy("course_id", "target").agg(F.count("*").alias("rows"), F.sum("n").alias("n_sum")),
-    "model_scores": lambda s, d: rounded(scored(s, d)),
     "simple_scores": lambda s, d: rounded(simple_scores(s, d)),
     "percentile_rank": lambda s, d: rounded(P.mappings_once(table(s, d, "mappings")).select("question_id", "k", P.average_percentile(F.col("score"), "k").alias("pct"))),
     "fold_metrics": lambda s, d: rounded(simple_folds(s, d)),
@@ -156,9 +96,6 @@ QUERIES = {
     "running_best": lambda s, d: rounded(M.running_best(simple_folds(s, d).withColumn("precision", F.round("precision", 9)), "precision")),
     "tuned_choice": _tuned,
     "one_se_rule": lambda s, d: rounded(M.select_by_one_se(simple_folds(s, d), "ndcg", _SIMPLE)),
-    "ensemble_ranking": _ranking,
-    "select_final": _select_final,
-    "ablation": _ablation,
     "leakage_audit": _leakage,
     "reliability_bins": lambda s, d: rounded(M.reliability(_probabilities(s, d).withColumn("p", F.round("p", 9)))),
     "brier_log_loss": lambda s, d: rounded(_probabilities(s, d).groupBy("model").agg(M.brier().alias("brier"), M.log_loss().alias("log_loss"), F.count("*").alias("n"))),
@@ -167,8 +104,8 @@ QUERIES = {
 _H = PANEL + """, ew AS (SELECT course_id, k, cutoff, sum(y) AS n, count(*) AS steps, avg(y) AS freq_all, avg(y) FILTER (WHERE t >= cutoff - 1) AS last1, avg(y) FILTER (WHERE t >= cutoff - 3) AS freq_last3,
   avg(y) FILTER (WHERE t >= cutoff - 5) AS freq_last5, sum(y * pow(0.5, (cutoff - 1 - t) / 1.5)) / sum(pow(0.5, (cutoff - 1 - t) / 1.5)) AS ewma_short,
   sum(y * pow(0.5, (cutoff - 1 - t) / 6.0)) / sum(pow(0.5, (cutoff - 1 - t) / 6.0)) AS ewma_long, sum(y * (t + 1)) / sum(t + 1) AS linear_decay,
-  sum(soft * pow(0.5, (cutoff - 1 - t) / 1.5)) / sum(pow(0.5, (cutoff - 1 - t) / 1.5)) AS soft_ewma, avg(soft) AS soft_mean,
-  sum(semantic * pow(0.5, (cutoff - 1 - t) / 1.5)) / sum(pow(0.5, (cutoff - 1 - t) / 1.5)) AS sem_ewma, avg((semantic >= 0.2)::INT) AS sem_density FROM hist GROUP BY ALL),
+  sum(soft * pow(0.5, (cutoff - 1 - t) / 6.0)) / sum(pow(0.5, (cutoff - 1 - t) / 6.0)) AS soft_ewma, avg(soft) AS soft_mean,
+  sum(semantic * pow(0.5, (cutoff - 1 - t) / 6.0)) / sum(pow(0.5, (cutoff - 1 - t) / 6.0)) AS sem_ewma, avg((semantic >= 0.2)::INT) AS sem_density FROM hist GROUP BY ALL),
 bs AS (SELECT course_id, cutoff, sum(n) / sum(steps) AS base_rate FROM ew GROUP BY ALL),
 hf AS (SELECT ew.*, base_rate, (n + 4 * base_rate) / (steps + 4) AS bayes_mean FROM ew JOIN bs USING (course_id, cutoff))
 """
@@ -196,7 +133,7 @@ _TIME = PANEL + """, nx AS (SELECT a.course_id, a.k, a.t AS c, b.t, b.y, lag(b.t
 s AS (SELECT course_id, k, c, max(CASE WHEN y > 0 THEN t END) AS one, max(CASE WHEN y = 0 THEN t END) AS nil, sum(y) AS n, count(*) AS steps, avg(CASE WHEN y > 0 THEN t - po END) AS mg0, stddev_samp(CASE WHEN y > 0 THEN t - po END) AS sd0,
     count(*) FILTER (WHERE py = 0 AND y = 0) AS n00, count(*) FILTER (WHERE py = 0 AND y = 1) AS n01, count(*) FILTER (WHERE py = 1 AND y = 0) AS n10, count(*) FILTER (WHERE py = 1 AND y = 1) AS n11, arg_max(y, t) AS ly,
     regr_slope(y, t) FILTER (WHERE t >= c - 6) AS slope, count(*) FILTER (WHERE t >= c - 6) AS m6 FROM nx GROUP BY ALL),
-p AS (SELECT *, coalesce(avg(mg0) OVER g, greatest(steps / 2, 1)) AS pool, (sum(n01) OVER g + 0.5) / (sum(n00) OVER g + sum(n01) OVER g + 1) AS p0, (sum(n11) OVER g + 0.5) / (sum(n10) OVER g + sum(n11) OVER g + 1) AS p1 FROM s WINDOW g AS (PARTITION BY course_id, c)),
+p AS (SELECT *, coalesce(avg(mg0) OVER g, greatest(steps / 2, 1)) AS pool, (sum(n01) OVER g + 1e-9) / (sum(n00) OVER g + sum(n01) OVER g + 2e-9) AS p0, (sum(n11) OVER g + 1e-9) / (sum(n10) OVER g + sum(n11) OVER g + 2e-9) AS p1 FROM s WINDOW g AS (PARTITION BY course_id, c)),
 f AS (SELECT *, coalesce(mg0, CASE WHEN n > 0 THEN steps / n END, pool) AS mg, coalesce(c - one, c + 1) AS since, CASE WHEN n > 0 THEN least(c - one, 6) ELSE 0 END AS gap FROM p), f2 AS (SELECT *, coalesce(sd0, mg) AS sd FROM f),
 bs AS (SELECT a.course_id, a.c, avg(b.y) AS base FROM (SELECT DISTINCT course_id, t AS c FROM cellsf WHERE t > 0) a JOIN cells b ON a.course_id = b.course_id AND b.t < a.c GROUP BY ALL),
 hz AS (SELECT course_id, c, coalesce(least(t - po, 6), 0) AS gap, sum(y) AS hits, count(*) AS opps FROM nx WHERE t > 0 GROUP BY ALL)
@@ -223,7 +160,7 @@ ORACLES = {
     + f", s AS (SELECT model, avg(ndcg) AS mean, stddev_samp(ndcg) / sqrt(count(*)) AS se FROM fm GROUP BY 1), b AS (SELECT mean, se FROM s ORDER BY mean DESC, model DESC LIMIT 1) SELECT s.model, round(s.mean + 1e-10, 6) AS mean FROM s, b WHERE s.mean >= b.mean - b.se ORDER BY list_position({_SIMPLE}, s.model) LIMIT 1",
     "supporting_signals": _H
     + """, ms AS (SELECT a.course_id, a.k, a.t AS cutoff, coalesce(avg(CASE WHEN b.y > 0 THEN b.share END), 0) AS marks_share FROM cellsf a JOIN (SELECT *, marks / greatest(sum(marks) OVER (PARTITION BY course_id, t), 1e-9) AS share FROM cells) b ON a.course_id = b.course_id AND a.k = b.k AND b.t < a.t GROUP BY ALL),
-    z AS (SELECT hf.*, marks_share, median(sem_ewma) OVER (PARTITION BY course_id, cutoff) AS med FROM hf JOIN ms USING (course_id, k, cutoff)), w AS (SELECT course_id, k, cutoff, list_filter([CASE WHEN freq_all >= 0.5 THEN 'frequency' END, CASE WHEN ewma_short >= 0.5 THEN 'recency' END, CASE WHEN sem_ewma >= med AND sem_ewma > 0 THEN 'semantic' END, CASE WHEN marks_share >= 0.1 THEN 'marks' END], lambda v: v IS NOT NULL) AS l FROM z)
+    z AS (SELECT hf.*, marks_share, median(sem_ewma) OVER (PARTITION BY course_id, cutoff) AS med FROM hf JOIN ms USING (course_id, k, cutoff)), w AS (SELECT course_id, k, cutoff, list_filter([CASE WHEN freq_all >= 0.5 THEN 'frequency' END, CASE WHEN round(ewma_short, 9) >= 0.5 THEN 'recency' END, CASE WHEN sem_ewma >= med AND sem_ewma > 0 THEN 'semantic' END, CASE WHEN round(marks_share, 9) >= 0.1 THEN 'marks' END], lambda v: v IS NOT NULL) AS l FROM z)
     SELECT course_id, k, cutoff, coalesce(array_to_string(l, ', '), '') AS signals, len(l) AS n FROM w""",
     "features_history": _H
     + "SELECT course_id, k, cutoff, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["hierarchies", "panels", "forecasts", "texts", "reporting", "linkage", "modelling", "ingest", "services", "generated"]
+MODULES = ["hierarchies", "panels", "forecasts", "texts", "reporting", "linkage", "modelling", "ingest", "services", "generated", "ensemble"]
 
 
 def collected() -> tuple[dict, dict]:
