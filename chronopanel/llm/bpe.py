@@ -14,7 +14,7 @@ import numpy as np
 
 #: No pair; above any rank.
 NONE = np.int32(2**31 - 1)
-#: Pieces of more bytes are merged one by one over a heap (same result, n log n instead of rounds over the whole row).
+#: Pieces of more bytes are rows of their own, in which all places of the pair of minimum rank merge in one round.
 LONG = 512
 #: Pieces that a worker remembers, and bytes in a matrix.
 REMEMBERED, CELLS = 1_000_000, 1 << 22
@@ -63,7 +63,7 @@ class Encoder:
         left, right, rank = (np.array(x, np.int32) for x in zip(*trio, strict=True))
         self.pairs, self._pair_dict = PairTable(left, right, rank), None
         self.known: dict[bytes, int] = {}
-        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.count = np.empty(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of distinct pieces: ids of all, and where those of each start and end."""
@@ -75,7 +75,7 @@ class Encoder:
             width = int(sizes[order[at]])
             if width > LONG:
                 for i in order[at:]:
-                    out[i] = self._long(pieces[i])
+                    out[i] = self._wide(pieces[i])
                 break
             top = 1 << max(0, (width - 1).bit_length())  # buckets of widths up to a power of two
             end = int(np.searchsorted(sizes[order], min(top, LONG), "right"))
@@ -121,6 +121,35 @@ class Encoder:
             if most < ids.shape[1]:
                 ids, ranks = np.ascontiguousarray(ids[:, :most]), np.ascontiguousarray(ranks[:, :most])
 
+    def _wide(self, piece: bytes) -> np.ndarray:
+        """One long piece: rounds as in a matrix, but from the left all places of the pair merge, of overlapping ones every
+        other, up to the first merge that makes a pair of lower rank, which has to come before the rest."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].copy()
+        ranks = np.full(len(ids), NONE, np.int32)  # the last has no right neighbour
+        ranks[:-1] = self.pairs.get(ids[:-1], ids[1:])
+        while len(ids) > 1 and (best := ranks.min()) != NONE:
+            pos = np.flatnonzero(ranks == best)
+            new = np.ones(len(pos), bool)
+            new[1:] = pos[1:] != pos[:-1] + 1
+            at = np.arange(len(pos))
+            pos = pos[(at - np.maximum.accumulate(np.where(new, at, 0))) % 2 == 0]
+            whole = np.full(len(pos), best, np.int32)
+            before = np.where(np.concatenate([[False], pos[1:] == pos[:-1] + 2]), best, np.where(pos > 0, ids[pos - 1], -1)).astype(np.int32)
+            after = np.where(pos + 2 < len(ids), ids[np.minimum(pos + 2, len(ids) - 1)], -1).astype(np.int32)
+            lower = np.flatnonzero(np.minimum(self.pairs.get(before, whole), self.pairs.get(whole, after)) < best)
+            if len(lower):
+                pos = pos[: lower[0] + 1]
+            ids[pos] = best
+            stay = np.ones(len(ids), bool)
+            stay[pos + 1] = False
+            pos = pos - np.arange(len(pos))  # where the merged tokens come to stand
+            ids, ranks = ids[stay], ranks[stay]
+            for spot in (pos, pos[pos > 0] - 1):
+                spot = spot[spot < len(ids) - 1]
+                ranks[spot] = self.pairs.get(ids[spot], ids[spot + 1])
+            ranks[-1] = NONE
+        return ids
+
     def _long(self, piece: bytes) -> np.ndarray:
         if self._pair_dict is None:
             used = self.pairs.keys >= 0
@@ -149,14 +178,20 @@ class Encoder:
     def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where in the returned ids those of each distinct piece start and end; what was encoded before is remembered."""
         if len(self.known) > REMEMBERED:
-            self.known, self.flat, self.starts = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+            self.known, self.count = {}, 0
         new = [p for p in pieces if p not in self.known]
         if new:
             flat, starts = self.encode(new)
-            base = len(self.starts) - 1
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, starts[1:] + len(self.flat)])
-            self.flat = np.concatenate([self.flat, flat])
+            n, used = self.count, int(self.starts[self.count])
+            self.known.update(zip(new, range(n, n + len(new)), strict=True))
+            # Room doubles, so that what is remembered is copied seldom.
+            if used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat[:used], np.empty(used + 2 * len(flat), np.int32)])
+            if n + len(starts) > len(self.starts):
+                self.starts = np.concatenate([self.starts[: n + 1], np.zeros(n + 2 * len(starts), np.int64)])
+            self.flat[used : used + len(flat)] = flat
+            self.starts[n + 1 : n + len(starts)] = starts[1:] + used
+            self.count = n + len(new)
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         return self.flat, self.starts[at], self.starts[at + 1]
 

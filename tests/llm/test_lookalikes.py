@@ -6,7 +6,7 @@ import pytest
 
 from chronopanel.llm import lookalikes as A
 
-SAME = [("ﬁnd", "find"), ("ｆｉｎｄ", "find"), ("te​st", "test"), ("a b", "a b"), ("état", "état"), ("сat", "cat"), ("Αlpha", "Alpha"), ("cross‑section", "cross-section"), ("﻿x", "x"), ("ＡＢ－１", "AB-1"), ("е́", "é"), ("a\r\nb", "a\nb"), ("so­ft", "soft"), ("Ⅳ", "IV"), ("Å", "Å"), ("µ", "μ")]
+SAME = [("ﬁnd", "find"), ("ｆｉｎｄ", "find"), ("te​st", "test"), ("a b", "a b"), ("état", "état"), ("сat", "cat"), ("Αlpha", "Alpha"), ("cross‑section", "cross-section"), ("﻿x", "x"), ("ＡＢ－１", "AB-1"), ("е́", "é"), ("a\r\nb", "a\nb"), ("so­ft", "soft"), ("Ⅳ", "IV"), ("Å", "Å"), ("µ", "μ"), ("𝐀bc", "Abc"), ("𝟏𝟐", "12"), ("Ꭺbc", "Abc")]
 OTHER = [("a", "A"), ("etat", "état"), ("x2", "x²"), ("CO2", "CO₂"), ("a−b", "a-b"), ("ρ", "p"), ("α", "a"), ("a  b", "a b"), ("a\nb", "a b"), ("word", "ward")]
 
 
@@ -29,6 +29,13 @@ def test_other(form, a, b):
     assert form[a] != form[b]
 
 
+def test_hot_classes_meet_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(A, "SALTED", 3)
+    df = spark.createDataFrame([(i, "find") for i in range(10)] + [(100 + i, "ﬁnd") for i in range(8)], "id long, text string")
+    got = [(r.id_1, r.id_2) for r in A.alike_pairs(df, "id", "text").collect()]
+    assert len(got) == 80 and set(got) == {(a, 100 + b) for a in range(10) for b in range(8)}
+
+
 def test_pairs(spark):
     rows = [(1, "find", 1), (2, "ﬁnd", 1), (3, "find", 1), (4, "find", 2), (5, "Find", 1), (6, None, 1), (7, "", 1), (8, "​", 1), (9, "ﬁnd", None), (10, "f​ind", 1)]
     df = spark.createDataFrame(rows, "id long, text string, form int")

@@ -43,6 +43,23 @@ def test_matrix_equals_heap(pieces):
         assert flat[at[i] : at[i + 1]].tolist() == e._long(p).tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"ab", b"the", b"\xc3\xa9", b"0", b"ing"]), min_size=1, max_size=400))
+def test_long_rows_equal_the_heap(parts):
+    e = bpe.encoder(PATH)
+    piece = b"".join(parts)
+    assert e._wide(piece).tolist() == e._long(piece).tolist()
+
+
+def test_a_piece_of_600_bytes_stays_in_the_rows(monkeypatch):
+    e = bpe.encoder(PATH)
+    monkeypatch.setattr(e, "_long", lambda _: 1 / 0)
+    for piece in (b"abcde" * 120, b"aaa" * 250, "é".encode() * 40_000):
+        flat, at = e.encode([piece, b"x"])
+        assert flat[at[0] : at[1]].tolist() == ids(piece.decode())
+    assert e._wide(b"a").tolist() == ids("a")
+
+
 def test_packing_holds_everything_once(spark):
     rng = random.Random(2)
     sizes = [rng.choice([1, 3, 250, 700, 1024, 1500, 2048, rng.randint(1, 2048)]) for _ in range(3000)] + [0, 0, 5000, 4096, 2049]
