@@ -172,3 +172,15 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = packed.where(F.col("container_id").isNotNull())
     per = full.groupBy("tier", "container_id", F.floor(F.col("start") / F.col("tier")).alias("_w")).agg(F.sum("n_tokens").alias("t"))
     return per.groupBy("tier").agg(F.count("*").alias("windows"), F.sum("t").alias("tokens"), F.round(F.avg(F.col("t") / F.col("tier")), 6).alias("fill"))
+
+
+def audit(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """One row: items, pieces whose place is null though they have tokens, pieces that cross a window or overlap the one
+    before them, and containers that hold more than the capacity: all but the first are to be 0."""
+    w = W.partitionBy("container_id").orderBy("start")
+    x = packed.withColumn("_end", F.when(F.col("container_id").isNotNull(), F.lag(F.col("start") + F.col("n_tokens")).over(w)))
+    size = packed.where(F.col("container_id").isNotNull()).groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count(F.when(F.col("t") > capacity, 1)).alias("overfull"))
+    crossing = F.floor(F.col("start") / F.col("tier")) != F.floor((F.col("start") + F.col("n_tokens") - 1) / F.col("tier"))
+    bad = (F.col("_end") > F.col("start")) | crossing
+    one = x.agg(F.count_distinct(key).alias("items"), F.count(F.when(F.col("container_id").isNull() & (F.col("n_tokens") > 0), 1)).alias("lost"), F.count(F.when(F.col("container_id").isNotNull() & bad, 1)).alias("misplaced"))
+    return one.join(F.broadcast(size))  # a row either side

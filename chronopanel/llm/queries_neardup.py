@@ -32,4 +32,10 @@ e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM q WHERE len(w) >= {WORDS}),
 p AS (SELECT a.id AS id_1, b.id AS id_2, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared FROM o a JOIN o b ON a.word = b.word AND a.nth = b.nth AND a.id < b.id WHERE least(a.n, b.n) >= {OVERLAP} * greatest(a.n, b.n) GROUP BY ALL),
 f AS (SELECT id_1, id_2, shared / (total - shared) AS overlap FROM p WHERE shared >= {OVERLAP} * (total - shared))
 """
-ORACLES: dict[str, str] = {"p3_found": _EXACT + "SELECT id_1 AS question_id_1, id_2 AS question_id_2 FROM f"}
+#: rep: the least id of those with the same bag of words.
+_BAGS = _EXACT + ", b AS (SELECT id, string_agg(word, ' ' ORDER BY word) AS bag FROM e GROUP BY 1), r AS (SELECT id, min(id) OVER (PARTITION BY bag) AS rep FROM b) "
+ORACLES: dict[str, str] = {
+    "p3_found": _EXACT + "SELECT id_1 AS question_id_1, id_2 AS question_id_2 FROM f",
+    "p3_links": _BAGS + "SELECT x.id AS rep_1, y.id AS rep_2, round(overlap, 6) AS overlap FROM f JOIN r x ON x.id = id_1 AND x.id = x.rep JOIN r y ON y.id = id_2 AND y.id = y.rep WHERE x.rep <> y.rep",
+    "p3_classes": _BAGS + "SELECT id AS question_id, rep AS class_id, count(*) AS n_links FROM (SELECT id_1 AS id FROM f UNION ALL SELECT id_2 FROM f) JOIN r USING (id) GROUP BY ALL",
+}

@@ -31,4 +31,12 @@ def _forms(spark, d):
 
 
 QUERIES = {"p5_found": _found, "p5_forms": _forms}
-ORACLES: dict[str, str] = {}
+_TEXTS = f"""
+WITH n AS (SELECT node_id AS id, title AS t, syllabus_version_id AS scope FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY loaded_at DESC) AS r FROM tree WHERE node_id IS NOT NULL) WHERE r = 1),
+p AS (SELECT DISTINCT page_id AS id, text AS t FROM document_page WHERE page_id IS NOT NULL AND text <> ''),
+x AS (SELECT 'title' AS field, id, scope, t, {A.form_sql("t")} AS form FROM n UNION ALL SELECT 'page', id, 0, t, {A.form_sql("t")} FROM p)
+"""
+ORACLES: dict[str, str] = {
+    "p5_forms": _TEXTS + "SELECT field, id, form FROM x",
+    "p5_found": _TEXTS + "SELECT a.field, a.id AS id_1, b.id AS id_2 FROM x a JOIN x b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.id < b.id WHERE a.t <> b.t",
+}
