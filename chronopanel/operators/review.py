@@ -54,10 +54,10 @@ def mapping_status(score: Column, clear: float = 0.34, probable: float = 0.22, o
 
 
 def match_confidence(score: Column, clear: float = 0.34, probable: float = 0.22, outside: float = 0.12) -> Column:
-    """Piecewise linear: 0.25 at outside, 0.5 at probable, 0.75 at clear, and 1 from 0.3 above it."""
+    """Piecewise linear: 0.25 at outside, 0.5 at probable, 0.75 at clear, and 1 from 0.3 above it; null without a score."""
     up = lambda a, b, x, y: x + (score - a) / (b - a) * (y - x)
     s = F.when(score <= outside, F.greatest(F.lit(0.0), up(0.0, outside, 0.0, 0.25))).when(score <= probable, up(outside, probable, 0.25, 0.5)).when(score <= clear, up(probable, clear, 0.5, 0.75)).otherwise(0.75 + 0.25 * (score - clear) / 0.3)
-    return F.least(s, F.lit(1.0))
+    return F.when(score.isNotNull(), F.least(s, F.lit(1.0)))
 
 
 def counts_for_prediction(status: Column, method: Column, score: Column, strictness: float = 0.5, clear: float = 0.34, probable: float = 0.22) -> Column:

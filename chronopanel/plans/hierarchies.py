@@ -43,6 +43,12 @@ out AS (
 """
 
 ORACLES = {
+    "p2_hierarchy": _CHAIN
+    + """, walk AS (SELECT u.node_id, string_agg(coalesce(l.title, ''), ' > ' ORDER BY u.n DESC) AS path, list(u.at ORDER BY u.n DESC) AS ids FROM up u JOIN ends USING (node_id) JOIN latest l ON l.node_id = u.at GROUP BY 1),
+    below AS (SELECT u.at AS node_id, count(*) AS size FROM up u JOIN ends USING (node_id) GROUP BY 1),
+    pre AS (SELECT w.node_id, path, row_number() OVER (PARTITION BY e.root ORDER BY ids) AS lft FROM walk w JOIN ends e USING (node_id))
+    SELECT l.node_id, l.parent_id, l.title, o.stored AS stored_depth, pre.path, o.depth::INT AS depth, o.root AS root_id, pre.lft, pre.lft + b.size - 1 AS rgt, CASE WHEN pre.lft IS NOT NULL THEN b.size - 1 END AS n_descendants, o.issue
+    FROM latest l JOIN out o USING (node_id) LEFT JOIN pre USING (node_id) LEFT JOIN below b USING (node_id)""",
     "p2_found": _CHAIN + "SELECT node_id, issue FROM out WHERE issue IS NOT NULL",
     "p2_descendants": _CHAIN
     + """SELECT u.at AS ancestor_id, u.node_id, (u.n - 1)::INT AS distance FROM up u JOIN ends e USING (node_id) WHERE u.n > 1""",

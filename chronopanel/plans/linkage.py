@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronopanel.functions import text as T
+from chronopanel.operators import alignment as A
 from chronopanel.operators import panel as P
 from chronopanel.operators import recurrence as R
 from chronopanel.operators import trees
 from chronopanel.operators import vectors as V
+from chronopanel.operators.hierarchy import descendant_pairs, hierarchy
 from chronopanel.plans.panels import PANEL, observations, rounded
 from chronopanel.plans.reporting import _LAT, facts, questions
 from chronopanel.plans.texts import _KEPT, _ORDERED
-from chronopanel.sources.tables import table
+from chronopanel.sources.tables import cut, table
 
 
 def node_terms(spark, d):
@@ -42,6 +44,23 @@ def _aligned(spark, d):
     return V.align(q, n)
 
 
+def aligner(spark, d):
+    """The questions of each course, with their contexts, against the nodes of its syllabuses."""
+    course = P.exams_once(table(spark, d, "exams")).select("exam_id", "course_id", "t")
+    q = questions(spark, d, "exam_id", "text", "parent_id").where("text is not null")
+    q = q.join(trees.context_texts(q.select("question_id", "text", "parent_id")), "question_id").join(course, "exam_id")
+    lab = F.coalesce(F.col("context"), F.lit("")).rlike(A.LAB_CUE)
+    numbers = F.regexp_count("context", F.lit(r"\d\s*(?:[kmg]?(?:pa|n|j|w|v|a|hz|m|kg|s)|mm|cm|ohm|bar|rpm|litres|min|mol)\b"))
+    both = q.select("course_id", "question_id", "t", lab.alias("lab_cue"), numbers.alias("numbers"), T.content_terms(F.col("text"), False).alias("own"), T.content_terms(F.col("context"), False).alias("around"))
+    terms = both.select("course_id", "question_id", "t", "lab_cue", "numbers", "own", F.explode(F.array_union("own", "around")).alias("term"))
+    terms = terms.select("course_id", "question_id", "t", "lab_cue", "numbers", "term", F.array_contains("own", F.col("term")).cast("int").alias("own"), F.lit(1).alias("around")).distinct()
+    f = facts(spark, d)
+    n = f.where("course_id is not null").select("node_id", "course_id", F.coalesce(F.array_contains("kinds", "lab"), F.lit(False)).alias("is_lab")).join(trees.node_documents(f), "node_id")
+    n = n.select("course_id", "node_id", "is_lab", F.explode(T.content_terms(F.col("document"), False)).alias("term"), F.lit(1).alias("tf"))
+    pairs = cut(descendant_pairs(hierarchy(table(spark, d, "tree"), paths=False)).select("ancestor_id", "node_id"))
+    return A.Aligner(terms, n, pairs)
+
+
 def _links(spark, d):
     return R.recurrence_links(_scoped(spark, d), ["course_id"])
 
@@ -85,6 +104,8 @@ QUERIES = {
     "tfidf_nodes": lambda s, d: rounded(V.tfidf(node_terms(s, d), "node_id")),
     "char_vectors": lambda s, d: rounded(V.tfidf(V.term_counts(facts(s, d).where("title is not null"), "node_id", V.char_ngrams(F.col("title"))), "node_id").groupBy("node_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))),
     "align_questions": lambda s, d: rounded(_aligned(s, d)),
+    "align_status": lambda s, d: rounded(aligner(s, d).run(feedback=False)),
+    "align_causal": lambda s, d: rounded(aligner(s, d).run()),
     "unknown_terms": lambda s, d: rounded(V.unknown_terms(question_terms(s, d), node_terms(s, d))),
     "bm25_search": _search,
     "vector_search": lambda s, d: rounded(_vectors(s, d)),

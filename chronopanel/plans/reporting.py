@@ -136,7 +136,7 @@ _LAT = "lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id
 _Q = "WITH q AS (SELECT DISTINCT question_id, exam_id, text, marks, format, or_group, parent_id, is_optional, is_leaf FROM questions WHERE question_id IS NOT NULL), e AS (SELECT DISTINCT course_id, t, exam_id, ord, label, total_marks, year, calendar, source_kind FROM exams), m AS (SELECT DISTINCT question_id, k, node_id, rank, weight, score, status, method FROM mappings) "
 _TOP = ", p AS (SELECT parent_id AS question_id, count(*) AS parts FROM q WHERE parent_id IS NOT NULL GROUP BY 1), st AS (SELECT exam_id, count(*) AS questions, count(DISTINCT coalesce(or_group, 'q' || question_id)) AS slots, median(coalesce(parts, 0)) AS parts_median, median(marks) AS marks_median, count(*) FILTER (WHERE is_optional) AS optional FROM (SELECT * FROM q WHERE parent_id IS NULL) LEFT JOIN p USING (question_id) GROUP BY 1) "
 _MISS = ", yy AS (SELECT DISTINCT course_id, calendar, year FROM e WHERE year IS NOT NULL AND calendar IS NOT NULL), miss AS (SELECT s.course_id, s.calendar, s.year FROM (SELECT course_id, calendar, unnest(generate_series(min(year), max(year)))::INT AS year FROM yy GROUP BY course_id, calendar) s ANTI JOIN yy USING (course_id, calendar, year)) "
-_CONF = "CASE WHEN score <= 0.12::DOUBLE THEN greatest(0, score / 0.12::DOUBLE * 0.25) WHEN score <= 0.22::DOUBLE THEN 0.25 + (score - 0.12::DOUBLE) / 0.1::DOUBLE * 0.25 WHEN score <= 0.34::DOUBLE THEN 0.5 + (score - 0.22::DOUBLE) / 0.12::DOUBLE * 0.25 ELSE least(0.75 + 0.25 * (score - 0.34::DOUBLE) / 0.3::DOUBLE, 1) END"
+_CONF = "CASE WHEN score IS NULL THEN NULL WHEN score <= 0.12::DOUBLE THEN greatest(0, score / 0.12::DOUBLE * 0.25) WHEN score <= 0.22::DOUBLE THEN 0.25 + (score - 0.12::DOUBLE) / 0.1::DOUBLE * 0.25 WHEN score <= 0.34::DOUBLE THEN 0.5 + (score - 0.22::DOUBLE) / 0.12::DOUBLE * 0.25 ELSE least(0.75 + 0.25 * (score - 0.34::DOUBLE) / 0.3::DOUBLE, 1) END"
 ORACLES = {
     "tree_roles": _CHAIN.replace("depth, title FROM", "depth, title, excluded FROM")
     + """, kids AS (SELECT DISTINCT parent_id AS node_id FROM latest WHERE parent_id IS NOT NULL),
@@ -146,6 +146,7 @@ ORACLES = {
     "tree_preorder": _CHAIN + ", d AS (SELECT u.at AS node_id, count(*) - 1 AS n FROM up u JOIN ends e USING (node_id) GROUP BY 1) SELECT e.node_id, e.root AS root_id, e.depth::INT AS depth, d.n AS n_descendants FROM ends e JOIN d USING (node_id)",
     "node_documents": f"WITH {_LAT} SELECT a.node_id, concat_ws(' ', a.title, a.title, coalesce(array_to_string(a.concepts, ' '), ''), p.title) AS document FROM lat a LEFT JOIN lat p ON a.parent_id = p.node_id",
     "kind_prior": _CHAIN.replace("depth, title FROM", "depth, title, kinds FROM") + "SELECT DISTINCT node_id, kind FROM (SELECT node_id, unnest(kinds) AS kind FROM latest UNION ALL SELECT u.at AS node_id, unnest(l.kinds) AS kind FROM up u JOIN ends USING (node_id) JOIN latest l ON l.node_id = u.node_id WHERE u.n > 1)",
+    "rejected_moves": _CHAIN + "SELECT l.parent_id AS node_id, min(l.node_id) AS new_parent_id, 'cycle' AS reason FROM latest l JOIN ends e ON e.node_id = l.parent_id WHERE l.parent_id <> l.node_id GROUP BY 1",
     "context_texts": "WITH RECURSIVE q AS (SELECT DISTINCT question_id, text, parent_id, nullif(array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:60], ' '), '') AS stem FROM questions WHERE question_id IS NOT NULL), c AS (SELECT question_id, parent_id, text, NULL::VARCHAR AS above, 0 AS n FROM q UNION ALL SELECT c.question_id, p.parent_id, c.text, nullif(concat_ws(' ', p.stem, c.above), ''), n + 1 FROM c JOIN q p ON c.parent_id = p.question_id WHERE n < 200) SELECT question_id, concat_ws(' ', above, trim(text)) AS context FROM c QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC) = 1",
     "node_stats": PANEL
     + """, pe AS (SELECT course_id, k, t, max((rank = 1)::INT) AS main FROM obs GROUP BY ALL), mi AS (SELECT course_id, k, count(*) FILTER (WHERE main = 0) AS minor_exams FROM pe GROUP BY ALL)

@@ -28,6 +28,7 @@ def test_templates_and_papers(spark):
     r = df.select(G.numeric_template(F.col("x")).alias("t"), G.proper_nouns(F.col("x")).alias("n")).collect()
     assert r[0].t == "At [value in kW] the Alpha pump gives [value] units near the Beta plant." and r[0].n == ["Alpha", "Beta"] and r[1].t is None
     rank = spark.createDataFrame([(1, k, 1.0 - k / 50) for k in range(30)], "course_id long, k long, score double")
-    p = G.invented_papers(rank, 2, 6, 2).collect()
+    units = rank.select("course_id", "k", (F.col("k") % 5).alias("unit"))
+    p = G.invented_papers(rank, units, 2, 6, 2).collect()
     assert [x.k for x in sorted((x for x in p if x.paper == 1), key=lambda x: x.pos)] == [0, 1, 2, 3, 4, 5] and len(p) == 12
-    assert sorted(map(tuple, p)) == sorted(map(tuple, G.invented_papers(rank, 2, 6, 2).collect()))
+    assert sorted(map(tuple, p)) == sorted(map(tuple, G.invented_papers(rank, units, 2, 6, 2).collect()))

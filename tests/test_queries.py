@@ -66,7 +66,7 @@ def test_contract(spark):
     assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["parse_papers", "parse_syllabus", "equations", "split_sequential", "leakage_audit", "rejected_moves", "fuzzy_titles", "cooccurrence_tests", "pooled_hmm", "calibrate_isotonic"])
+@pytest.mark.parametrize("name", ["parse_papers", "parse_syllabus", "equations", "split_sequential", "leakage_audit", "fuzzy_titles", "cooccurrence_tests", "pooled_hmm", "calibrate_isotonic", "ensemble_ranking", "align_causal"])
 def test_runs(spark, name):
     from chronopanel.plans.registry import collected
 
