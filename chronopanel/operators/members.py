@@ -94,7 +94,7 @@ def coverage_scores(cells: DataFrame, units: DataFrame, statics: DataFrame) -> D
     a single unit and without weights has none."""
     per = cells.select("course_id", "k", "t", "y").join(units, ["course_id", "k"]).groupBy("course_id", F.col("unit").alias("k"), "t").agg(F.max("y").alias("y"))
     alone = per.select("course_id", "k", F.lit(None).cast("long").alias("unit")).distinct()
-    rate = L.fit_recurrence(L.weighted_counts(per, alone), quantiles=False).select("course_id", F.col("k").alias("unit"), "cutoff", "mean")
+    rate = L.fit_recurrence(L.weighted_counts(per, alone), ()).select("course_id", F.col("k").alias("unit"), "cutoff", "mean")
     s = syllabus_share(statics).join(units, ["course_id", "k"])
     w = W.partitionBy("course_id", "unit")
     s = s.withColumn("within", F.col("share") / F.greatest(F.avg("share").over(w), F.lit(1e-12)))

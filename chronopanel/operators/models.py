@@ -48,13 +48,13 @@ def posterior(h: np.ndarray, n: float, unit: np.ndarray | None) -> tuple[np.ndar
     return np.maximum(mu * kappa + h, 1e-6), np.maximum((1 - mu) * kappa + (n - h), 1e-6), mu, kappa
 
 
-def fit_recurrence(counts: DataFrame, quantiles: bool = True) -> DataFrame:
+def fit_recurrence(counts: DataFrame, quantiles: tuple[str, ...] = ("inf",)) -> DataFrame:
     """course_id, k, cutoff, variant, mean, low, high, kappa, variance_ratio.
 
     counts: course_id, k, cutoff, variant, unit (null: none), h (weighted appearances), n (weighted exams). The course's rate
     is drawn to PRIOR_RATE as by two exams, a unit's to the course's, an item's to its unit's by kappa, the most likely
-    strength. low and high bound 80 % of the posterior (without quantiles by its standard deviation); variance_ratio
-    compares its variance with the prior's, at most 1.
+    strength. low and high bound 80 % of the posterior, exactly for the variants of quantiles, else by its standard
+    deviation; variance_ratio compares its variance with the prior's, at most 1.
     """
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -64,7 +64,7 @@ def fit_recurrence(counts: DataFrame, quantiles: bool = True) -> DataFrame:
             a, b, mu, kappa = posterior(h, n, None if x["unit"].isna().all() else x["unit"].to_numpy())
             mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
             reach = 1.2816 * np.sqrt(var)
-            low, high = (beta_quantiles((1 - CHANCE) / 2, a, b), beta_quantiles((1 + CHANCE) / 2, a, b)) if quantiles else (np.maximum(mean - reach, 0), np.minimum(mean + reach, 1))
+            low, high = (beta_quantiles((1 - CHANCE) / 2, a, b), beta_quantiles((1 + CHANCE) / 2, a, b)) if v in quantiles else (np.maximum(mean - reach, 0), np.minimum(mean + reach, 1))
             ratio = np.clip(var / np.maximum(mu * (1 - mu) / (kappa + 1), 1e-12), 0, 1)
             out.append(pd.DataFrame({"course_id": x["course_id"], "k": x["k"], "cutoff": x["cutoff"], "variant": v, "mean": mean, "low": low, "high": high, "kappa": kappa, "variance_ratio": ratio}))
         return pd.concat(out)

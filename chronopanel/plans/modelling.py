@@ -22,7 +22,7 @@ def _calibrated(spark, d, method):
 
 QUERIES = {
     "fit_recurrence": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True), units(s, d)))),
-    "fit_recurrence_decay": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True), units(s, d), 3.0))),
+    "fit_recurrence_decay": lambda s, d: rounded(L.fit_recurrence(L.weighted_counts(cells(s, d, True), units(s, d), 3.0), ("3",))),
     "weighted_counts": lambda s, d: rounded(L.weighted_counts(cells(s, d, True), units(s, d), 3.0)),
     "bayes_fixed_kappa": lambda s, d: rounded(_history(s, d).select("course_id", "k", "cutoff", "bayes_mean")),
     "pooled_hmm": lambda s, d: rounded(L.pooled_hmm(cells(s, d, True))),
