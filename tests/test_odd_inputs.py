@@ -35,7 +35,7 @@ def test_empty(tables):
     e, q, m = (x.where("false") for x in tables)
     obs = P.observations(e, q, m)
     c = P.build_cells(e, obs, True)
-    assert [x.count() for x in (obs, c, S.unit_coverage(obs), S.format_forecast(obs), S.cooccurrence(c), S.timeline(P.exams_once(e)))] == [0] * 6
+    assert [x.count() for x in (obs, c, S.unit_coverage(obs, obs.select("course_id", "k", F.col("k").alias("unit")).distinct()), S.format_forecast(obs), S.cooccurrence(c), S.timeline(P.exams_once(e)))] == [0] * 6
 
 
 def test_empty_links_and_search(spark):
@@ -62,3 +62,17 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, None), (3, "")], "id long, text string")
     x = df.select("id", T.word_count(F.col("text")).alias("n"), F.size(T.content_terms(F.col("text"))).alias("c"), T.text_flags(F.col("text")).alias("f")).collect()
     assert x[0].n == 240_000 and x[0].c == 2 and "long" in x[0].f and x[1].n is None and x[2].f == ["empty"]
+
+
+def test_members_without_rows(spark):
+    """No course, no exam, no question: no rows, and no crash."""
+    from chronopanel.operators import alignment as A
+    from chronopanel.operators import members as B
+
+    c = spark.createDataFrame([], "course_id long, t int, k long, y long, marks double, soft double, n_questions long, exact_repeat long, para_repeat long, semantic double, map_conf_sum double, parse_conf_sum double, marks_known_sum long, optional_sum long")
+    u = spark.createDataFrame([], "course_id long, k long, unit long")
+    post = B.posteriors(c, u)
+    assert post.count() == 0 and B.generic_features(c, u, post).count() == 0
+    q = spark.createDataFrame([], "course_id long, question_id long, t int, term string, own int, around int, lab_cue boolean, numbers int")
+    n = spark.createDataFrame([], "course_id long, node_id long, is_lab boolean, term string, tf int")
+    assert A.Aligner(q, n, spark.createDataFrame([], "ancestor_id long, node_id long")).run().count() == 0
