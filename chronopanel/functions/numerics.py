@@ -65,27 +65,29 @@ def beta_cdfs(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = 1 + num / c
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             out = out * c * d
-        if np.all(np.abs(1 - c * d) < 1e-10):
+        if np.all(np.abs(1 - c * d) < 1e-9):
             break
     p = np.clip(front * out, 0.0, 1.0)
     return np.where(swap, 1 - p, p)
 
 
-def beta_quantiles(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """beta_quantile() of many at once: Newton steps, halved intervals where they lead out."""
-    lo, hi = np.zeros_like(a), np.ones_like(a)
-    x = a / (a + b)
+def beta_quantiles(p: float, a: np.ndarray, b: np.ndarray, tol: float = 1e-7) -> np.ndarray:
+    """beta_quantile() of many at once: Newton steps, halved intervals where they lead out; what has settled stays."""
+    lo, hi, x = np.zeros(len(a)), np.ones(len(a)), a / (a + b)
     norm = log_gamma(a + b) - log_gamma(a) - log_gamma(b)
-    for _ in range(40):
-        off = beta_cdfs(x, a, b) - p
-        lo, hi = np.where(off < 0, x, lo), np.where(off < 0, hi, x)
-        slope = np.exp(np.clip(norm + (a - 1) * np.log(np.maximum(x, 1e-300)) + (b - 1) * np.log(np.maximum(1 - x, 1e-300)), -700, 700))
-        new = x - off / np.maximum(slope, 1e-300)
-        new = np.where((new > lo) & (new < hi), new, (lo + hi) / 2)
-        if np.all(np.abs(new - x) < 1e-9):
+    on = np.arange(len(a))
+    for _ in range(50):
+        off = beta_cdfs(x[on], a[on], b[on]) - p
+        lo[on], hi[on] = np.where(off < 0, x[on], lo[on]), np.where(off < 0, hi[on], x[on])
+        slope = np.exp(np.clip(norm[on] + (a[on] - 1) * np.log(np.maximum(x[on], 1e-300)) + (b[on] - 1) * np.log(np.maximum(1 - x[on], 1e-300)), -700, 700))
+        new = x[on] - off / np.maximum(slope, 1e-300)
+        new = np.where((new > lo[on]) & (new < hi[on]), new, (lo[on] + hi[on]) / 2)
+        moved = np.abs(new - x[on]) >= tol
+        x[on] = new
+        on = on[moved]
+        if not len(on):
             break
-        x = new
-    return new
+    return x
 
 
 def golden_section(f: Callable[[float], float], lo: float, hi: float, tol: float = 1e-4) -> float:

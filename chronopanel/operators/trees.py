@@ -76,16 +76,16 @@ def kinds_below(facts: DataFrame) -> DataFrame:
     takes log2(d) rounds over distinct pairs, without all pairs of ancestors and descendants."""
     up = facts.where("parent_id is not null").join(facts.select(F.col("node_id").alias("_p")), F.col("parent_id") == F.col("_p"), "left_semi").select(F.col("node_id").alias("id"), F.col("parent_id").alias("up"))
     up, pairs = cut(up), cut(facts.select(F.col("node_id").alias("id"), F.explode("kinds").alias("kind")).distinct())
-    rounds = max(1, facts.count().bit_length())
-    for _ in range(rounds):
-        if not up.limit(1).count():
-            break
+    size = pairs.count()
+    while up.limit(1).count():
         raised = pairs.join(up, "id").select(F.col("up").alias("id"), "kind")
         now = cut(pairs.unionByName(raised).distinct())
         nxt = cut(up.join(up.select(F.col("id").alias("_i"), F.col("up").alias("_u")), F.col("up") == F.col("_i")).select("id", F.col("_u").alias("up")))
         drop_cut(pairs)
         drop_cut(up)
-        pairs, up = now, nxt
+        pairs, up, before, size = now, nxt, size, now.count()
+        if size == before:  # nothing rose: nothing will
+            break
     return pairs.select(F.col("id").alias("node_id"), "kind")
 
 
