@@ -37,5 +37,7 @@ _BAGS = _EXACT + ", b AS (SELECT id, string_agg(word, ' ' ORDER BY word) AS bag
 ORACLES: dict[str, str] = {
     "p3_found": _EXACT + "SELECT id_1 AS question_id_1, id_2 AS question_id_2 FROM f",
     "p3_links": _BAGS + "SELECT x.id AS rep_1, y.id AS rep_2, round(overlap, 6) AS overlap FROM f JOIN r x ON x.id = id_1 AND x.id = x.rep JOIN r y ON y.id = id_2 AND y.id = y.rep WHERE x.rep <> y.rep",
+    "p3_groups": _EXACT.replace("WITH q", "WITH RECURSIVE q", 1)
+    + ", g AS (SELECT id_1 AS a, id_2 AS b FROM f UNION SELECT id_2, id_1 FROM f), c AS (SELECT a AS id, b FROM g UNION SELECT c.id, g.b FROM c JOIN g ON c.b = g.a) SELECT id AS question_id, least(id, min(b)) AS group_id FROM c GROUP BY id",
     "p3_classes": _BAGS + "SELECT id AS question_id, rep AS class_id, count(*) AS n_links FROM (SELECT id_1 AS id FROM f UNION ALL SELECT id_2 FROM f) JOIN r USING (id) GROUP BY ALL",
 }
