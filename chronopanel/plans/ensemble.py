@@ -12,6 +12,7 @@ from chronopanel.operators import metrics as M
 from chronopanel.operators import models as L
 from chronopanel.operators import panel as P
 from chronopanel.operators import trees as T
+from chronopanel.plans.forecasts import ORACLES as _FORECASTS
 from chronopanel.plans.forecasts import statics
 from chronopanel.plans.panels import PANEL, UNITS, cells, exams, observations, rounded, units
 from chronopanel.sources.tables import cut, table
@@ -213,7 +214,9 @@ QUERIES = {
     "input_quality": lambda s, d: rounded(B.input_quality(cells(s, d, True), P.cell_formats(observations(s, d)), P.exams_once(exams(s, d)), statics(s, d))),
     "unit_recency": lambda s, d: rounded(X.unit_recency(cells(s, d, True), units(s, d)).where("cutoff > 0")),
 }
+_STATICS = _FORECASTS["features_statics"]
 ORACLES = {
+    "syllabus_share": f"SELECT course_id, k, round(CASE WHEN max(hours_share) OVER w > 0 THEN hours_share WHEN max(marks_weight_share) OVER w > 0 THEN marks_weight_share WHEN max(breadth) OVER w > min(breadth) OVER w THEN breadth + 0.5 ELSE 1 END, 6) AS share, CASE WHEN max(hours_share) OVER w > 0 THEN 'hours' WHEN max(marks_weight_share) OVER w > 0 THEN 'marks' WHEN max(breadth) OVER w > min(breadth) OVER w THEN 'breadth' ELSE 'uniform' END AS source FROM ({_STATICS}) WINDOW w AS (PARTITION BY course_id)",
     "unit_recency": UNITS
     + ", u AS (SELECT course_id, unit, t, max(y) AS y FROM cells JOIN un USING (course_id, k) GROUP BY ALL), g AS (SELECT DISTINCT course_id, unit, t AS cutoff FROM cellsf JOIN un USING (course_id, k) WHERE t > 0) SELECT g.course_id, g.unit, g.cutoff, round(sum(y * pow(0.5, (cutoff - 1 - t) / 1.5)) / sum(pow(0.5, (cutoff - 1 - t) / 1.5)) + 1e-10, 6) AS unit_ewma FROM g JOIN u ON u.course_id = g.course_id AND u.unit = g.unit AND u.t < g.cutoff GROUP BY ALL",
     "format_prior": UNITS
