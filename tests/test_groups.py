@@ -67,3 +67,9 @@ def test_cooccurrence_is_one_pass_without_pairs(spark):
     # Cutoff 3: item 0 came last, once before with a successor (item 1), so n = 1: (1 + 2 base) / 3 and 2 base / 3 over base.
     assert math.isclose(got[1, 3], math.log((1 / 3 + 1 / 3 * 2 / 3) / (1 / 3 + 1e-6))) and math.isclose(got[0, 3], math.log((2 / 3 * 2 / 3) / (2 / 3 + 1e-6)))
     assert got[0, 4] == 0
+
+
+def test_strings_of_joined_frames_go_back_to_spark(spark):
+    df = spark.createDataFrame([(g, i) for g in range(3) for i in range(2)], "g long, i long")
+    fit = lambda x, of: pd.concat([pd.DataFrame({"what": pd.array([w] * 2, dtype="string[pyarrow]")}) for w in ("a", "b")])
+    assert {r.what for r in L.in_groups(df, ("g",), fit, "what string").collect()} == {"a", "b"}
