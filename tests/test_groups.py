@@ -73,3 +73,10 @@ def test_strings_of_joined_frames_go_back_to_spark(spark):
     df = spark.createDataFrame([(g, i) for g in range(3) for i in range(2)], "g long, i long")
     fit = lambda x, of: pd.concat([pd.DataFrame({"what": pd.array([w] * 2, dtype="string[pyarrow]")}) for w in ("a", "b")])
     assert {r.what for r in L.in_groups(df, ("g",), fit, "what string").collect()} == {"a", "b"}
+
+
+def test_batches_without_a_result_row_give_none(spark):
+    df = spark.createDataFrame([(g, i) for g in range(3) for i in range(2)], "g long, i long")
+    kept = lambda x, of: x.assign(what="a")[["g", "what"]][x["g"] == 1] if (x["g"] == 1).any() else pd.DataFrame({"g": [], "what": []}, dtype=float)
+    assert L.in_groups(df.repartition(3), ("g",), kept, "g long, what string").count() == 2
+    assert L.in_groups(df.where("g > 1"), ("g",), lambda x, of: pd.DataFrame({"g": [], "what": []}, dtype=float), "g long, what string").collect() == []
