@@ -34,3 +34,12 @@ def test_walk_is_the_data_frames_steps(spark):
     stage = shares.where("member <> 'general'").groupBy("course_id", "k", "cutoff").agg((F.sum("share") / F.sum("weight")).alias("score")).withColumn("model", F.lit("m"))
     left = M.fold_metrics(M.with_truth(stage.withColumn("score", F.round("score", 12)), past.withColumn("marks", F.lit(0.0))), top)
     assert near(key(x.where("what = 'ablation' and model = 'without_general'"), "course_id", "cutoff", "a"), key(left, "course_id", "cutoff", "ndcg"))
+
+
+def test_courses_without_folds_give_no_rows(spark):
+    """No exam holds an item: there is nothing to measure, and the walk of select_final ends without a row."""
+    scores = spark.createDataFrame([(c, k, t, "recency", 0.5) for c in (1, 2) for t in (1, 2) for k in (1, 2)], "course_id long, k long, cutoff int, model string, score double")
+    past = scores.select("course_id", "k", (F.col("cutoff") - 1).alias("t"), F.lit(0).cast("long").alias("y"))
+    ratio, top = scores.select("course_id", "k", "cutoff", F.lit(1.0).alias("variance_ratio")), spark.createDataFrame([], "course_id long, top_k long")
+    exams, quality = past.select("course_id", "t", F.lit(2000).alias("year")).distinct(), scores.select("course_id", "cutoff", F.col("model").alias("member"), F.lit(0.8).alias("quality")).distinct()
+    assert K.walk(scores.unionByName(K.facts(past, ratio, top, exams, quality)), {}, ["recency"], ("fold",)).collect() == []
